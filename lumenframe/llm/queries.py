@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenframe.llm import exact_dedup, sharding
+from lumenframe.llm import exact_dedup, language, sharding, token_counts
+from lumenframe.llm.text import crc_fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", crc_fold(docs, 4) == 2)
+    trees = language.fit(docs.where(~F.col("held_out")))
+    return language.predict(docs, trees, keep=("doc_id", "held_out"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.histogram(token_counts.lengths(table(spark, sf_dir, "documents")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -51,5 +64,10 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM sums JOIN dealt USING (doc_id)
 """
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup, "op10_sharding": op10_sharding}
+QUERIES = {
+    "op3_language": op3_language,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_counts": op9_token_counts,
+    "op10_sharding": op10_sharding,
+}
 ORACLES = {"op8_exact_dedup": OP8_SQL, "op10_sharding": OP10_SQL}
