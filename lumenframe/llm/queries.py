@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import exact_dedup, language, sharding, token_counts
+from lumenframe.llm import exact_dedup, language, quality, sentencepieces, sharding, token_counts
 from lumenframe.llm.text import crc_fold
 
 
@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = quality.score(docs, quality.fit(docs, labels), ["doc_id"])
+    predicted = (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", (crc_fold(scored, quality.FOLDS) == 0).alias("held_out"), F.col("quality_score").alias("score"), predicted)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", crc_fold(docs, 4) == 2)
@@ -24,6 +31,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.histogram(token_counts.lengths(table(spark, sf_dir, "documents")))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -65,7 +76,9 @@ FROM sums JOIN dealt USING (doc_id)
 """
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_language": op3_language,
+    "op5_sentencepiece": op5_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
