@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import exact_dedup, language, quality, sentencepieces, sharding, token_counts
+from lumenframe.llm import exact_dedup, language, quality, sentencepieces, sharding, token_counts, toxicity
 from lumenframe.llm.text import crc_fold
 
 
@@ -20,6 +20,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold(scored, quality.FOLDS) == 0).alias("held_out"), F.col("quality_score").alias("score"), predicted)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"])
+    predicted = (F.col("toxic_score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", (crc_fold(scored, toxicity.FOLDS) == 0).alias("held_out"), F.col("toxic_score").alias("score"), predicted)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", crc_fold(docs, 4) == 2)
@@ -77,6 +84,7 @@ FROM sums JOIN dealt USING (doc_id)
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_toxicity": op2_toxicity,
     "op3_language": op3_language,
     "op5_sentencepiece": op5_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
