@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.text import buffers, crc_fold, slices
+from lumenframe.llm.text import buffers, crc_fold, hashed_words, slices
 from lumenframe.storage import stored
 
 THRESHOLD = 0.3
@@ -31,8 +31,6 @@ FOLDS = 5
 STEPS, RIDGE, BINS = 8, 1e-2, 400
 #: Added to the standard deviations that features are divided by: a mark in a few texts should not weigh much.
 SCALE = 0.03
-#: A word's bytes are mixed with odd numbers.
-MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_class(value: int) -> int:
@@ -49,7 +47,6 @@ def byte_class(value: int) -> int:
 
 CLASSES = np.array([byte_class(x) for x in range(256)], np.int64)
 N_CLASSES = 39
-SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Byte classes, then six features of the words.
 WIDTH = N_CLASSES + 6
 
@@ -63,27 +60,13 @@ def features(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(n), np.diff(starts))
     shares = np.bincount(owner * N_CLASSES + CLASSES[data], minlength=n * N_CLASSES).reshape(n, N_CLASSES)
     out[:, :N_CLASSES] = np.sqrt(shares / np.maximum(np.diff(starts), 1)[:, None])
-    solid = ~SPACE[data]
-    fresh = np.concatenate([[True], ~solid[:-1]])
-    fresh[starts[:-1][starts[:-1] < len(data)]] = True
-    begin = np.flatnonzero(solid & fresh)
+    found = hashed_words(data, starts)
+    word, text, begin, size = found.hash, found.text, found.begin, found.size
     if not len(begin):
         return out
-    closing = np.concatenate([~solid[1:], [True]])
-    closing[starts[1:][starts[1:] > 0] - 1] = True
-    end = np.flatnonzero(solid & closing)
-    text, size = owner[begin], end - begin + 1
-    with np.errstate(over="ignore"):
-        place = np.zeros(len(data), np.uint64)
-        place[begin] = 1
-        place = np.arange(len(data), dtype=np.uint64) - begin.astype(np.uint64)[np.maximum(np.cumsum(place).astype(np.int64) - 1, 0)]
-        mixed = (data.astype(np.uint64) + np.uint64(1)) * (place * np.uint64(2) + np.uint64(1)) * MIX
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= MIX | np.uint64(2)
-        mixed[~solid] = 0
-        word = np.add.reduceat(mixed, begin)
     words = np.maximum(np.bincount(text, minlength=n), 1)
     upper = np.add.reduceat((CLASSES[data] == 2).astype(np.int64), begin)
+    end = begin + size - 1
     marked = ~np.isin(CLASSES[data[end]], [0, 1, 2, 3]) & ~np.isin(data[end], np.frombuffer(b".,", np.uint8))
     again = np.concatenate([[False], (word[1:] == word[:-1]) & (text[1:] == text[:-1])])
     order = np.lexsort([word, text])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,53 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[at[0] : at[-1]], at - at[0]
 
 
+#: Bytes of white space as words are split by: space, tab to carriage return.
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Odd numbers that bytes and hashes are mixed with.
+MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers over all bits, one to one."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * MIX[1]
+        x = (x ^ (x >> np.uint64(27))) * MIX[2]
+        return x ^ (x >> np.uint64(31))
+
+
+#: A number for each pair of a byte and its place in a word; places past the last are told apart by a factor.
+PLACES = 64
+BYTE_AT = mixed(np.arange(1, 256 * PLACES + 1, dtype=np.uint64) * MIX[0]).reshape(PLACES, 256)
+
+
+@dataclass
+class Words:
+    """Words of some texts in order: a 64-bit hash, the text, the first byte and the length of each."""
+
+    hash: np.ndarray
+    text: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+
+
+def hashed_words(data: np.ndarray, starts: np.ndarray, gap: np.ndarray = SPACE) -> Words:
+    """Runs of bytes that aren't gaps. Equal words have equal hashes, everywhere and always."""
+    if not len(data):
+        return Words(*(np.zeros(0, kind) for kind in (np.uint64, np.int64, np.int64, np.int64)))
+    solid = ~gap[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[starts] = True
+    begin = np.flatnonzero(solid & (edge[:-1] | np.concatenate([[True], ~solid[:-1]])))
+    end = np.flatnonzero(solid & (edge[1:] | np.concatenate([~solid[1:], [True]]))) + 1
+    size = end - begin
+    at = np.flatnonzero(solid)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+    with np.errstate(over="ignore"):
+        parts = BYTE_AT[place % PLACES, data[at]] * (2 * (place // PLACES) + 1).astype(np.uint64)
+        total = np.add.reduceat(parts, np.cumsum(size) - size) if len(size) else np.zeros(0, np.uint64)
+    return Words(mixed(total), np.searchsorted(starts, begin, "right") - 1, begin, size)
+
+
 def crc_fold(docs: DataFrame, folds: int) -> Column:
     """CRC-32 of doc_id as text, modulo folds. A null doc_id counts as an empty text."""
     return F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")), F.lit(0)) % folds
