@@ -18,6 +18,8 @@ equal sums the longest last piece wins; repeated rows are encoded alike; other c
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -33,6 +35,8 @@ MARK = "▁"
 UNKNOWN = 10.0
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 UNIGRAM, MERGES = 1, 2
+#: Numbers of tokens that aren't pieces: the start of a word, and characters outside the vocabulary.
+START, UNKNOWN_FROM = (1 << 24) - 1, 1 << 20
 WORD = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words and pairs of pieces that a task remembers between slices.
 REMEMBERED = 400_000
@@ -56,7 +60,11 @@ class Pieces:
         if self.kind not in (UNIGRAM, MERGES):
             raise ValueError("a unigram or a merge vocabulary is needed")
         self.unknown = min((s for _, s in self.ids.values()), default=0.0) - UNKNOWN
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: All ends of pieces: what isn't one can't become a piece by adding characters in front.
+        self.ends = {p[i:] for p in self.ids for i in range(len(p))}
+        self.number = {p: i for p, (i, _) in self.ids.items()}
+        self.name = {i: p for p, i in self.number.items()}
+        self.pairs: dict[int, bool] = {}
         out = [b""] * len(proto.pieces)
         for piece, (i, _) in self.ids.items():
             out[i] = piece.replace(MARK, " ").encode()
@@ -75,13 +83,12 @@ class Pieces:
             parts[-at : -at + 2] = [parts[-at] + parts[-at + 1]]
         return parts
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether merging leaves pieces a and b side by side; an empty a stands for a word's start."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+    def follows(self, pair: int) -> bool:
+        """Whether merging leaves two tokens side by side. A pair is the first one's number, shifted, and the second's."""
+        if len(self.pairs) > REMEMBERED:
+            self.pairs.clear()
+        a, b = (self.name.get(x) or ("" if x == START else chr(x - UNKNOWN_FROM)) for x in (pair >> 24, pair & 0xFFFFFF))
+        known = self.pairs[pair] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
     def best_sum(self, word: str, end: int, best: list[float]) -> tuple[float, int]:
@@ -95,39 +102,53 @@ class Pieces:
             top, begin = best[end - 1] + self.unknown, end - 1
         return top, begin
 
-    def last_merged(self, word: str, end: int, last: list[int]) -> int:
-        """Where the last piece of what merging leaves of the first end characters begins."""
-        for at in range(max(0, end - self.longest), end):
+    def last_merged(self, word: str, end: int, tokens: list[int]) -> tuple[int, int]:
+        """The last token of what merging leaves of the first end characters, and where it begins."""
+        number, pairs, ends = self.number, self.pairs, self.ends
+        at = end - 1
+        token = number.get(word[at])
+        if token is None:
+            token = UNKNOWN_FROM + ord(word[at])
+        while True:
+            if token is not None:
+                pair = tokens[at] << 24 | token
+                known = pairs.get(pair)
+                if self.follows(pair) if known is None else known:
+                    return token, at
+            at -= 1
             piece = word[at:end]
-            if (piece in self.ids or at == end - 1) and self.follows(word[last[at] : at], piece):
-                return at
-        raise ValueError(f"no path to {word[:end]!r}")
+            if at < 0 or piece not in ends:
+                raise ValueError(f"no path to {word[:end]!r}")
+            token = number.get(piece)
 
     def segment(self, words: list[str]) -> Iterator[list[int]]:
         """The ids of each of the words, which are sorted and distinct.
 
-        best[k] and last[k] are the forward state after k characters: the largest sum, and where the last piece begins.
-        Both are kept as far as the next word begins alike.
+        state[k] and last[k] are the forward state after k characters: the largest sum or the last token, and where the
+        last piece begins. Both are kept as far as the next word begins alike.
         """
-        best, last, before = [0.0], [0], ""
+        merges, number = self.kind == MERGES, self.number
+        state, last, before = [START if merges else 0.0], [0], ""
         for word in words:
-            shared = 0
-            for a, b in zip(before, word):
-                if a != b:
-                    break
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del best[shared + 1 :], last[shared + 1 :]
+            del state[shared + 1 :], last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                top, begin = self.best_sum(word, end, best) if self.kind == UNIGRAM else (0.0, self.last_merged(word, end, last))
-                best.append(top)
+                now, begin = self.last_merged(word, end, state) if merges else self.best_sum(word, end, state)
+                state.append(now)
                 last.append(begin)
             before, out, end = word, [], len(word)
             while end:
                 piece = word[last[end] : end]
-                hit = self.ids.get(piece)
-                out += [hit[0]] if hit is not None else [self.bytes[x] for x in reversed(piece.encode())]
+                hit = number.get(piece)
+                if hit is not None:
+                    out.append(hit)
+                else:
+                    out += [self.bytes[x] for x in reversed(piece.encode())]
                 end = last[end]
-            yield out[::-1]
+            out.reverse()
+            yield out
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
         """The text of each run of ids; the space of the first mark goes."""
@@ -165,17 +186,24 @@ class Encoder:
         fresh = sorted({w for words in split for w in words}.difference(self.known))
         for word, ids in zip(fresh, self.pieces.segment(fresh)):
             self.known[word] = len(self.words)
-            self.words.append(np.array(ids, np.int32))
+            self.words.append(ids)
         at = np.fromiter((self.known[w] for words in split for w in words), np.int64)
         used, at = np.unique(at, return_inverse=True)
+        used = used.tolist()
         sizes = np.array([len(self.words[i]) for i in used], np.int64)
-        flat = np.concatenate([self.words[i] for i in used]) if len(used) else np.zeros(0, np.int32)
+        flat = np.fromiter(chain.from_iterable(self.words[i] for i in used), np.int32)
         each = sizes[at]
         ids = flat[ragged((np.cumsum(sizes) - sizes)[at], each)]
         words = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
         return ids, np.concatenate([[0], np.cumsum(each)])[words]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(model: bytes) -> Encoder:
+    """A Python worker's encoder, which keeps the words that it remembers from task to task."""
+    return Encoder(Pieces(model))
+
+
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, decoded: bool = False) -> DataFrame:
     """doc_id, ids and n_pieces of every row's whole text, and round_trip, whether decoding gives the text back.
 
@@ -185,7 +213,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, decoded: bool = False)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_pieces long, round_trip boolean"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Pieces(model.value))
+        encoder = encoder_of(model.value)
         for part in slices(batches):
             texts = part.column("text").fill_null("").to_pylist()
             ids, starts = encoder.encode(texts)
@@ -205,7 +233,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     model = encoded.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model.value)
+        pieces = encoder_of(model.value).pieces
         for batch in batches:
             lists = [np.array(x or [], np.int64) for x in batch.column("ids").to_pylist()]
             starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
