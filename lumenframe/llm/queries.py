@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import decontamination, exact_dedup, language, quality, sentencepieces, sharding, token_counts, toxicity
+from lumenframe.llm import decontamination, exact_dedup, language, near_dedup, quality, sentencepieces, sharding, token_counts, toxicity
 from lumenframe.llm.text import crc_fold
 
 
@@ -46,6 +46,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -92,6 +96,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_decontamination": op4_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_near_dedup": op6_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
