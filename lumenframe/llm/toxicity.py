@@ -95,13 +95,23 @@ def occurrences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[first] // SYMBOLS**3, key[first] % SYMBOLS**3, total
 
 
-def vectors(words: list[str]) -> np.ndarray:
-    """Normalised occurrence vectors as a dense matrix over the strings that occur; for the driver's few words."""
-    row, string, weight = occurrences(words)
+def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
+    """Normalised kernels of words (rows) with landmarks (columns), some words at a time."""
+    row, string, weight = occurrences(landmarks)
     kinds, at = np.unique(string, return_inverse=True)
-    out = np.zeros((len(words), len(kinds)))
-    out[row, at] = weight
-    return out / np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-12)
+    held = np.zeros((len(kinds), len(landmarks)))
+    held[at, row] = weight / np.sqrt(np.bincount(row, weights=weight**2, minlength=len(landmarks)))[row]
+    out = np.zeros((len(words), len(landmarks)))
+    for first in range(0, len(words), 256):
+        some = words[first : first + 256]
+        row, string, weight = occurrences(some)
+        norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=len(some)))
+        place = np.minimum(np.searchsorted(kinds, string), len(kinds) - 1)
+        known = kinds[place] == string
+        dense = np.zeros((len(some), len(kinds)))
+        dense[row[known], place[known]] = (weight / np.maximum(norm, 1e-12)[row])[known]
+        out[first : first + 256] = dense @ held
+    return out
 
 
 def word_scores(words: list[str], weights: np.ndarray) -> np.ndarray:
@@ -129,11 +139,9 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = COST, steps: int = 60) -> tu
 
 def nystrom(landmarks: list[str], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The words' vectors in the landmarks' space, and the map from a word's kernels to its vector."""
-    both = vectors([*landmarks, *words])
-    m = len(landmarks)
-    value, axis = np.linalg.eigh(both[:m] @ both[:m].T)
+    value, axis = np.linalg.eigh(kernels(landmarks, landmarks))
     mapped = axis * np.where(value > 1e-6, 1 / np.sqrt(np.maximum(value, 1e-6)), 0)
-    return both[m:] @ both[:m].T @ mapped, mapped
+    return kernels(words, landmarks) @ mapped, mapped
 
 
 def folded(landmarks: list[str], alpha: np.ndarray) -> np.ndarray:
