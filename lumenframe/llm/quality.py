@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.text import buffers, crc_fold, hashed_words, slices
+from lumenframe.llm.text import buffers, crc_fold, fresh, hashed_words, kept_schema, slices, with_text
 from lumenframe.storage import stored
 
 THRESHOLD = 0.3
@@ -197,15 +197,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], least: float | None = None) -> DataFrame:
-    """The kept columns of every row and ``quality_score``; with ``least``, only rows that score so much."""
+    """The kept columns of every row and then its score; with ``least``, only rows that score so much.
+
+    The score's column is quality_score, with underscores in front while a kept column has that name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    text, name = fresh("text", keep), fresh("quality_score", keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__text"):
-            found = shared.value.scores(features(*buffers(part.column("__text"))))
-            out = pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(found)], [*keep, "quality_score"])
+        for part in slices(batches, text):
+            found = shared.value.scores(features(*buffers(part.column(text))))
+            out = pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(found)], [*keep, name])
             yield out if least is None else out.filter(pa.array(found >= least))
 
-    texts = docs.withColumn("__text", F.col("text").cast("string"))
-    return texts.select(*[F.col(f"`{c}`") for c in keep], "__text").mapInArrow(run, ", ".join([*columns, "quality_score double"]))
+    return with_text(docs, keep, text).mapInArrow(run, f"{kept_schema(docs, keep)}{name} double")
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score at least the threshold, with all their columns."""
+    found = score(docs, model, docs.columns, threshold)
+    return found.drop(found.columns[-1])

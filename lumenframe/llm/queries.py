@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import decontamination, exact_dedup, language, near_dedup, quality, sentencepieces, sharding, token_counts, toxicity
+import corpus_pipeline
+from lumenframe.llm import decontamination, exact_dedup, html_text, language, near_dedup, quality, sentencepieces, sharding, token_counts, toxicity
 from lumenframe.llm.text import crc_fold
 
 
@@ -50,6 +51,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -97,8 +102,10 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_near_dedup": op6_near_dedup,
+    "op7_html_text": op7_html_text,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op8_exact_dedup": OP8_SQL, "op10_sharding": OP10_SQL}
+ORACLES = {"op8_exact_dedup": OP8_SQL, "op10_sharding": OP10_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -83,6 +83,24 @@ def hashed_words(data: np.ndarray, starts: np.ndarray, gap: np.ndarray = SPACE)
     return Words(mixed(total), np.searchsorted(starts, begin, "right") - 1, begin, size)
 
 
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """A name that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def kept_schema(rows: DataFrame, columns: list[str]) -> str:
+    """DDL of some columns, with a comma after each."""
+    return "".join(f"`{c.replace('`', '``')}` {rows.schema[c].dataType.simpleString()}, " for c in columns)
+
+
+def with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """Some columns, and the text under a name of its own."""
+    return rows.select(*[F.col(f"`{c.replace('`', '``')}`") for c in columns], F.col("text").cast("string").alias(text))
+
+
 def crc_fold(docs: DataFrame, folds: int) -> Column:
     """CRC-32 of doc_id as text, modulo folds. A null doc_id counts as an empty text."""
     return F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")), F.lit(0)) % folds

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.text import crc_fold, sampled, slices
+from lumenframe.llm.text import crc_fold, fresh, kept_schema, sampled, slices, with_text
 from lumenframe.storage import stored
 
 THRESHOLD = 0.5
@@ -189,13 +189,13 @@ def tops(docs: DataFrame, value: np.ndarray | dict[str, float], bias: float, kee
     ``value`` has the machine's weight of each string, or the values of some words, others having -1.
     """
     shared = docs.sparkSession.sparkContext.broadcast((value, bias))
-    columns = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    at = fresh("text", keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, low = shared.value
         known: dict[str, float] = {}
-        for part in slices(batches, "__text"):
-            each = [words_of(t) for t in part.column("__text").fill_null("").to_pylist()]
+        for part in slices(batches, at):
+            each = [words_of(t) for t in part.column(at).fill_null("").to_pylist()]
             if isinstance(table, dict):
                 known = {w: table.get(w, -1.0) for words in each for w in words}
             else:
@@ -208,8 +208,7 @@ def tops(docs: DataFrame, value: np.ndarray | dict[str, float], bias: float, kee
             told = pa.array([text_features(words, known) for words in each], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *found, told], [*keep, "top", "word_top", "text_features"])
 
-    texts = docs.withColumn("__text", F.col("text").cast("string")).select(*keep, "__text")
-    return texts.mapInArrow(run, f"{columns}top double, word_top string, text_features array<double>")
+    return with_text(docs, keep, at).mapInArrow(run, f"{kept_schema(docs, keep)}top double, word_top string, text_features array<double>")
 
 
 def witnesses(toxic: DataFrame, value: np.ndarray | dict[str, float], bias: float) -> list[str]:
