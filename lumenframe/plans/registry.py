@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from lumenframe.plans import telemetry
+
+GROUPS = (telemetry,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for g in GROUPS for k, v in g.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for g in GROUPS for k, v in g.ORACLES.items()}
