@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 EXPECTED_BYTES = 25_000
 #: Samples of an embedding are scaled and moved to twelve bits.
 SCALE, MIDDLE, TOP = 400, 2048, 4095
+LINES = 250
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,16 +57,16 @@ WITH frames AS (
 
 
 def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(y, x, v): embeddings as one plane of 12-bit samples, a line for each vector."""
+    """(plane, y, x, v): embeddings as planes of 12-bit samples, a line for each vector, LINES to a plane."""
     e = table(spark, sf_dir, "embeddings")
     cells = e.select(F.col("vec_id").cast("long").alias("y"), F.posexplode("embedding").alias("x", "f"))
     v = F.least(F.greatest(F.floor(F.col("f").cast("double") * SCALE).cast("long") + MIDDLE, F.lit(0)), F.lit(TOP))
-    return cells.select("y", F.col("x").cast("long").alias("x"), v.cast("long").alias("v"))
+    return cells.select(F.floor(F.col("y") / LINES).alias("plane"), (F.col("y") % LINES).alias("y"), F.col("x").cast("long").alias("x"), v.cast("long").alias("v"))
 
 
 PLANE_SQL = """
 WITH plane AS (
-  SELECT vec_id::BIGINT AS y, (i - 1)::BIGINT AS x,
+  SELECT vec_id::BIGINT // 250 AS plane, vec_id::BIGINT % 250 AS y, (i - 1)::BIGINT AS x,
          least(greatest(CAST(floor(embedding[i]::DOUBLE * 400) AS BIGINT) + 2048, 0), 4095) AS v
   FROM embeddings, range(1, 65) r(i)
 )
