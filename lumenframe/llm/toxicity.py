@@ -19,6 +19,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -49,20 +51,34 @@ SYMBOLS = 64
 #: Places of three characters within a span, the first being 0.
 PLACES = [(0, j, k) for j, k in combinations(range(1, SPAN), 2)]
 NOT_LETTER = regex.compile(r"[^\p{L}]+")
-SINGLE = regex.compile(r"(?<!\S)(?:[^\s\p{L}]*\p{L}[^\s\p{L}]*\s+){2,}[^\s\p{L}]*\p{L}[^\s\p{L}]*(?!\S)")
 REMEMBERED = 300_000
+#: Words whose strings are held at once.
+CHUNK = 4_096
 
 
 def words_of(text: str) -> Counter[str]:
     """How often each word of a text occurs, as words are compared."""
-    text, found = text.casefold(), Counter()
-    for raw, n in Counter([*text.split(), *SINGLE.findall(text)]).items():
+    tokens, found, lone, n_lone = text.casefold().split(), Counter(), {}, 0
+    for raw, n in Counter(tokens).items():
         w = raw if raw.isalpha() else NOT_LETTER.sub("", raw)
+        if len(w) == 1:
+            lone[raw] = w
+            n_lone += n
         if len(w) <= LONGEST:
             found[w] += n
         else:
             for i in range(0, len(w) - OVERLAP, OVERLAP):
                 found[w[i : i + LONGEST]] += n
+    if n_lone > 2:
+        run: list[str] = []
+        for raw in [*tokens, ""]:
+            if raw in lone:
+                run.append(lone[raw])
+            elif run:
+                if len(run) > 2:
+                    for i in range(0, max(1, len(run) - OVERLAP), OVERLAP):
+                        found["".join(run[i : i + LONGEST])] += 1
+                run = []
     return Counter({w: n for w, n in found.items() if len(w) > 2})
 
 
@@ -115,10 +131,14 @@ def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 def word_scores(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """The machine's value of each word: its strings' weights over its norm."""
-    row, string, weight = occurrences(words)
-    value = np.bincount(row, weights=weight * weights[string], minlength=len(words))
-    return value / np.maximum(np.sqrt(np.bincount(row, weights=weight**2, minlength=len(words))), 1e-12)
+    """The machine's value of each word, its strings' weights over its norm; CHUNK words at a time."""
+    out = np.zeros(len(words))
+    for first in range(0, len(words), CHUNK):
+        some = words[first : first + CHUNK]
+        row, string, weight = occurrences(some)
+        value = np.bincount(row, weights=weight * weights[string], minlength=len(some))
+        out[first : first + CHUNK] = value / np.maximum(np.sqrt(np.bincount(row, weights=weight**2, minlength=len(some))), 1e-12)
+    return out
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = COST, steps: int = 60) -> tuple[np.ndarray, float]:
@@ -155,13 +175,17 @@ def folded(landmarks: list[str], alpha: np.ndarray) -> np.ndarray:
 HIGHEST, MISSING = 4, -2.0
 
 
-def text_features(words: Counter[str], values: dict[str, float]) -> list[float]:
-    """The highest values, an often-used word counting as often, and how many and what share of the words are positive."""
-    top: list[float] = []
-    for v, n in sorted(((values[w], n) for w, n in words.items()), reverse=True)[:HIGHEST]:
-        top += [v] * n
-    hits = sum(n for w, n in words.items() if values[w] > 0)
-    return [*(top + [MISSING] * HIGHEST)[:HIGHEST], np.log1p(hits), np.log1p(100 * hits / max(1, words.total()))]
+def text_features(words: Counter[str], values: dict[str, float]) -> tuple[float, str | None, list[float]]:
+    """The highest value and its word; then, as a list, the highest values and how many and what share of the words are positive.
+
+    An often-used word counts as often.
+    """
+    found = [(values[w], w, n) for w, n in words.items()]
+    highest = heapq.nlargest(HIGHEST, found)
+    top = [v for v, _, n in highest for _ in range(min(n, HIGHEST))]
+    hits = sum(n for v, _, n in found if v > 0)
+    told = [*(top + [MISSING] * HIGHEST)[:HIGHEST], math.log1p(hits), math.log1p(100 * hits / max(1, words.total()))]
+    return (highest[0][0], highest[0][1], told) if highest else (MISSING, None, told)
 
 
 @dataclass
@@ -203,10 +227,9 @@ def tops(docs: DataFrame, value: np.ndarray | dict[str, float], bias: float, kee
                     known.clear()
                 fresh = list(set().union(*each).difference(known))
                 known.update(zip(fresh, (word_scores(fresh, table) + low).tolist()))
-            best = [max(((known[w], w) for w in words), default=(MISSING, None)) for words in each]
-            found = [pa.array([v for v, _ in best], pa.float64()), pa.array([w for _, w in best], pa.string())]
-            told = pa.array([text_features(words, known) for words in each], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *found, told], [*keep, "top", "word_top", "text_features"])
+            told = [text_features(words, known) for words in each]
+            found = [pa.array([t[i] for t in told], kind) for i, kind in enumerate((pa.float64(), pa.string(), pa.list_(pa.float64())))]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *found], [*keep, "top", "word_top", "text_features"])
 
     return with_text(docs, keep, at).mapInArrow(run, f"{kept_schema(docs, keep)}top double, word_top string, text_features array<double>")
 
