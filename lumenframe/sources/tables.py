@@ -16,13 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """One row for each frame of four cameras, from events.
 
     arrival is the event's id. Some frame numbers are unknown (-1) or jump back. The dropped counter is the event's k,
     which falls as well as rises. The capture time is the event's, in whole seconds; reception is up to 13 s later.
+    With ``stream``, the frames come as a stream.
     """
     e = table(spark, sf_dir, "events")
+    if stream:
+        one = [f.rstrip("/").rpartition("/")[2] for f in e.inputFiles()] == ["events.parquet"]
+        source = spark.readStream.schema(e.schema)  # a stream's path is a folder
+        e = source.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if one else source.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("long")
     number = F.when(F.col("event_id") % 97 == 0, F.lit(-1)).when(F.col("event_id") % 53 == 0, F.col("event_id") - 10).otherwise(F.col("event_id"))
     seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
