@@ -50,7 +50,7 @@ def duplicate_ports(cameras: DataFrame) -> DataFrame:
 def registers_to_columns(writes: DataFrame, names: dict[int, str]) -> DataFrame:
     """One row for each device with the last value written to each named register, 0 if none was.
 
-    ``writes`` has device, seq, address and value. The names are a closed list, so this is one aggregation.
+    Of writes with equal seq the larger value counts. ``writes`` has device, seq, address and value. The names are a closed list, so this is one aggregation.
     """
-    last = [F.coalesce(F.max_by(F.when(F.col("address") == a, F.col("value")), F.when(F.col("address") == a, F.col("seq"))), F.lit(0)).cast("long").alias(n) for a, n in names.items()]
+    last = [F.coalesce(F.max(F.when(F.col("address") == a, F.struct("seq", "value")))["value"], F.lit(0)).cast("long").alias(n) for a, n in names.items()]
     return writes.where(F.col("address").isin(*names)).groupBy("device").agg(*last)

@@ -190,8 +190,8 @@ SELECT p_partkey, CASE WHEN target <= 0 OR target >= w THEN w ELSE dw END AS wid
        ((w * 10 // 8) + 7) // 8 * 8 AS stride FROM q""",
     "register_pivot": """
 WITH writes AS (SELECT l_suppkey AS device, l_orderkey * 10 + l_linenumber AS seq, [12328, 12332, 12312, 12315, 12288][l_linenumber % 5 + 1] AS address, l_quantity::BIGINT AS value FROM lineitem)
-SELECT device, coalesce(arg_max(value, seq) FILTER (address = 12328), 0) AS vmax_low, coalesce(arg_max(value, seq) FILTER (address = 12332), 0) AS hmax_low,
-       coalesce(arg_max(value, seq) FILTER (address = 12312), 0) AS winmode, coalesce(arg_max(value, seq) FILTER (address = 12315), 0) AS addmode
+SELECT device, coalesce(arg_max(value, seq * 1000 + value) FILTER (address = 12328), 0) AS vmax_low, coalesce(arg_max(value, seq * 1000 + value) FILTER (address = 12332), 0) AS hmax_low,
+       coalesce(arg_max(value, seq * 1000 + value) FILTER (address = 12312), 0) AS winmode, coalesce(arg_max(value, seq * 1000 + value) FILTER (address = 12315), 0) AS addmode
 FROM writes WHERE address <> 12288 GROUP BY device""",
     "asof_forward": FRAMES_SQL + """
 , marks AS (SELECT camera, arrival AS mark, bytes_written::DOUBLE AS t FROM frames WHERE arrival % 3 = 0),
