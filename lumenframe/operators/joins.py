@@ -6,20 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_forward(left: DataFrame, marks: DataFrame, by: str, on: str, at: str, value: str) -> DataFrame:
+def asof_forward(left: DataFrame, marks: DataFrame, by: str, on: str, at: str, value: str, width: float = 100_000.0) -> DataFrame:
     """Each left row with the value of the first mark at or after it; else of the last mark; else 0.
 
-    Both sides go into one order within ``by`` and chunks of it, so a range of rows is one task's work and no pairs are
-    compared. ``at`` is the marks' order column, ``on`` the left's.
+    Both sides go into one order within ``by`` and ranges of ``width``, so no pairs are compared and no task orders a
+    whole group. Rows after a range's last mark take the first mark of the ranges behind it, a window over one row a
+    range. ``at`` is the marks' order column, ``on`` the left's.
     """
     a = left.withColumn("__k", F.col(on).cast("double")).withColumn("__side", F.lit(0))
     b = marks.select(by, F.col(at).cast("double").alias("__k"), F.lit(1).alias("__side"), F.col(value).cast("double").alias("__v"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    ahead = Window.partitionBy(by).orderBy("__k", "__side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__range", F.floor(F.col("__k") / width))
+    ahead = Window.partitionBy(by, "__range").orderBy("__k", "__side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    behind = Window.partitionBy(by).orderBy("__range").rowsBetween(1, Window.unboundedFollowing)
+    firsts = both.groupBy(by, "__range").agg(F.min_by("__v", F.when(F.col("__side") == 1, F.col("__k"))).alias("__first"))
+    carried = firsts.select(by, "__range", F.first("__first", ignorenulls=True).over(behind).alias("__later"))
     last = marks.groupBy(by).agg(F.max_by(F.col(value).cast("double"), at).alias("__last"))
     met = both.withColumn("__next", F.first("__v", ignorenulls=True).over(ahead)).where("__side = 0")
-    out = met.join(last, by, "left")
-    return out.select(*left.columns, F.coalesce("__next", "__last", F.lit(0.0)).alias(value))
+    out = met.join(carried, [by, "__range"], "left").join(last, by, "left")
+    return out.select(*left.columns, F.coalesce("__next", "__later", "__last", F.lit(0.0)).alias(value))
 
 
 def newest(rows: DataFrame, by: str, order: str) -> DataFrame:

@@ -76,7 +76,7 @@ def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
     ends = f.where("arrival % 3 <> 0").select("camera", "arrival")
     marks = f.where("arrival % 3 = 0").select("camera", F.col("arrival").alias("mark"), F.col("bytes_written").alias("t"))
-    return joins.asof_forward(ends, marks, "camera", "arrival", "mark", "t")
+    return joins.asof_forward(ends, marks, "camera", "arrival", "mark", "t", width=1000)
 
 
 def catalog_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
