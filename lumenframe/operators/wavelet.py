@@ -170,12 +170,41 @@ def quadratic_out(v: Column, width: int, depth: int, offset: int) -> Column:
     return F.least(F.greatest(half(c * c + (1 << zeta >> 1), zeta) + offset, F.lit(0)), F.lit((1 << depth) - 1))
 
 
+def floor_root(n: Column) -> Column:
+    """The integer square root, exact after a correction of the floating one."""
+    root = F.floor(F.sqrt(n.cast("double"))).cast("long")
+    return F.when(root * root > n, root - 1).when((root + 1) * (root + 1) <= n, root + 1).otherwise(root)
+
+
+def extended_out(v: Column, width: int, depth: int, t1: int, t2: int, e: int) -> Column:
+    """Coefficients to samples by the three-part curve: square below t1, straight up to t2, square above."""
+    slope, step, zeta = width - e, 1 << (width - e - 1), 2 * width - depth
+    top, low = F.lit((1 << width) - 1), F.lit(0)
+    held = lambda x: F.least(F.greatest(x, low), top)
+    c = v + (1 << width >> 1)
+    dark, bright = held(t1 + step - c), held(c - (t2 - step))
+    base = t1 * t1
+    curve = (
+        F.when(c < t1, base + (t1 << slope) + step * step - dark * dark)
+        .when(c < t2, F.shiftleft(c, slope) + base)
+        .otherwise(base + (t2 << slope) - step * step + bright * bright)
+    )
+    return F.least(F.greatest(half(curve + (1 << zeta >> 1), zeta), low), F.lit((1 << depth) - 1))
+
+
+def extended_in(v: Column, width: int, depth: int, t1: int, t2: int, e: int) -> Column:
+    """The inverse of the three-part curve, roots rounded down."""
+    slope, step, base = width - e, 1 << (width - e - 1), t1 * t1
+    n = F.shiftleft(v.cast("long"), 2 * width - depth)
+    dark = t1 + step - floor_root(F.greatest(base + (t1 << slope) + step * step - n, F.lit(0)))
+    bright = t2 - step + floor_root(F.greatest(n - (base + (t2 << slope) - step * step), F.lit(0)))
+    return F.when(n < base + (t1 << slope), dark).when(n < base + (t2 << slope), half(n - base, slope)).otherwise(bright) - (1 << width >> 1)
+
+
 def quadratic_in(v: Column, width: int, depth: int, offset: int) -> Column:
-    """The inverse by an integer root, exact after a correction of the floating one."""
+    """The inverse, by an integer root."""
     n = F.shiftleft(F.least(F.greatest(v - offset, F.lit(0)), F.lit((1 << depth) - 1)).cast("long"), 2 * width - depth)
-    root = F.floor(F.sqrt(n.cast("double"))).cast("long")
-    exact = F.when(root * root > n, root - 1).when((root + 1) * (root + 1) <= n, root + 1).otherwise(root)
-    return exact - (1 << width >> 1)
+    return floor_root(n) - (1 << width >> 1)
 
 
 def coded_bits(planes: DataFrame, by: list[str], cut: int) -> DataFrame:

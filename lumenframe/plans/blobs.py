@@ -39,6 +39,25 @@ def ivf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blobs.from_ivf(blobs.to_ivf(rows)).select("stream", (F.col("segment") * blobs.SEGMENT + F.col("frame")).alias("frame"), "pts", "size", F.sha2("data", 256).alias("sha"))
 
 
+def pgm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = plane(spark, sf_dir).groupBy("plane", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda c: c["v"]).alias("px"))
+    return blobs.from_pgm(blobs.to_pgm(lines, 4095)).select("plane", "y", F.posexplode("px").alias("x", "v")).withColumn("x", F.col("x").cast("long"))
+
+
+def json_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects that a text of several has, and the second one."""
+    text = F.concat(F.col("props"), F.lit("\n "), F.lit('{"a":{"b":'), F.col("event_id").cast("string"), F.lit("}}x"), F.col("props"))
+    found = table(spark, sf_dir, "events").select("event_id", blobs.json_objects(text).alias("o"))
+    return found.select("event_id", F.size("o").cast("long").alias("objects"), F.element_at("o", 2).alias("second"))
+
+
+def jpeg_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a stream of marked payloads, the last one cut short."""
+    one = F.concat(F.unhex(F.lit("FFD8")), F.encode("p_name", "UTF-8"), F.unhex(F.lit("FFD9")))
+    content = F.concat(F.encode(F.lit("junk"), "UTF-8"), one, F.unhex(F.lit("00")), one, F.unhex(F.lit("FFD800")))
+    return blobs.split_jpegs(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("stream"), content.alias("content"))).select("stream", "part", "size")
+
+
 def stream_frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frame_stats.run_to_end(frame_stats.running_stats(frames(spark, sf_dir, stream=True)), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", "update")
     last = rows.groupBy("camera").agg(F.max_by(F.struct(*rows.columns), "frames").alias("r"))
@@ -58,6 +77,9 @@ QUERIES = {
     "raw10_unpack": unpack(10),
     "raw12_unpack": unpack(12),
     "ivf_roundtrip": ivf_roundtrip,
+    "pgm_roundtrip": pgm_roundtrip,
+    "json_split": json_split,
+    "jpeg_split": jpeg_split,
     "stream_frame_stats": stream_frame_stats,
     "stream_interval": stream_interval,
 }
@@ -80,6 +102,9 @@ SELECT doc_id, length(h) >= 128 AND len(list_distinct(list_transform(range(0, gr
     "ivf_roundtrip": """
 WITH r AS (SELECT conv_id % 4 AS stream, conv_id * 1000 + turn AS pts, coalesce(text, '') AS text FROM conversations)
 SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY pts) - 1 AS frame, pts, octet_length(encode(text)) AS size, sha256(text) AS sha FROM r""",
+    "pgm_roundtrip": PLANE_SQL + "SELECT * FROM plane",
+    "json_split": """SELECT event_id, 3 AS objects, '{"a":{"b":' || event_id || '}}' AS second FROM events""",
+    "jpeg_split": "SELECT p_partkey AS stream, i AS part, octet_length(encode(p_name)) + 4 AS size FROM part, range(2) r(i)",
     "stream_frame_stats": FRAMES_SQL + """
 , known AS (
   SELECT *, last_value(CASE WHEN frame_number >= 0 THEN frame_number END IGNORE NULLS) OVER w AS last_number, lag(dropped) OVER (PARTITION BY camera ORDER BY arrival) AS last_dropped

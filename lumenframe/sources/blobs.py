@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -16,6 +17,8 @@ SEGMENT = 1_000
 # Magic, version and header size of an IVF file; its header and frame header.
 IVF_MAGIC, IVF_HEADER, IVF_FRAME = b"DKIF", struct.Struct("<4sHH4sHHIIII"), struct.Struct("<IQ")
 
+PGM_HEADER = re.compile(rb"P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s")
+
 
 def jamcrc(content: Column) -> Column:
     """The complement of the CRC-32 of IEEE 802.3."""
@@ -124,3 +127,77 @@ def from_ivf(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["stream", "segment", "frame", "pts", "size", "data"])
 
     return files.mapInPandas(read, "stream long, segment long, frame long, pts long, size long, data binary")
+
+
+def pgm_bytes(samples: np.ndarray, top: int) -> bytes:
+    """A binary PGM image of one or two bytes a sample, high byte first."""
+    kind = ">u2" if top > 255 else np.uint8
+    return b"P5\n%d %d\n%d\n" % (samples.shape[1], samples.shape[0], top) + samples.astype(kind).tobytes()
+
+
+def pgm_samples(content: bytes) -> tuple[np.ndarray, int]:
+    """The samples of a binary PGM image and its largest value; a short file is an error."""
+    found = PGM_HEADER.match(content)
+    if not found:
+        raise ValueError("not a binary PGM image")
+    width, height, top = (int(x) for x in found.groups())
+    kind = np.dtype(">u2" if top > 255 else np.uint8)
+    if len(content) - found.end() < width * height * kind.itemsize:
+        raise ValueError("the PGM image is cut short")
+    return np.frombuffer(content, kind, width * height, found.end()).reshape(height, width), top
+
+
+def to_pgm(lines: DataFrame, top: int) -> DataFrame:
+    """(plane, content): planes given as lines (plane, y, px) as PGM images; a plane is one task's work."""
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        image = np.stack(rows.sort_values("y").px.to_numpy())
+        return pd.DataFrame({"plane": [key[0]], "content": [pgm_bytes(image, top)]})
+
+    return lines.groupBy("plane").applyInPandas(write, "plane long, content binary")
+
+
+def from_pgm(files: DataFrame) -> DataFrame:
+    """(plane, y, px) of PGM images (plane, content)."""
+
+    def read(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for plane, content in zip(part.plane, part.content):
+                image = pgm_samples(bytes(content))[0].astype(np.int64)
+                yield pd.DataFrame({"plane": plane, "y": np.arange(len(image)), "px": list(image)})
+
+    return files.mapInPandas(read, "plane long, y long, px array<long>")
+
+
+def jpeg_parts(content: bytes) -> list[bytes]:
+    """The images of a byte stream, each from FFD8 to the next FFD9; one that is cut short is left out."""
+    out, at = [], 0
+    while (start := content.find(b"\xff\xd8", at)) >= 0 and (end := content.find(b"\xff\xd9", start)) >= 0:
+        out.append(content[start : end + 2])
+        at = end + 2
+    return out
+
+
+def split_jpegs(streams: DataFrame) -> DataFrame:
+    """(stream, part, size, data) of byte streams (stream, content)."""
+
+    def read(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(s, i, len(d), d) for s, c in zip(p.stream, p.content) for i, d in enumerate(jpeg_parts(bytes(c)))]
+            yield pd.DataFrame(rows, columns=["stream", "part", "size", "data"])
+
+    return streams.mapInPandas(read, "stream long, part long, size long, data binary")
+
+
+def json_objects(text: Column) -> Column:
+    """The top-level objects of concatenated JSON, told by the depth of braces alone, also of those within strings."""
+    marks = F.filter(F.split(F.regexp_replace(text, r"([{}])", "\u0001$1\u0001"), "\u0001"), lambda x: x != "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        depth = acc["depth"] + F.when(x == "{", 1).when((x == "}") & (acc["depth"] > 0), -1).otherwise(0)
+        now = F.when((acc["depth"] > 0) | (x == "{"), F.concat(acc["now"], x)).otherwise(acc["now"])
+        ends = (x == "}") & (acc["depth"] == 1)
+        return F.struct(depth.alias("depth"), F.when(ends, "").otherwise(now).alias("now"), F.when(ends, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"))
+
+    return F.aggregate(marks, start, step, lambda acc: acc["done"])

@@ -82,3 +82,39 @@ def test_ivf_segments(spark, monkeypatch):
     files = blobs.to_ivf(rows)
     assert files.count() == 3
     assert sorted((r.pts, bytes(r.data)) for r in blobs.from_ivf(files).collect()) == [(i, bytes([i])) for i in range(5)]
+
+
+def test_pgm_bytes_and_bad_images():
+    for top, kind in ((255, np.uint8), (4095, np.uint16)):
+        image = np.random.default_rng(1).integers(0, top + 1, (3, 5)).astype(kind)
+        back, found = blobs.pgm_samples(blobs.pgm_bytes(image, top))
+        assert found == top and (back == image).all()
+    assert blobs.pgm_samples(b"P5 # a\n# b\n2 1\n255\nab")[0].tolist() == [[97, 98]]
+    for bad in (b"P6 1 1 255 a", b"P5 2 2 255 abc"):
+        with pytest.raises(ValueError):
+            blobs.pgm_samples(bad)
+
+
+def extended(v, width, depth, t1, t2, e):
+    """The three-part curve on one number."""
+    eps, clamp = width - e, lambda x, lo, hi: min(max(x, lo), hi)
+    b2 = t1 * t1
+    a1, b1 = b2 + (t1 << eps) + (1 << (2 * width - 2 - 2 * e)), t1 + (1 << (eps - 1))
+    a3, b3 = b2 + (t2 << eps) - (1 << (2 * width - 2 - 2 * e)), t2 - (1 << (eps - 1))
+    v += 1 << width >> 1
+    if v < t1:
+        v = a1 - clamp(b1 - v, 0, (1 << width) - 1) ** 2
+    elif v < t2:
+        v = (v << eps) + b2
+    else:
+        v = a3 + clamp(v - b3, 0, (1 << width) - 1) ** 2
+    zeta = 2 * width - depth
+    return clamp((v + (1 << zeta >> 1)) >> zeta, 0, (1 << depth) - 1)
+
+
+def test_extended_curve(spark):
+    args = (18, 12, 3000, 90_000, 2)
+    cells = spark.range(-131_072, 131_072, 997).select(F.col("id").alias("v"), w.extended_out(F.col("id"), *args).alias("out"))
+    assert [(r.v, r.out) for r in cells.orderBy("v").collect()] == [(v, extended(v, *args)) for v in range(-131_072, 131_072, 997)]
+    there = spark.range(4096).select("id", w.extended_out(w.extended_in(F.col("id"), *args), *args).alias("back"))
+    assert there.agg(F.max(F.abs(F.col("id") - F.col("back")))).first()[0] <= 1
