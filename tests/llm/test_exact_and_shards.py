@@ -57,7 +57,7 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_groups(docs).count() == exact_dedup.drop_copies(docs).count() == sharding.assign(docs).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op8_exact_dedup", "op10_sharding"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_duckdb(name, spark, duck, sf_dir):
     assert_same(queries.QUERIES[name](spark, sf_dir), duck.sql(queries.ORACLES[name]))
 
