@@ -81,8 +81,8 @@ def build_index(docs: DataFrame, hasher: Callable[[Column], Column] = text_key,
 def exact_groups(docs: DataFrame, hasher: Callable[[Column], Column] = text_key, capacity: int = CAPACITY) -> DataFrame:
     """For every row its doc_id, keep_id, group_size, kept and text_sha256.
 
-    Rows probe the index by key. Where the key's chain is longer than one, the row's text decides the link. The entries
-    of the most frequent texts are broadcast, so that no task gets all rows of a text.
+    Rows probe the index by key. Where the key's chain is longer than one, the SHA-256 of the row's text tells its link.
+    The entries of the most frequent texts are broadcast, so that no task gets all rows of a text.
     """
     entry = F.struct("sha", "keep_id", "group_size").alias("entry")
     index = stored(build_index(docs, hasher, capacity), "chains")
@@ -93,7 +93,7 @@ def exact_groups(docs: DataFrame, hasher: Callable[[Column], Column] = text_key,
     chains = chained.select("key", F.col("sha"), entry.alias("link_entry"))
     few = chains.count()
     texts = keyed(docs, hasher)
-    if few:  # the text's own bytes are looked at only for keys that have a chain
+    if few:
         texts = texts.withColumn("sha", F.unhex(F.sha2("text", 256)))
         side = F.broadcast(chains) if few <= CHAIN_BROADCAST else chains
         texts = texts.join(side, ["key", "sha"], "left").drop("sha")
