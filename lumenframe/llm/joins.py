@@ -31,7 +31,3 @@ def left_join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str) -> D
     found = F.coalesce("__hot", "__cold")
     return met.select(*rows.columns, *[found[c].alias(c) for c in rest])
 
-
-def rows_with_ids(rows: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join on ids: by broadcast while they are few, else by a shuffle."""
-    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, column, how)
