@@ -11,8 +11,11 @@ are linked if their full sets reach the similarity. They are looked at best firs
 component is not looked at; in the end every named pair has been looked at or lies within a component, so none of their
 links is lost.
 
-An order is cut into ranges of rows, so hot regions spread over tasks. Neighbours across a cut aren't compared in that
-tree; the other trees have other cuts.
+An order is cut into ranges of rows, so hot regions spread over tasks. Windows, names and cuts bound what the orders show,
+not what is found: a class whose window or list of names was full, or whose region a cut runs through, is noted with its
+region (the rows of a tree that share LEAST_DEPTH values). After the rounds the noted classes of each region that lie in
+different components are compared in blocks, all with all, and confirmed on full sets. So every pair that shares LEAST_DEPTH
+values in some tree and whose sketches could reach the similarity is linked if its sets reach it, however dense the region.
 
 Defined cases: null texts and texts without words have an empty set and no links; a text with fewer words than a
 shingle is one shingle; equal sets are linked whatever the ids; a null doc_id takes part but is never a component's id
@@ -41,6 +44,10 @@ DEVIATIONS = 4.0
 NAMED, NAMED_BY_HALF, HALF_SKETCHES = 6, 1, 2
 #: How many times as many of a class's named pairs the next round looks at. Each round reads all pairs that are left.
 GROWTH = 16
+#: Classes of a region that are compared with as many others in one task.
+BLOCK = 512
+#: Shingles of two blocks that are counted at once.
+COLUMNS = 8_192
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
@@ -151,13 +158,27 @@ def named_by(row: np.ndarray, pair: np.ndarray, value: np.ndarray, most: int) ->
 
 
 def named_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared): the pairs that classes name in the orders, a naming b, with the MinHash values they share."""
+    """(a, b, shared, region): the pairs that classes name in the orders, a naming b, with the MinHash values they share.
+
+    Rows with a region instead of b note a class that may have more neighbours in that region than the order shows.
+    """
     least = least_shared(percent)
 
-    def look(held: list[tuple], carry: int) -> pa.RecordBatch | None:
+    def noted(key: np.ndarray, region: np.ndarray) -> pa.RecordBatch:
+        held = [pa.array([x.tobytes() for x in at], pa.binary()) for at in (key, region)]
+        return pa.RecordBatch.from_arrays([held[0], pa.nulls(len(key), pa.binary()), pa.nulls(len(key), pa.int32()), held[1]], ["a", "b", "shared", "region"])
+
+    def region_of(tree: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        return np.concatenate([tree[:, None].astype(np.uint8), prefix[:, : 2 * LEAST_DEPTH]], axis=1)
+
+    def look(held: list[tuple], carry: int) -> Iterator[pa.RecordBatch]:
         tree, prefix, key, sketch = (np.concatenate(x) for x in zip(*held))
         n = len(tree)
-        region = np.concatenate([tree[:, None].astype(np.uint8), prefix[:, : 2 * LEAST_DEPTH]], axis=1)
+        region, full = region_of(tree, prefix), np.zeros(len(tree), bool)
+        if n > WINDOW + 1:
+            beyond = (region[WINDOW + 1 :] == region[: -WINDOW - 1]).all(axis=1)
+            full[: -WINDOW - 1] |= beyond
+            full[WINDOW + 1 :] |= beyond
         left, right, whole, half = [], [], [], []
         for gap in range(1, min(WINDOW, n - 1) + 1):
             near = np.flatnonzero((region[gap:] == region[:-gap]).all(axis=1))
@@ -172,27 +193,37 @@ def named_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 right.append(some + gap)
                 whole.append(shared)
                 half.append(np.einsum("ij,ijk->ik", same.astype(np.float32), HALVES[tree[some]]))
-        if not left:
-            return None
-        left, right, whole, half = (np.concatenate(x) for x in (left, right, whole, half))
-        row, other, pair = np.concatenate([left, right]), np.concatenate([right, left]), np.tile(np.arange(len(left)), 2)
-        by_half = [named_by(row, pair, half[:, k], NAMED_BY_HALF) for k in range(HALF_SKETCHES)]
-        named = np.unique(np.concatenate([named_by(row, pair, whole, NAMED), *by_half]))
-        ends = [pa.array([x.tobytes() for x in key[at[named]]], pa.binary()) for at in (row, other)]
-        return pa.RecordBatch.from_arrays([*ends, pa.array(whole[pair[named]].astype(np.int32))], ["a", "b", "shared"])
+        if left:
+            left, right, whole, half = (np.concatenate(x) for x in (left, right, whole, half))
+            row, other, pair = np.concatenate([left, right]), np.concatenate([right, left]), np.tile(np.arange(len(left)), 2)
+            full |= np.bincount(row, minlength=n) > NAMED
+            by_half = [named_by(row, pair, half[:, k], NAMED_BY_HALF) for k in range(HALF_SKETCHES)]
+            named = np.unique(np.concatenate([named_by(row, pair, whole, NAMED), *by_half]))
+            ends = [pa.array([x.tobytes() for x in key[at[named]]], pa.binary()) for at in (row, other)]
+            yield pa.RecordBatch.from_arrays([*ends, pa.array(whole[pair[named]].astype(np.int32)), pa.nulls(len(named), pa.binary())], ["a", "b", "shared", "region"])
+        if full.any():
+            yield noted(key[full], region[full])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[tuple] = []
+        last, first, seen = None, None, 0
         for b in batches:
             if not b.num_rows:
                 continue
             now = (b.column("tree").to_numpy(), fixed(b.column("prefix"), 2 * DEPTH), fixed(b.column("set_key"), 16), fixed(b.column("sketch"), TREES * DEPTH))
-            out = look([*last, now], len(last[0][0]) if last else 0)
-            if out is not None:
-                yield out
-            last = [tuple(x[-WINDOW:] for x in now)]
-
-    return rows.mapInArrow(run, "a binary, b binary, shared int").groupBy("a", "b").agg(F.max("shared").alias("shared"))
+            yield from look([last, now] if last else [now], len(last[0]) if last else 0)
+            if seen <= WINDOW:  # the region that the range's start may cut
+                head = region_of(now[0][: WINDOW + 1 - seen], now[1][: WINDOW + 1 - seen])
+                first = head[0] if first is None else first
+                cut = (head == first).all(axis=1)
+                yield noted(now[2][: len(head)][cut], head[cut])
+            seen += b.num_rows
+            last = tuple(np.concatenate([x, y])[-WINDOW - 1 :] for x, y in zip(last, now)) if last else tuple(x[-WINDOW - 1 :] for x in now)
+        if last:  # and that at its end
+            tail = region_of(last[0], last[1])
+            cut = (tail == tail[-1]).all(axis=1)
+            yield noted(last[2][cut], tail[cut])
+
+    return rows.mapInArrow(run, "a binary, b binary, shared int, region binary").groupBy("a", "b", "region").agg(F.max("shared").alias("shared"))
 
 
 def rows_of(docs: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
@@ -238,25 +269,147 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("root_a <> root_b").select("a", "b", "place")
 
 
+def between_blocks(rows: DataFrame, noted: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(region, x, y, block, set_key, root, n_shingles, heads, sketch): noted classes, dealt to the pairs x, y of blocks to compare.
+
+    A region whose noted classes are of one component has no blocks. A component with more than BLOCK classes in a
+    region has blocks of its own there, which aren't compared with each other.
+    """
+    heads = F.concat(*[F.substring("orders", 2 * DEPTH * t + 1, 2 * LEAST_DEPTH) for t in range(TREES)])
+    met = noted.join(rows.select("set_key", "n_shingles", heads.alias("heads"), "sketch"), "set_key")
+    if roots is not None:
+        met = met.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    else:
+        met = met.withColumn("root", F.col("set_key"))
+    met = stored(met, "noted")
+    per = stored(met.groupBy("region", "root").agg(F.count("*").alias("rows")), "noted-roots")
+    mixed = F.sum(F.when(F.col("rows") <= BLOCK, F.col("rows")).otherwise(0)).alias("mixed")
+    regions = stored(per.groupBy("region").agg(F.count("*").alias("roots"), F.sum("rows").alias("members"), mixed).where("roots > 1"), "regions")
+    large = per.where(F.col("rows") > BLOCK).select("region", "root", F.col("rows").alias("own"))
+    placed = left_join_hot(met, regions.select("region", "members", "mixed"), "region", "members").where("members IS NOT NULL")
+    placed = placed.join(F.broadcast(large), ["region", "root"], "left")
+    pure = F.when(F.col("own").isNotNull(), F.hex("root")).otherwise("")
+    place = F.pmod(F.xxhash64("set_key"), F.ceil(F.coalesce("own", "mixed") / BLOCK))
+    placed = stored(placed.select("region", pure.alias("pure"), F.concat_ws("-", pure, place).alias("block"), "set_key", "root", "n_shingles", "heads", "sketch"), "placed")
+    blocks = stored(placed.select("region", "pure", "block").distinct(), "blocks")
+    other = blocks.select("region", F.col("pure").alias("pure_y"), F.col("block").alias("y"))
+    cells = blocks.withColumnRenamed("block", "x").join(other, "region").where("x <= y AND (pure = '' OR pure <> pure_y)")
+    sides = F.explode(F.array_distinct(F.array("x", "y"))).alias("block")
+    return cells.select("region", "x", "y", sides).join(placed.drop("pure"), ["region", "block"])
+
+
+def sides_of(table: pa.Table, x: str, y: str) -> tuple[np.ndarray, np.ndarray]:
+    block = np.array(table.column("block").to_pylist(), object)
+    return np.flatnonzero(block == x), np.flatnonzero(block == y)
+
+
+def apart(table: pa.Table, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows are of different components and their numbers of shingles let them reach the similarity."""
+    root = np.unique(np.array([r.hex() for r in table.column("root").to_pylist()]), return_inverse=True)[1]
+    n = table.column("n_shingles").to_numpy()
+    a, b = n[left][:, None], n[right][None]
+    return (root[left][:, None] != root[right][None]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+
+
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each left set has in common with each right one."""
+    owner = [np.repeat(np.arange(len(at)), [len(sets[i]) for i in at]) for at in (left, right)]
+    held = [np.concatenate([sets[i] for i in at]) for at in (left, right)]
+    common = np.intersect1d(*held)
+    column = [np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0)) for h in held]
+    met = [common[c] == h if len(common) else np.zeros(len(h), bool) for c, h in zip(column, held)]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(common), COLUMNS):
+        grid = []
+        for at, o, c, m in zip((left, right), owner, column, met):
+            some = m & (c >= start) & (c < start + COLUMNS)
+            one = np.zeros((len(at), min(COLUMNS, len(common) - start)), np.float32)
+            one[o[some], c[some] - start] = 1
+            grid.append(one)
+        out += grid[0] @ grid[1].T
+    return out.astype(np.int64)
+
+
+def links_in_regions(docs: DataFrame, classes: DataFrame, noted: DataFrame, roots: DataFrame | None, shingle: int, percent: int) -> DataFrame:
+    """(u, v): links that join the components of classes noted in one region, enough of them to connect all that pairs link.
+
+    A pair is compared in the first tree in which it shares a region; if it wasn't noted there, the order showed it.
+    """
+    least, cell = least_shared(percent), ("region", "x", "y")
+    kept = ("block", "set_key", "root", "n_shingles")
+
+    def screen(key: tuple, table: pa.Table) -> pa.Table:
+        tree, (left, right) = key[0].as_py()[0], sides_of(table, key[1].as_py(), key[2].as_py())
+        open_pairs = apart(table, left, right, percent)
+        heads = np.frombuffer(b"".join(table.column("heads").to_pylist()), np.dtype(f"V{2 * LEAST_DEPTH}")).reshape(-1, TREES)
+        for t in range(tree):
+            open_pairs &= heads[left, t][:, None] != heads[right, t][None]
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)
+        wanted = np.zeros(table.num_rows, bool)
+        for i in np.flatnonzero(open_pairs.any(axis=1)):
+            others = right[open_pairs[i]]
+            near = others[(sketch[others] == sketch[left[i]]).sum(axis=1) >= least]
+            wanted[near] = True
+            wanted[left[i]] |= len(near) > 0
+        return table.select([*cell, *kept]).filter(pa.array(wanted))
+
+    def confirm(key: tuple, table: pa.Table) -> pa.Table:
+        left, right = sides_of(table, key[1].as_py(), key[2].as_py())
+        u, v = [], []
+        if len(left) and len(right):
+            sets = [np.asarray(x.values, np.int64) for x in table.column("set").combine_chunks()]
+            both, n = overlaps(sets, left, right), table.column("n_shingles").to_numpy()
+            reach = apart(table, left, right, percent) & (100 * both >= percent * (n[left][:, None] + n[right][None] - both))
+            names, parent = table.column("set_key").to_pylist(), list(range(table.num_rows))
+
+            def top(i: int) -> int:
+                while parent[i] != i:
+                    parent[i] = i = parent[parent[i]]
+                return i
+
+            for i, j in zip(*np.nonzero(reach)):
+                a, b = int(left[i]), int(right[j])
+                if top(a) != top(b):
+                    parent[top(a)] = top(b)
+                    u.append(names[a])
+                    v.append(names[b])
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    dealt = between_blocks(classes, noted, roots)
+    schema = "region binary, x string, y string, block string, set_key binary, root binary, n_shingles long"
+    wanted = stored(dealt.groupBy(*cell).applyInArrow(screen, schema), "block-pairs")
+    ends = stored(classes.select("set_key", "doc_id", "text_key").join(wanted.select("set_key").distinct(), "set_key", "left_semi"), "ends")
+    sets = stored(class_sets(docs, ends, shingle), "sets")
+    return wanted.join(sets, "set_key").groupBy(*cell).applyInArrow(confirm, "u binary, v binary")
+
+
 def forest_roots(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, root) of every class that a link joins to another.
 
     In round r, the pairs that are among the GROWTH**r best of an end are looked at if they lie between components; what lies
-    within one is dropped. A class names a bounded number of others, so the rounds end.
+    within one is dropped. A class names a bounded number of others, so the rounds end. Then come the noted classes.
     """
     ordered = tree_rows(classes).repartitionByRange("tree", "prefix", "set_key").sortWithinPartitions("tree", "prefix", "set_key")
-    rest = stored(ranked_pairs(named_pairs(ordered, percent)), "pairs")
+    seen = stored(named_pairs(ordered, percent), "named")
+    noted = seen.where("b IS NULL").select(F.col("a").alias("set_key"), "region")
+    rest = stored(ranked_pairs(seen.where("b IS NOT NULL").select("a", "b", "shared")), "pairs")
     ends = rest.select(F.col("a").alias("set_key")).unionByName(rest.select(F.col("b").alias("set_key"))).distinct()
     sets = stored(class_sets(docs, stored(classes.select("set_key", "doc_id", "text_key").join(ends, "set_key", "left_semi"), "ends"), shingle), "sets")
     roots, most = None, 1
+
+    def joined(found: DataFrame) -> DataFrame | None:
+        if found.isEmpty():
+            return roots
+        stars = found if roots is None else found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        return stored(components(stars), "roots")
+
     while not rest.isEmpty():
         if roots is not None:
             rest = stored(between(rest, roots), "pairs")
-        found = stored(linked(rest.where(F.col("place") <= most), sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        if not found.isEmpty():
-            stars = found if roots is None else found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-            roots = stored(components(stars), "roots")
+        roots = joined(stored(linked(rest.where(F.col("place") <= most), sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links"))
         rest, most = rest.where(F.col("place") > most), GROWTH * most
+    if not noted.isEmpty():
+        roots = joined(stored(links_in_regions(docs, classes, noted, roots, shingle, percent), "links"))
     return docs.sparkSession.createDataFrame([], "node binary, root binary") if roots is None else roots
 
 

@@ -74,6 +74,28 @@ def test_one_large_group(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def dense(n):
+    """Texts around one template that are too far apart to be linked, and for every fourth one a near copy of its own."""
+    base, out = sentence(1, 150).split(), []
+    for k in range(n):
+        words = [f"z{k}{i}" if (i + 11 * k) % 150 < 14 else w for i, w in enumerate(base)]
+        out.append(" ".join(words))
+        if k % 4 == 0:
+            out.append(" ".join(f"q{k}{i}" if i in ((7 * k) % 150, (7 * k + 40) % 150) else w for i, w in enumerate(words)))
+    return out
+
+
+def test_full_windows_and_lists_lose_no_link(spark, monkeypatch):
+    """Named pairs are taken away, so that all links have to come from the regions noted as full."""
+    named = near_dedup.named_pairs
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "named_pairs", lambda rows, percent: named(rows, percent).where("b IS NULL"))
+    rows = [row(i, t) for i, t in enumerate(dense(60))]
+    got = near_dedup.near_groups(frame(spark, rows), 2).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 2)
+    assert not all(r.kept for r in got)
+
+
 def test_query_on_the_small_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.op6_near_dedup(spark, sf_dir).collect()
