@@ -7,11 +7,19 @@ need a camera's order are split at fixed ranges of arrival first, so that no tas
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.storage import stored
+
 #: Frames of a camera that one task puts in order.
 CHUNK = 100_000
+#: Seconds of a camera that one task walks, at least.
+RANGE = 65_536
 
 
 def clock_ok() -> Column:
@@ -144,23 +152,55 @@ def run_summary(verdict: DataFrame) -> DataFrame:
 def rate_limited(frames: DataFrame, least_seconds: int) -> DataFrame:
     """Frames that a limiter lets pass: the first, then each at least so long after the last one that passed.
 
-    Who passes depends on who passed before, but only back to the last pause of ``least_seconds``: after it the first
-    frame passes in any case. Each stretch between pauses is folded by itself. Times are whole seconds.
+    Times are whole seconds, so of the frames of a second only the first to come can pass. Seconds go into ranges of time.
+    What passed before a range holds back less than least_seconds of it, so few seconds can be its first to pass. Each
+    range is walked from each of these, which gives a table of where it is left; the tables are followed in the order of
+    ranges, and each range is walked from the second that does pass first. Only one range's seconds are ever in one
+    task's memory. Frames without a time don't pass, unless least_seconds is 0 or less: then all with a time do.
     """
-    by = Window.partitionBy("camera").orderBy("timestamp_s", "arrival")
-    pause = F.coalesce(F.col("timestamp_s") - F.lag("timestamp_s").over(by) >= least_seconds, F.lit(True))
-    stretch = frames.withColumn("__new", pause.cast("int")).withColumn("__stretch", F.sum("__new").over(by))
-
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("timestamp_s", "arrival"))),
-        F.struct(F.lit(-(2**40)).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept")),
-        lambda acc, x: F.when(
-            x["timestamp_s"] - acc["last"] >= least_seconds,
-            F.struct(x["timestamp_s"].alias("last"), F.concat(acc["kept"], F.array(x["arrival"])).alias("kept")),
-        ).otherwise(acc),
-    )
-    kept = stretch.groupBy("camera", "__stretch").agg(folded["kept"].alias("kept"))
-    return kept.select("camera", F.explode("kept").alias("arrival"))
+    timed = frames.where(F.col("timestamp_s").isNotNull())
+    if least_seconds <= 0:
+        return timed.select("camera", "arrival")
+    width = max(RANGE, 64 * least_seconds)
+    seconds = timed.groupBy("camera", "timestamp_s").agg(F.min("arrival").alias("arrival"))
+    ranged = stored(seconds.withColumn("range", F.floor(F.col("timestamp_s") / width)), "seconds")
+
+    def tabulate(key: tuple, table: pa.Table) -> pa.Table:
+        camera, number = (k.as_py() for k in key)
+        t = np.sort(table.column("timestamp_s").to_numpy())
+        onward, last = np.searchsorted(t, t + least_seconds), np.arange(len(t))
+        for i in range(len(t) - 1, -1, -1):
+            if onward[i] < len(t):
+                last[i] = last[onward[i]]
+        n = min(len(t), int(np.searchsorted(t, number * width + least_seconds)) + 1)
+        return pa.table({"camera": pa.array([camera] * n, pa.string()), "range": pa.array([number] * n, pa.int64()), "enter": t[:n], "leave": t[last[:n]]})
+
+    def follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, done, free = (), None, None
+        for b in batches:
+            out: list[tuple] = []
+            for camera, number, enter, leave in zip(*(b.column(c).to_pylist() for c in ("camera", "range", "enter", "leave"))):
+                if at != (camera,):
+                    at, done, free = (camera,), None, enter
+                if number != done and enter >= free:
+                    out.append((camera, number, enter))
+                    done, free = number, leave + least_seconds
+            kinds = (pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["by", "at", "start"])
+
+    def walk(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("timestamp_s")
+        t, kept = table.column("timestamp_s").to_numpy(), []
+        i = int(np.searchsorted(t, table.column("start")[0].as_py()))
+        while i < len(t):
+            kept.append(i)
+            i = int(np.searchsorted(t, t[i] + least_seconds))
+        return table.select(["camera", "arrival"]).take(pa.array(kept, pa.int64()))
+
+    tables = ranged.groupBy("camera", "range").applyInArrow(tabulate, "camera string, range long, enter long, leave long")
+    starts = tables.repartition("camera").sortWithinPartitions("camera", "range", "enter").mapInArrow(follow, "by string, at long, start long")
+    met = ranged.join(starts, F.col("camera").eqNullSafe(F.col("by")) & (F.col("range") == F.col("at"))).drop("by", "at")
+    return met.groupBy("camera", "range").applyInArrow(walk, "camera string, arrival long")
 
 
 def publish_sequence(frames: DataFrame) -> DataFrame:

@@ -54,6 +54,23 @@ def test_sampling_counts_from_one_and_nothing_for_zero(spark):
     assert t.sampled(f, 0).count() == 0
 
 
+def test_rate_limit_walks_steady_cameras_range_by_range(spark, monkeypatch):
+    monkeypatch.setattr(t, "RANGE", 1)
+    times = {"a": [s for s in range(1, 1500) if s % 11 and not 700 < s < 730], "b": [s // 3 for s in range(600)], "c": [5, 2, 900, 901, 904]}
+    rows = [(c, i, 1, 0, 10, 10, s, 0, s, 0) for c, ts in times.items() for i, s in enumerate(ts)]
+    want = []
+    for c, ts in times.items():
+        last = None
+        for s, i in sorted((s, i) for i, s in enumerate(ts)):
+            if last is None or s - last >= 3:
+                last = s
+                want.append((c, i))
+    limited = t.rate_limited(spark.createDataFrame(rows, SCHEMA), 3)
+    assert sorted(map(tuple, limited.collect())) == sorted(want)
+    plan = limited._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan
+
+
 def test_verdict_gives_the_first_reason(spark):
     plan = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "camera string, expected_fps double")
     got = {r.camera: r.reason for r in t.verdicts(frames(spark, [1, 2, 9, 10]), plan, 0.5, 3).collect()}
