@@ -59,7 +59,7 @@ def jpeg_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame_stats.run_to_end(frame_stats.running_stats(frames(spark, sf_dir, stream=True)), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", "update")
+    rows = frame_stats.running_stats(frames(spark, sf_dir, stream=True), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
     last = rows.groupBy("camera").agg(F.max_by(F.struct(*rows.columns), "frames").alias("r"))
     return last.select("camera", "r.frames", "r.bytes", "r.gaps", "r.dropped_total", "r.first_frame", "r.last_frame")
 

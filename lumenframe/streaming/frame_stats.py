@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from lumenframe.operators import telemetry
 
 STATE = "frames long, bytes long, gaps long, dropped long, first long, last long, counter long"
-OUT = "camera string, frames long, bytes long, gaps long, dropped_total long, first_frame long, last_frame long"
 
 
 def folded(state: tuple, frames: pd.DataFrame) -> tuple:
-    """The state after more frames of a camera, in order of arrival; -1 stands for unknown numbers."""
+    """The state after more frames of a camera, one by one in order of arrival: what running_stats() is tested against. -1 stands for unknown numbers."""
     n, size, gaps, dropped, first, last, counter = state
     for number, written, expected, now in frames.sort_values("arrival")[["frame_number", "bytes_written", "frame_size", "dropped"]].itertuples(index=False):
         n, size = n + 1, size + (written if written > 0 else expected)
@@ -27,19 +25,55 @@ def folded(state: tuple, frames: pd.DataFrame) -> tuple:
     return tuple(int(x) for x in (n, size, gaps, dropped, first, last, counter))
 
 
-def running_stats(frames: DataFrame) -> DataFrame:
-    """A stream of each camera's totals after every batch; use it in update mode.
-
-    Without a watermark: frames count in the order in which they came, as the batch operators have it. The state is
-    seven numbers a camera.
+def batch_stats(frames: DataFrame) -> DataFrame:
+    """What a batch adds to each camera's state, with the first counter; ranges of arrival are put in order one by one."""
+    number, counter = (F.when(F.col(c) >= 0, F.col(c)) for c in ("frame_number", "dropped"))
+    known, counted = F.when(number.isNotNull(), F.col("arrival")), F.when(counter.isNotNull(), F.col("arrival"))
+    ends = [F.min_by(number, known).alias("first"), F.max_by(number, known).alias("last"), F.min_by(counter, counted).alias("counter_first"), F.max_by(counter, counted).alias("counter")]
+    sums = frames.groupBy("camera").agg(F.count("*").alias("frames"), F.sum(telemetry.frame_bytes()).alias("bytes"), *ends)
+    return sums.join(telemetry.gaps(frames), "camera").join(telemetry.counter_growth(frames), "camera")
+
+
+def advanced(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """The states (STATE and whether the batch had frames, by camera) after a batch; null stands for unknown numbers."""
+    if state is None:
+        return batch.select("camera", "frames", "bytes", "gaps", F.col("dropped_total").alias("dropped"), "first", "last", "counter", F.lit(True).alias("changed"))
+    old, new = state.alias("o"), batch.alias("n")
+    met = old.join(new, "camera", "full")
+    total = lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))
+    jump = F.greatest(F.lit(0), F.coalesce(F.col("n.first") - F.col("o.last") - 1, F.lit(0)))
+    growth = F.greatest(F.lit(0), F.coalesce(F.col("n.counter_first") - F.col("o.counter"), F.lit(0)))
+    return met.select(
+        "camera",
+        total(F.col("o.frames"), F.col("n.frames")).alias("frames"),
+        total(F.col("o.bytes"), F.col("n.bytes")).alias("bytes"),
+        (total(F.col("o.gaps"), F.col("n.gaps")) + jump).alias("gaps"),
+        (total(F.col("o.dropped"), F.col("n.dropped_total")) + growth).alias("dropped"),
+        F.coalesce("o.first", "n.first").alias("first"),
+        F.coalesce("n.last", "o.last").alias("last"),
+        F.coalesce("n.counter", "o.counter").alias("counter"),
+        F.col("n.frames").isNotNull().alias("changed"),
+    )
+
+
+def running_stats(frames: DataFrame, path: str) -> DataFrame:
+    """Runs a stream of frames over what its source has now; each camera's totals after every batch that had frames of it.
+
+    Without a watermark: frames count in the order in which they came, as the batch operators have it. A batch is
+    aggregated by DataFrame functions, so none of a camera's frames are gathered; between batches seven numbers a camera
+    go on, in a folder for each batch, from which a batch that is run again starts anew.
     """
+    schema = "camera string, " + STATE + ", changed boolean"
 
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = folded(state.get if state.exists else (0, 0, 0, 0, -1, -1, -1), pd.concat(list(parts)))
-        state.update(now)
-        yield pd.DataFrame([(key[0], *now[:6])], columns=[c.split()[0] for c in OUT.split(", ")])
+    def write(batch: DataFrame, number: int) -> None:
+        state = batch.sparkSession.read.schema(schema).parquet(f"{path}/states/batch={number - 1:09d}") if number else None
+        advanced(state, batch_stats(batch)).coalesce(1).write.mode("overwrite").parquet(f"{path}/states/batch={number:09d}")
 
-    return frames.groupBy("camera").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    query = frames.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    held = frames.sparkSession.read.schema(schema).parquet(f"{path}/states/*").where("changed")
+    ends = [F.coalesce(c, F.lit(-1)).cast("long").alias(f"{c}_frame") for c in ("first", "last")]
+    return held.select("camera", "frames", "bytes", "gaps", F.col("dropped").alias("dropped_total"), *ends)
 
 
 def interval_stream(frames: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:

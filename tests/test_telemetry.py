@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.operators import telemetry as t
+from lumenframe.streaming import frame_stats
 from lumenframe.streaming.frame_stats import folded
 
 SCHEMA = "camera string, arrival long, frame_number long, dropped long, bytes_written long, frame_size long, timestamp_s long, timestamp_ns long, received_s long, received_ns long"
@@ -41,6 +42,16 @@ def test_stream_state_is_the_batch_result(spark):
     assert (t.gaps(f).first().gaps, t.counter_growth(f).first().dropped_total) == (6, 7)
 
 
+def test_running_stats_gathers_no_camera(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(t, "CHUNK", 2)
+    f = frames(spark, [1, 2, 6, 5, -1, 9], [5, 2, 4, -1, 4, 9]).coalesce(1)
+    for low, high in ((0, 2), (2, 5), (5, 6)):
+        f.where((F.col("arrival") >= low) & (F.col("arrival") < high)).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = frame_stats.running_stats(stream, f"file://{tmp_path}/out")
+    assert sorted(map(tuple, got.collect())) == [("a", 2, 20, 0, 0, 1, 2), ("a", 5, 50, 3, 2, 1, 5), ("a", 6, 60, 6, 7, 1, 9)]
+
+
 def test_latency_needs_clocks_close_together(spark):
     rows = [("a", 0, 1, 0, 10, 10, ts, 0, rs, 500_000_000) for ts, rs in ((100, 100), (0, 5), (100, 110), (100, 90))]
     row = t.mean_latency(spark.createDataFrame(rows, SCHEMA)).first()
