@@ -1,9 +1,11 @@
 """Exact dedup by an extendible-hash index on shared files. DataFrame functions only.
 
 Every text gets a 64-bit key. Copies collapse before the shuffle (partial aggregation on key and text, so texts are
-compared byte by byte), and an index row is left for each distinct text. The index lies in shared files, one folder for
-each bucket of an extendible hash: the directory doubles until no bucket is overfull, so a bucket is a range of keys and
-one owner task processes it. Different texts with one key form a chain, told apart by their place in it.
+compared byte by byte), and an entry is left for each distinct text. The directory starts with one slot and doubles
+while a bucket is overfull; a bucket that isn't keeps several slots. A bucket is thus a range of keys. Its owner task
+lays the range's entries into the bucket's folder of the shared files and chains different texts with one key. Rows find
+their text through the directory: the leading bits of the key name the slot, the slot the bucket, and within the bucket
+the key its chain and the SHA-256 the link.
 
 Defined cases: a null text counts as empty; without rows the result is empty; rows that repeat both doc_id and text are
 copies of which one is kept; a null doc_id is smaller than any other; other columns are ignored, whatever their names.
@@ -12,29 +14,28 @@ copies of which one is kept; a null doc_id is smaller than any other; other colu
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.storage import stored
 
-#: Index rows that a bucket may hold before it splits.
-CAPACITY = 65_536
-#: Bits of the first directory and of the largest one; fuller buckets than that just stay full.
-FIRST_DEPTH, LAST_DEPTH = 2, 16
+#: Entries that a bucket may hold before it splits. More, if there would be more than about MOST_BUCKETS of them.
+CAPACITY, MOST_BUCKETS = 512, 16_384
+#: Bits of the key by which one pass over the entries may double the directory; what is still overfull takes another.
+STEP, BITS = 16, 64
 #: A text with at least one row in HOT_SHARE has its entry broadcast; there are HOT_SHARE such texts at most.
 HOT_SHARE = 2_000
-#: Chains to broadcast at most; more are joined by a shuffle.
-CHAIN_BROADCAST = 10_000
 
 
 def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def prefix(key: Column, bits: int) -> Column:
-    """The leading bits of a key, from 0."""
-    return F.shiftrightunsigned(key, 64 - bits)
+def bits_of(key: Column, first: int, bits: int) -> Column:
+    """The number that some bits of a key make, the first being bit ``first`` from the left."""
+    return F.shiftrightunsigned(F.shiftleft(key, first), BITS - bits) if bits else F.lit(0).cast("long")
 
 
 def keyed(docs: DataFrame, hasher: Callable[[Column], Column] = text_key) -> DataFrame:
@@ -42,84 +43,124 @@ def keyed(docs: DataFrame, hasher: Callable[[Column], Column] = text_key) -> Dat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), hasher(text).alias("key"), text.alias("text"))
 
 
-def directory(index: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
-    """(slot, bucket) for each slot of the directory, and its depth in bits.
+@dataclass
+class Level:
+    """Slots of the directory that tell ``bits`` bits of a key from bit ``first`` on: (parent, slot, child)."""
 
-    A bucket is a key prefix that holds at most ``capacity`` rows while the prefix one bit shorter holds more. The
-    directory has 2**LAST_DEPTH slots at most.
+    slots: DataFrame
+    first: int
+    bits: int
+
+
+@dataclass
+class Index:
+    """bucket, key, link, links, sha, keep_id and group_size of each distinct text, and the directory to its buckets."""
+
+    entries: DataFrame
+    levels: list[Level]
+
+
+def directory(keys: DataFrame, capacity: int = CAPACITY) -> list[Level]:
+    """The directory to buckets of ``capacity`` rows at most; only equal keys may be more.
+
+    Doubling is counted, not played through: a bucket is a key prefix that is not overfull below one that is. All
+    prefixes of up to STEP bits are counted in one pass. Prefixes still overfull then begin a level of their own.
     """
-    cells = stored(index.groupBy(prefix(F.col("key"), LAST_DEPTH).alias("cell")).agg(F.count("*").alias("rows")), "cells")
-    depths = F.explode(F.sequence(F.lit(FIRST_DEPTH), F.lit(LAST_DEPTH))).alias("depth")
-    at = cells.select("cell", "rows", depths).select("depth", F.expr(f"shiftrightunsigned(cell, {LAST_DEPTH} - depth)").alias("head"), "rows")
-    sizes = at.groupBy("depth", "head").agg(F.sum("rows").alias("rows"))
-    above = sizes.select((F.col("depth") + 1).alias("depth"), F.col("head").alias("parent"), F.col("rows").alias("rows_above"))
-    split = sizes.withColumn("parent", F.shiftrightunsigned("head", 1)).join(above, ["depth", "parent"], "left")
-    full = F.coalesce(F.col("rows_above"), F.lit(capacity + 1)) > capacity
-    leaves = stored(split.where(full & ((F.col("rows") <= capacity) | (F.col("depth") == LAST_DEPTH))).select("depth", "head"), "leaves")
-    depth = leaves.agg(F.max("depth")).first()[0] or FIRST_DEPTH
-    wide = F.expr(f"shiftleft(1L, {depth} - depth)")
-    slots = leaves.select(F.explode(F.sequence(F.col("head") * wide, (F.col("head") + 1) * wide - 1)).alias("slot"), F.concat_ws("-", "depth", "head").alias("bucket"))
-    return slots, depth
-
-
-def build_index(docs: DataFrame, hasher: Callable[[Column], Column] = text_key, capacity: int = CAPACITY) -> DataFrame:
-    """Index row of each distinct text: bucket, key, link, links, sha, keep_id, group_size.
-
-    ``links`` is the length of the key's chain and ``link`` the row's place in it, from 0. Partial aggregation leaves a
+    levels, first, rest = [], 0, keys.select("key", F.lit("b").alias("parent"))
+    while True:
+        cells = stored(rest.groupBy("parent", bits_of(F.col("key"), first, STEP).alias("cell")).agg(F.count("*").alias("rows")), "cells")
+        at = cells.select("parent", "cell", "rows", F.explode(F.sequence(F.lit(0), F.lit(STEP))).alias("depth"))
+        at = at.withColumn("head", F.expr(f"shiftrightunsigned(cell, {STEP} - depth)"))
+        sizes = at.groupBy("parent", "depth", "head").agg(F.sum("rows").alias("rows"))
+        above = sizes.select("parent", (F.col("depth") + 1).alias("depth"), F.col("head").alias("over"), F.col("rows").alias("rows_above"))
+        split = sizes.withColumn("over", F.shiftrightunsigned("head", 1)).join(above, ["parent", "depth", "over"], "left")
+        ends = (F.col("rows") <= capacity) | (F.col("depth") == STEP)
+        leaves = stored(split.where(ends & (F.col("rows_above").isNull() | (F.col("rows_above") > capacity))).select("parent", "depth", "head", (F.col("rows") > capacity).alias("full")), "leaves")
+        bits = leaves.agg(F.max("depth")).first()[0] or 0
+        wide = F.expr(f"shiftleft(1L, {bits} - depth)")
+        child = F.concat_ws("-", "parent", F.concat_ws(".", "depth", "head")).alias("child")
+        slots = leaves.select("parent", F.explode(F.sequence(F.col("head") * wide, (F.col("head") + 1) * wide - 1)).alias("slot"), child)
+        levels.append(Level(slots, first, bits))
+        full = leaves.where("full").select(child)
+        if first + STEP >= BITS or full.isEmpty():
+            return levels
+        rest = located(rest.select("key"), levels).join(F.broadcast(full), F.col("bucket") == F.col("child"), "left_semi").withColumnRenamed("bucket", "parent")
+        first += STEP
+
+
+def located(rows: DataFrame, levels: list[Level]) -> DataFrame:
+    """The rows with the bucket of their key. The slots of a level are a few for each bucket, so they are broadcast."""
+    rows = rows.withColumn("bucket", F.lit("b"))
+    for level in levels:
+        found = rows.withColumn("slot", bits_of(F.col("key"), level.first, level.bits)).withColumnRenamed("bucket", "parent")
+        rows = found.join(F.broadcast(level.slots), ["parent", "slot"], "left").withColumn("bucket", F.coalesce("child", "parent")).drop("parent", "slot", "child")
+    return rows
+
+
+def build_index(docs: DataFrame, hasher: Callable[[Column], Column] = text_key, capacity: int = CAPACITY) -> Index:
+    """The index of a table's texts, a folder of the shared files for each bucket.
+
+    ``links`` is the length of a key's chain and ``link`` an entry's place in it, from 0. Partial aggregation leaves a
     copy of a text for each task, so a text that a third of the rows share is shuffled once a task. The keep_id of a
     text is the largest doc_id of its rows.
     """
     rows = keyed(docs, hasher).groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     entries = stored(rows.select("key", F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size"), "entries")
-    slots, depth = directory(entries, capacity)
-    dealt = entries.withColumn("slot", prefix(F.col("key"), depth)).join(F.broadcast(slots), "slot").drop("slot")
-    files = stored(dealt.repartitionByRange("key").sortWithinPartitions("bucket", "key"), "index", ("bucket",))
+    levels = directory(entries, max(capacity, entries.count() // MOST_BUCKETS + 1))
+    owned = located(entries, levels).repartition("bucket")  # a task owns whole buckets
     chain = Window.partitionBy("bucket", "key")
-    return files.withColumn("links", F.count("*").over(chain)).withColumn("link", F.row_number().over(chain.orderBy("sha", "keep_id")) - 1)
+    chained = owned.withColumn("links", F.count("*").over(chain)).withColumn("link", F.row_number().over(chain.orderBy("sha")) - 1)
+    return Index(stored(chained, "index", ("bucket",)), levels)
 
 
-def exact_groups(docs: DataFrame, hasher: Callable[[Column], Column] = text_key, capacity: int = CAPACITY) -> DataFrame:
-    """For every row its doc_id, keep_id, group_size, kept and text_sha256.
+def probed(docs: DataFrame, index: Index, hasher: Callable[[Column], Column] = text_key) -> DataFrame:
+    """doc_id, keep_id, group_size and sha of every row, which finds its text's entry in the bucket of its key.
 
-    Rows probe the index by key. Where the key's chain is longer than one, the SHA-256 of the row's text tells its link.
     The entries of the most frequent texts are broadcast, so that no task gets all rows of a text.
     """
-    entry = F.struct("sha", "keep_id", "group_size").alias("entry")
-    index = stored(build_index(docs, hasher, capacity), "chains")
-    rows = index.agg(F.sum("group_size")).first()[0] or 0
-    single, chained = index.where("links = 1"), index.where("links > 1")
-    hot = single.where(F.col("group_size") >= max(100, rows // HOT_SHARE + 1)).select("key", entry.alias("hot"))
-    cold = single.where(F.col("group_size") < max(100, rows // HOT_SHARE + 1)).select("key", entry.alias("cold"), F.lit(False).alias("found"))
-    chains = chained.select("key", F.col("sha"), entry.alias("link_entry"))
-    few = chains.count()
-    texts = keyed(docs, hasher)
-    if few:
-        texts = texts.withColumn("sha", F.unhex(F.sha2("text", 256)))
-        side = F.broadcast(chains) if few <= CHAIN_BROADCAST else chains
-        texts = texts.join(side, ["key", "sha"], "left").drop("sha")
-    else:
-        texts = texts.withColumn("link_entry", F.lit(None).cast(cold.schema["cold"].dataType))
-    probe = texts.drop("text").join(F.broadcast(hot), "key", "left")
-    probe = probe.withColumn("found", F.col("hot").isNotNull() | F.col("link_entry").isNotNull())
+    rows = index.entries.agg(F.sum("group_size")).first()[0] or 0
+    least = max(100, rows // HOT_SHARE + 1)
+    entry = F.struct("keep_id", "group_size")
+    hot = index.entries.where(F.col("group_size") >= least).select("bucket", "key", "sha", entry.alias("hot"))
+    cold = index.entries.where(F.col("group_size") < least).select("bucket", "key", "sha", entry.alias("cold"), F.lit(False).alias("found"))
+    texts = keyed(docs, hasher).select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha"))
+    probe = located(texts, index.levels).join(F.broadcast(hot), ["bucket", "key", "sha"], "left").withColumn("found", F.col("hot").isNotNull())
     probe = probe.withColumn("key", F.when(F.col("found"), F.xxhash64("doc_id", "key")).otherwise(F.col("key")))
-    met = probe.join(cold, ["key", "found"], "left").withColumn("entry", F.coalesce("link_entry", "hot", "cold"))
-    last = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    flat = met.select("doc_id", "entry.keep_id", "entry.group_size", F.lower(F.hex("entry.sha")).alias("text_sha256"))
-    again = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("doc_id"))
-    return flat.select("doc_id", "keep_id", "group_size", (last & (again == 1)).alias("kept"), "text_sha256")
+    met = probe.join(cold, ["bucket", "key", "sha", "found"], "left").withColumn("entry", F.coalesce("hot", "cold"))
+    return met.select("doc_id", "entry.keep_id", "entry.group_size", "sha")
+
+
+def exact_groups(docs: DataFrame, hasher: Callable[[Column], Column] = text_key, capacity: int = CAPACITY) -> DataFrame:
+    """For every row its doc_id, keep_id, group_size, kept and text_sha256."""
+    found = probed(docs, build_index(docs, hasher, capacity), hasher)
+    same = found.groupBy("doc_id", "keep_id", "group_size", "sha").agg(F.count("*").alias("times"))
+    each = same.select("doc_id", "keep_id", "group_size", F.lower(F.hex("sha")).alias("text_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("time") == 1)
+    return each.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents of which exact_groups() keeps the row, with all their columns.
 
-    Rows that also share the doc_id are told apart by their other columns, the largest staying. The key, the collapse
-    of copies before the shuffle and the comparison of bytes are the index's; its rows carry the whole document, so
-    no text moves twice.
+    Every row is looked up in the index, and stays if it has the keep_id of its text. Of rows that also share the
+    doc_id one stays, the largest by its other columns.
     """
-    rest = [c for c in docs.columns if c != "text"]
-    row = F.struct(*rest, F.col("text").isNull().alias("no_text"))
-    order = F.struct(F.col("doc_id").cast("long"), F.to_json(F.struct(*rest)), F.col("text").isNotNull())
-    held = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), row.alias("row"), order.alias("order")).withColumn("key", text_key(F.col("text")))
-    one = held.groupBy("key", "text").agg(F.max_by("row", "order").alias("row"))
-    back = {c: F.col("row")[c] for c in rest} | {"text": F.when(~F.col("row.no_text"), F.col("text"))}
-    return one.select(*[back[c].alias(c) for c in docs.columns])
+    index = build_index(docs)
+    winners = index.entries.select("bucket", "key", "sha", "keep_id")
+    same = ["bucket", "key", "sha", "keep_id"]
+    ids = keyed(docs).select(F.col("doc_id").alias("keep_id"), "key", F.unhex(F.sha2("text", 256)).alias("sha"))
+    repeats = located(ids, index.levels).groupBy(*same).agg(F.count("*").alias("times")).where("times > 1")
+
+    def on(a: str, b: str) -> list[Column]:
+        return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in same]
+
+    tied = stored(repeats.alias("r").join(winners.alias("w"), on("r", "w"), "left_semi"), "tied")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    held = docs.select(row, F.col("doc_id").cast("long").alias("keep_id"), text_key(text).alias("key"), F.unhex(F.sha2(text, 256)).alias("sha"))
+    kept = located(held, index.levels).alias("h").join(winners.alias("w"), on("h", "w"), "left_semi")
+    if not tied.isEmpty():
+        order = F.to_json(F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != "text"], F.col("row.text").isNotNull().alias("has_text")))
+        one = kept.join(tied.alias("t"), on("h", "t"), "left_semi").groupBy("bucket", "key", "sha").agg(F.max_by("row", order).alias("row"))
+        kept = kept.join(tied.alias("t"), on("h", "t"), "left_anti").select("row").unionByName(one.select("row"))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -25,6 +25,7 @@ unless all its ids are null; repeated rows are linked to each other; other colum
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -88,14 +89,8 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, shingle: int) -> tuple[np
 
 
 def set_keys(hashes: np.ndarray, starts: np.ndarray) -> list[bytes | None]:
-    """Sixteen bytes that stand for each set; none for an empty one."""
-    sums = []
-    with np.errstate(over="ignore"):
-        for salt in (MIX[1], MIX[2]):
-            ends = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes ^ salt), dtype=np.uint64)])
-            sums.append(ends[starts[1:]] - ends[starts[:-1]])
-    both = np.stack(sums, axis=1).astype(">u8")
-    return [both[i].tobytes() if a < b else None for i, (a, b) in enumerate(zip(starts[:-1], starts[1:]))]
+    """Sixteen bytes of BLAKE2b over each set's sorted hashes; none for an empty one."""
+    return [blake2b(hashes[a:b].tobytes(), digest_size=16).digest() if a < b else None for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
 
 
 def minhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:

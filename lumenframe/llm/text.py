@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-#: A number for each pair of a byte and its place in a word; places past the last are told apart by a factor.
+#: A number for each pair of a byte and its place in a word. Longer words are hashed by BLAKE2b.
 PLACES = 64
 BYTE_AT = mixed(np.arange(1, 256 * PLACES + 1, dtype=np.uint64) * MIX[0]).reshape(PLACES, 256)
 
@@ -78,9 +79,11 @@ def hashed_words(data: np.ndarray, starts: np.ndarray, gap: np.ndarray = SPACE)
     at = np.flatnonzero(solid)
     place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
     with np.errstate(over="ignore"):
-        parts = BYTE_AT[place % PLACES, data[at]] * (2 * (place // PLACES) + 1).astype(np.uint64)
-        total = np.add.reduceat(parts, np.cumsum(size) - size) if len(size) else np.zeros(0, np.uint64)
-    return Words(mixed(total), np.searchsorted(starts, begin, "right") - 1, begin, size)
+        parts = BYTE_AT[place % PLACES, data[at]]
+        total = mixed(np.add.reduceat(parts, np.cumsum(size) - size)) if len(size) else np.zeros(0, np.uint64)
+    for i in np.flatnonzero(size > PLACES).tolist():
+        total[i] = int.from_bytes(blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return Words(total, np.searchsorted(starts, begin, "right") - 1, begin, size)
 
 
 def fresh(name: str, columns: Iterable[str]) -> str:

@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.text import slices
+from lumenframe.storage import stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Lengths that one block of the suffix sums covers.
-BLOCK = 1024
+BLOCK = 256
 
 
 def encoding(ranks: bytes) -> tiktoken.Encoding:
@@ -51,7 +52,7 @@ def histogram(counted: DataFrame) -> DataFrame:
     docs; truncated_tokens, the corpus's tokens when every document is cut to that length. The suffix sums run within
     blocks of lengths and then over block totals, so no task needs all lengths.
     """
-    flat = counted.groupBy("n_tokens").agg(F.count("*").alias("docs"))
+    flat = stored(counted.groupBy("n_tokens").agg(F.count("*").alias("docs")), "lengths")  # texts are encoded once
     flat = flat.select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.expr(f"n_tokens div {BLOCK}").alias("block"))
     inside = Window.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)

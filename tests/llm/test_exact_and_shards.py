@@ -33,13 +33,33 @@ def test_groups_whatever_the_keys(spark, hasher, capacity):
 
 
 def test_directory_splits_until_no_bucket_is_overfull(spark):
-    index = spark.range(3000).select(F.xxhash64("id").alias("key"))
-    slots, depth = exact_dedup.directory(index, 50)
-    assert slots.count() == 2**depth == slots.select("slot").distinct().count()
-    sizes = index.withColumn("slot", exact_dedup.prefix(F.col("key"), depth)).join(slots, "slot").groupBy("bucket").count().collect()
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    (level,) = exact_dedup.directory(keys, 50)
+    assert level.bits > 5 and level.slots.count() == 2**level.bits == level.slots.select("slot").distinct().count()
+    assert level.slots.select("child").distinct().count() < 2**level.bits
+    sizes = exact_dedup.located(keys, [level]).groupBy("bucket").count().collect()
     assert max(r["count"] for r in sizes) <= 50 and sum(r["count"] for r in sizes) == 3000
 
 
+def test_keys_that_begin_alike_take_more_levels(spark):
+    keys = spark.range(100).select(F.col("id").alias("key"))
+    levels = exact_dedup.directory(keys, 7)
+    assert [x.first for x in levels] == [0, 16, 32, 48]
+    sizes = exact_dedup.located(keys, levels).groupBy("bucket").count().collect()
+    assert len(sizes) > 14 and max(r["count"] for r in sizes) <= 7 and sum(r["count"] for r in sizes) == 100
+
+
+def test_rows_are_found_through_the_directory(spark):
+    """With slots that lead to other buckets no row finds its text."""
+    docs = frame(spark, [row(i, f"text {i}") for i in range(200)])
+    index = exact_dedup.build_index(docs, capacity=20)
+    assert index.entries.select("bucket").distinct().count() > 4
+    assert exact_dedup.probed(docs, index).where("keep_id = doc_id").count() == 200
+    (level,) = index.levels
+    wrong = exact_dedup.Level(level.slots.withColumn("slot", 2**level.bits - 1 - F.col("slot")), level.first, level.bits)
+    assert exact_dedup.probed(docs, exact_dedup.Index(index.entries, [wrong])).where("keep_id IS NOT NULL").count() == 0
+
+
 def test_stage_keeps_one_whole_row_of_each_text(spark):
     rows = awkward()
     docs = frame(spark, rows)
@@ -52,6 +72,12 @@ def test_stage_keeps_one_whole_row_of_each_text(spark):
     assert all(r[0] == best[r[1] or ""] for r in kept)
 
 
+def test_stage_of_repeated_and_null_ids(spark):
+    rows = [row(1, "a", "de"), row(1, "a", "en"), row(1, "a", "en"), row(None, "b"), row(None, "b"), row(2, None), row(3, "")]
+    got = exact_dedup.drop_copies(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), str(r.text), r.lang) for r in got) == [("1", "a", "en"), ("3", "", "en"), ("None", "b", "en")]
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     assert exact_dedup.exact_groups(docs).count() == exact_dedup.drop_copies(docs).count() == sharding.assign(docs).count() == 0
