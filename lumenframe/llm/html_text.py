@@ -1,29 +1,39 @@
 """Main text of web pages by equivalence-class template deduction.
 
-The tokens of a page are its structural elements, told apart by the path of names, classes and ids above them. Over the
-pages of a host, each token has an occurrence vector: how often it occurs on each page. Tokens with equal vectors form
-an equivalence class. Classes that occur on most pages of the host are large enough to be from its template; one is
-valid if each of its elements lies in an element of the same class or of a valid class above it. The class of elements
-that every such page has once is the template's frame, other valid classes nest in its slots as repeated parts. Vectors
-are never gathered: pages add to an order-free digest of each vector, so a host with a third of all pages is no heavier
-for any task than another.
-
-The frame decides where the main text is: in its article or main element, or else in the innermost element of the frame
-whose slots hold most of the text that changes from page to page. What remains in the slots below it is extracted, but for
-parts that are menus, headers, footers, sidebars, notices, adverts, forms or comments by their element, class, id or role.
-Hosts with few pages share one template.
-
-Defined cases: a null html gives an empty text; a page without any of the frame's places is read from its own article,
-main or body; text in no element counts as the body's; a null url is a host of its own; broken markup is read as it
-stands, an unclosed script or comment reaching to the page's end; repeated rows are extracted alike.
+The tokens of a page are its structural elements, told apart by the path of names, classes and ids above them and by their
+place among alike siblings, so a token is on a page once or not at all. Over the pages of a host, each token has an
+occurrence vector: the pages that it is on. Tokens with equal vectors form an equivalence class. Classes on most pages of
+the host are large enough to be from its template: that of all pages, and others of MEMBERS tokens or more (a lone heading
+that most pages have is data). One is valid if each of its elements lies in an element of its own or of a valid class; the
+valid classes, nested, are the template, and what lies between its elements are the slots. Vectors are never gathered:
+pages add to an order-free digest of each, and texts to a sketch of how many differ, so a host with a third of all pages
+is no heavier for any task than another.
+
+The slots decide where the main text is. From the page down, the search goes on into the element of the template that
+holds most of the text that changes from page to page and isn't a link, as long as it leaves nothing of the kind behind:
+no part with much changing text and no heading that changes. Of the template's elements below the one it ends at, those
+whose text is the same on all pages go, those that are mostly links, and, if it ends at the body, those with few
+different texts. Names have no say in this but between equals. Where the template can't tell (too few different pages, or
+nothing more than the body), the page's own article or main element is taken, if it has one. At last, parts of the rest
+that hold less than half of it and that their element, class, id or role names as menus, footers, sidebars, notices,
+adverts, forms or comments go. Hosts with few pages share one template.
+
+Defined cases: a null html gives an empty text; a page without the template's element is read from its own article, main
+or body; text in no element counts as the body's; a null url is a host of its own; broken markup is read as it stands, an
+unclosed script or comment reaching to the page's end; elements deeper than DEEPEST count as the one they lie in; repeated
+rows are extracted alike.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from hashlib import blake2b
+from zlib import crc32
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -33,16 +43,16 @@ from lumenframe.llm.joins import left_join_hot
 from lumenframe.llm.text import slices
 from lumenframe.storage import stored
 
-#: Pages that a host needs for a template of its own, and the share of them that a class must be on.
-PAGES, FREQUENT = 4, 0.5
-#: Share of the changing text that the main element must hold.
-MOST = 0.5
+#: Different pages that a template needs, the share of them that a class must be on, and the tokens that one not on all needs.
+PAGES, FREQUENT, MEMBERS = 4, 0.5, 3
+#: Share of the changing text that the main element must hold, and share of its own that a part left behind may have.
+MOST, LESS = 0.5, 0.3
+#: A part with fewer different texts than this share of the different pages repeats.
+VARIED = 0.5
 #: Templates to broadcast at most; more are joined by host.
 FEW_TEMPLATES = 20_000
-#: Tokens that a task sums up before it hands them on.
-HELD = 100_000
-#: Longest path that is told apart.
-DEEPEST = 24
+#: Depth from which elements aren't told apart, and the size of a sketch as a power of two.
+DEEPEST, SKETCH = 64, 10
 
 # Names of HTML elements by what they mean for a text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +60,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas head".split())
 APART = frozenset("nav footer aside form button select dialog menu".split())
 MAIN = frozenset("article main".split())
+ITEMS = frozenset("p li dt dd option".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of a class, id or role that mark a part as not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 TOKEN = regex.compile(
@@ -60,160 +72,245 @@ TOKEN = regex.compile(
 )
 NAMED = regex.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", regex.I)
 SPACES = regex.compile(r"\s+")
+WORDS, NAME = regex.compile(r"[a-z0-9]+"), regex.compile(r"[^.\[]*")
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url.cast("string"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def digest(*parts: object) -> int:
-    return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+@dataclass
+class Page:
+    """The elements of a page in the order they open, the page itself first, and its runs of text.
 
+    An element has the path of its token (of the one it lies in, if it has none), whether it has one, the element it lies
+    in, its name, and whether its names mark it. A run has its text, its element and whether it is in a link; without a text it ends a block.
+    """
 
-def parts(page: str) -> Iterator[tuple[str, str, bool, str, bool]]:
-    """(text, path, apart, path of the innermost article or main, whether a block ends) of each run of text, in order.
+    paths: list[str] = field(default_factory=lambda: [""])
+    tokens: list[bool] = field(default_factory=lambda: [True])
+    above: list[int] = field(default_factory=lambda: [0])
+    names: list[str] = field(default_factory=lambda: [""])
+    marked: list[bool] = field(default_factory=lambda: [False])
+    runs: list[tuple[str | None, int, bool]] = field(default_factory=list)
 
-    A path names the structural elements above; ``apart`` tells that one of them below the article isn't the article.
-    """
-    stack: list[tuple[str, str, bool, str]] = [("", "", False, "")]
-    at = 0
-    for m in TOKEN.finditer(page):
-        _, path, apart, main = stack[-1]
+
+def parsed(text: str) -> Page:
+    page, at, linked, alike = Page(), 0, False, defaultdict(int)
+    stack, add = [0], page.runs.append
+    names, paths = page.names, page.paths
+
+    def close(name: str, stop: Iterable[str] = ()) -> None:
+        for i in range(len(stack) - 1, 0, -1):
+            if names[stack[i]] == name:
+                del stack[i:]
+                return
+            if names[stack[i]] in stop or name == "p" and stop != ():
+                return
+
+    for m in TOKEN.finditer(text):
         if m.start() > at:
-            yield page[at : m.start()], path, apart, main, False
+            add((text[at : m.start()], stack[-1], linked))
         at, name = m.end(), (m["name"] or "").lower()
-        if not name or name in INLINE:
+        if not name:
+            continue
+        if name in INLINE:
+            if name == "a":
+                linked = not m["close"]
             continue
-        yield "", path, apart, main, True
+        add((None, stack[-1], False))
         if name in VOID:
             continue
         if m["close"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            close(name)
             continue
-        if name in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):  # an open one of the kind ends here
-            stop = {"p": "", "li": "ul ol", "option": "select"}.get(name, "table dl").split()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][0] in stop or name == "p":
-                    break
-            _, path, apart, main = stack[-1]
+        if name in ITEMS or name in ("td", "th", "tr"):  # an open one of the kind ends here
+            close(name, {"p": ["p"], "li": ["ul", "ol"], "option": ["select"]}.get(name, ["table", "dl"]))
         marks: list[str] = []
-        for _, a, b, c in NAMED.findall(m["rest"]):
-            marks += regex.findall(r"[a-z0-9]+", (a or b or c).lower())
-        if name in MAIN:
-            apart = apart and bool(main)  # an article isn't cut by what surrounds it
-        apart = apart or name in APART or name == "header" and not main or name in RAW or not MARKS.isdisjoint(marks)
-        if name != "p" and path.count("/") < DEEPEST:
+        rest = m["rest"]
+        for _, a, b, c in NAMED.findall(rest) if rest else ():
+            marks += WORDS.findall((a or b or c).lower())
+        up, path, own = stack[-1], paths[stack[-1]], name not in ITEMS and len(stack) < DEEPEST
+        if own:
             path = f"{path}/{name}" + "".join(f".{x}" for x in marks if not x.isdigit())
-        stack.append((name, path, apart, path if name in MAIN else main))
-    if at < len(page):
-        _, path, apart, main = stack[-1]
-        yield page[at:], path, apart, main, False
-
-
-def above(path: str) -> Iterator[str]:
-    """The path and those above it, the longest first."""
-    while path:
-        yield path
-        path = path.rpartition("/")[0]
-
-
-def opened(page: str) -> Iterator[str]:
-    """The path of each structural element as it opens."""
-    last, depth = "", 0
-    for _, path, *_ in parts(page):
-        if path != last and not last.startswith(path):
-            yield path
-        last = path
+            alike[path] += 1
+            path = f"{path}[{alike[path]}]"
+        paths.append(path)
+        page.tokens.append(own)
+        page.above.append(up)
+        names.append(name)
+        page.marked.append(name in APART or name in RAW or not MARKS.isdisjoint(marks))
+        stack.append(len(paths) - 1)
+    if at < len(text):
+        add((text[at:], stack[-1], linked))
+    return page
 
 
 def token_table(pages: DataFrame) -> DataFrame:
-    """Sums for each group of pages and token: pages and times it occurs, digests of its vector, text that varies in it."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["grp", "token", "vector", "pages", "times", "squares", "chars", "low", "high"]
-        kinds = [pa.string(), pa.string(), *[pa.int64()] * 7]
-        sums: dict[tuple[str, str], list[int]] = {}
+    """For each host and token: pages it is on, digest of its vector, characters outside and in links, sketch of its texts.
 
-        def flush() -> pa.RecordBatch:
-            rows = [(*key, *value) for key, value in sums.items()]
-            sums.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    The token of the page itself is empty.
+    """
+    names = ["host", "token", "vector", "chars", "links", "text"]
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
-            for group, page in zip(part.column("grp").to_pylist(), part.column("html").fill_null("").to_pylist()):
-                times: dict[str, int] = {}
-                texts: dict[str, list[str]] = {}
-                for path in opened(page):
-                    times[path] = times.get(path, 0) + 1
-                for text, path, apart, _, _ in parts(page):
-                    if text and not apart:
-                        for p in above(path):
-                            texts.setdefault(p, []).append(text)
-                who = digest(page)
-                for path, n in times.items():
-                    inside = "".join(texts.get(path, ()))
-                    own, seen = sums.setdefault((group, path), [0, 0, 0, 0, 0, 1 << 62, -(1 << 62)]), digest(inside) >> 1
-                    own[0] ^= digest(who, n)
-                    own[1] += 1
-                    own[2] += n
-                    own[3] += n * n
-                    own[4] += len(inside)
-                    own[5], own[6] = min(own[5], seen), max(own[6], seen)
-            if len(sums) > HELD:
-                yield flush()
-        if sums:
-            yield flush()
-
-    found = pages.select("grp", "html").mapInArrow(run, "grp string, token string, vector long, pages long, times long, squares long, chars long, low long, high long")
-    add = [F.sum(c).alias(c) for c in ("pages", "times", "squares", "chars")]
-    return found.groupBy("grp", "token").agg(F.bit_xor("vector").alias("vector"), *add, F.min("low").alias("low"), F.max("high").alias("high"))
+            rows: list[tuple] = []
+            for host, source in zip(part.column("host").to_pylist(), part.column("html").fill_null("").to_pylist()):
+                if not source:
+                    continue
+                page = parsed(source)
+                n = len(page.paths)
+                chars, links, seen = [0] * n, [0] * n, [0] * n
+                for text, at, linked in page.runs:
+                    text = text and text.strip()
+                    if not text or page.names[at] in RAW:
+                        continue
+                    told, held = crc32(text.encode("utf-8", "surrogatepass")), links if linked else chars
+                    while True:
+                        held[at] += len(text)
+                        seen[at] = (seen[at] * 1_000_003 + told + 1) & 0x1FFF_FFFF_FFFF_FFFF
+                        if not at:
+                            break
+                        at = page.above[at]
+                who = int.from_bytes(blake2b(source.encode("utf-8", "surrogatepass"), digest_size=5).digest(), "little")
+                rows += [(host, page.paths[i], who, chars[i], links[i], seen[i]) for i in range(n) if page.tokens[i]]
+            columns = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.string(), *[pa.int64()] * 4])], names)
+
+    found = pages.select("host", "html").mapInArrow(run, "host string, token string, vector long, chars long, links long, text long")
+    sums = [F.sum(c).alias(c) for c in ("vector", "chars", "links")]
+    return found.groupBy("host", "token").agg(F.count("*").alias("pages"), *sums, F.hll_sketch_agg("text", SKETCH).alias("texts"))
+
+
+def parent_of(token: str) -> str:
+    return token.rpartition("/")[0]
+
+
+def name_of(token: str) -> str:
+    return NAME.match(token.rpartition("/")[2])[0]
+
+
+@dataclass
+class Slot:
+    """What a token's class is, and what is known of the text in its element."""
+
+    vector: tuple[int, int]
+    kinds: int
+    chars: int
+    links: int
+
+    @property
+    def changing(self) -> int:
+        return self.chars if self.kinds > 1 else 0
+
+
+def template(slots: dict[str, Slot]) -> set[str]:
+    """The tokens of the valid classes. Larger classes come first; a class that isn't nested in what is valid goes."""
+    classes: dict[tuple[int, int], list[str]] = defaultdict(list)
+    for token, slot in slots.items():
+        classes[slot.vector].append(token)
+    valid: set[str] = set()
+    for vector, tokens in sorted(classes.items(), reverse=True):
+        if vector != slots[""].vector and len(tokens) < MEMBERS:
+            continue
+        inside = valid.union(tokens)
+        if all(not t or parent_of(t) in inside for t in tokens):
+            valid = inside
+    return valid
+
+
+def decided(slots: dict[str, Slot]) -> tuple[str | None, list[str]]:
+    """The token that holds the main text, None if the template can't tell, and the template's tokens in it that go."""
+    page = slots.get("")
+    if page is None or page.kinds < PAGES:
+        return None, []
+    frame = template(slots)
+    within: dict[str, list[str]] = defaultdict(list)
+    for t in frame - {""}:
+        within[parent_of(t)].append(t)
+    linky = {t for t in slots if slots[t].links > slots[t].chars}
+    headed = [t for t in slots if name_of(t) in HEADINGS and t not in linky and slots[t].kinds >= VARIED * page.kinds]
+
+    def stays(part: str, much: float) -> bool:
+        own = slots[part]
+        varied = part not in linky and own.kinds >= VARIED * page.kinds
+        return varied and own.changing > much or any(h == part or h.startswith(f"{part}/") for h in headed)
+
+    root = ""
+    while within[root]:
+        best = max(within[root], key=lambda t: (slots[t].changing, name_of(t) in MAIN, t))
+        much = LESS * slots[best].changing
+        rest = slots[root].changing - sum(slots[t].changing for t in within[root])
+        if slots[best].changing < max(1, MOST * page.changing) or rest > much or any(stays(t, much) for t in within[root] if t != best):
+            break
+        root = best
+    outer = name_of(root) in ("", "html", "body")
+    gone = []
+    for t in frame:
+        if t.startswith(f"{root}/") and t != root:
+            own = slots[t]
+            same = own.kinds <= 1 and name_of(t) not in HEADINGS
+            repeats = outer and own.kinds < VARIED * page.kinds and own.chars < LESS * slots[root].changing
+            if own.chars + own.links and (same or t in linky or repeats):
+                gone.append(t)
+    return (root if not outer else None), sorted(gone)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(grp, root): the element of each group's frame that holds the main text; null if the frame has none.
+    """(host, pages, root, gone) of each host with a page that isn't empty; ``pages`` has host and html.
 
-    ``pages`` has grp and html.
+    Only tokens on most pages of a host (or of all hosts with few pages) are looked at together, so a task gets about
+    as many as a page has elements.
     """
-    sizes = pages.groupBy("grp").agg(F.count("*").alias("all_pages"))
-    tokens = stored(token_table(pages).join(sizes, "grp"), "tokens")
-    frequent = tokens.where(F.col("pages") >= FREQUENT * F.col("all_pages"))
-    member = F.struct("vector", "pages", "times", "squares").alias("class")
-    held = frequent.select("grp", "token", member, "chars", (F.col("low") != F.col("high")).alias("varies"), "all_pages")
-    # valid: the element above is of the same class or of one on as many pages and as often at most
-    up = F.regexp_replace("token", "/[^/]*$", "")
-    parents = held.select("grp", F.col("token").alias("parent"), F.col("class").alias("over"))
-    tested = held.withColumn("parent", up).join(parents, ["grp", "parent"], "left")
-    over_all = (F.col("over.pages") >= F.col("class.pages")) & ((F.col("over.times") <= F.col("class.times")) | (F.col("over.pages") > F.col("class.pages")))
-    valid = tested.where((F.col("parent") == "") | (F.col("over") == F.col("class")) | over_all)
-    # the frame: the class of elements that its pages have once
-    frame = valid.where("class.times = class.pages")
-    best = frame.groupBy("grp").agg(F.max(F.when(F.col("varies"), F.col("chars"))).alias("all_chars"))
-    name = F.regexp_extract("token", r"/([a-z0-9-]+)[^/]*$", 1)
-    main = name.isin(*MAIN).cast("int")
-    fit = frame.join(best, "grp").where(F.col("varies") & ((main == 1) | (F.col("chars") >= MOST * F.col("all_chars"))))
-    place = F.struct(main.alias("main"), F.when(main == 1, F.col("chars")).otherwise(0).alias("chars"), F.length(F.regexp_replace("token", "[^/]", "")).alias("depth"), "token")
-    return fit.groupBy("grp").agg(F.max(place).alias("place")).select("grp", F.col("place.token").alias("root"))
-
-
-def main_text(page: str, root: str | None) -> str:
-    """The text in the slots below the frame's element, or below the page's own article, main or body."""
-    found = list(parts(page))
-    mains = {path for _, _, _, path, _ in found if path}
-    if not root or not any(p == root or p.startswith(root + "/") for _, p, *_ in found):
-        root = None
+    found = stored(token_table(pages), "tokens")
+    hosts = found.where("token = ''").select("host", F.when(F.col("pages") >= PAGES, F.col("host")).otherwise("*").alias("grp"), F.col("pages").alias("host_pages"))
+    sums = [F.sum(c).alias(c) for c in ("pages", "vector", "chars", "links")]
+    grouped = found.join(hosts.select("host", "grp"), "host").groupBy("grp", "token").agg(*sums, F.hll_sketch_estimate(F.hll_union_agg("texts")).alias("kinds"))
+    grouped = stored(grouped, "groups")
+    sizes = grouped.where("token = ''").select("grp", F.col("pages").alias("all_pages"))
+    frequent = grouped.join(sizes, "grp").where(F.col("pages") >= FREQUENT * F.col("all_pages")).drop("all_pages")
+
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        slots = {r.token: Slot((int(r.pages), int(r.vector)), int(r.kinds), int(r.chars), int(r.links)) for r in rows.itertuples()}
+        root, gone = decided(slots)
+        return pd.DataFrame({"grp": [rows.grp.iloc[0]], "root": [root], "gone": [gone]})
+
+    told = frequent.groupBy("grp").applyInPandas(decide, "grp string, root string, gone array<string>")
+    return stored(hosts.join(told, "grp", "left").select("host", "host_pages", "root", "gone"), "templates")
+
+
+def main_text(source: str, root: str | None, gone: Iterable[str] = ()) -> str:
+    """The text of the root's element, or of the page's own article, main or body, without what goes."""
+    page, gone = parsed(source), set(gone or ())
+    n = len(page.paths)
+    starts = {i for i in range(n) if page.paths[i] == root and page.tokens[i]} if root else set()
+    if not starts:
+        starts = {i for i in range(n) if page.names[i] in MAIN} or {0}
+    chars = [0] * n
+    for text, at, _ in page.runs:
+        if text:
+            chars[at] += len(text.strip())
+    for i in range(n - 1, 0, -1):
+        chars[page.above[i]] += chars[i]
+    inside = [False] * n
+    held = [0] * n  # text of the start that an element lies in
+    for i in range(n):
+        up = page.above[i]
+        if i in starts and not (i and inside[up]):
+            inside[i], held[i] = True, chars[i]
+        elif i and inside[up]:
+            held[i] = held[up]
+            header = page.names[i] == "header" and 0 in starts
+            apart = page.names[i] in RAW or (page.marked[i] or header) and chars[i] < MOST * held[i]
+            inside[i] = not apart and not (page.tokens[i] and page.paths[i] in gone)
     blocks: list[str] = []
     run: list[str] = []
-    for text, path, apart, main, ends in found:
-        if ends:
+    for text, at, _ in page.runs:
+        if text is None:
             blocks.append("".join(run))
             run = []
-        elif not apart and (path == root or path.startswith(root + "/") if root else main or not mains):
+        elif inside[at]:
             run.append(text)
     blocks.append("".join(run))
     clean = (SPACES.sub(" ", entities.unescape(b)).strip() for b in blocks)
@@ -223,18 +320,17 @@ def main_text(page: str, root: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     hosted = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    hosts = hosted.groupBy("host").agg(F.count("*").alias("host_pages"))
-    groups = stored(hosts.select("host", F.when(F.col("host_pages") >= PAGES, F.col("host")).otherwise("*").alias("grp"), "host_pages"), "hosts")
-    few = groups.count() <= FEW_TEMPLATES
-    slim = groups.select("host", "grp")
-    found = templates(hosted.join(F.broadcast(slim) if few else slim, "host").select("grp", "html"))
-    table = stored(groups.join(found, "grp", "left").select("host", "root", "host_pages"), "templates")
-    met = hosted.join(F.broadcast(table.drop("host_pages")), "host", "left") if few else left_join_hot(hosted, table, "host", "host_pages").drop("host_pages")
+    table = templates(hosted)
+    if table.count() <= FEW_TEMPLATES:
+        met = hosted.join(F.broadcast(table.drop("host_pages")), "host", "left")
+    else:
+        met = left_join_hot(hosted, table, "host", "host_pages")
     kinds = [pages.schema[c].dataType.simpleString() for c in ("page_id", "url")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
-            texts = [main_text(h, r) for h, r in zip(part.column("html").fill_null("").to_pylist(), part.column("root").to_pylist())]
+            columns = (part.column("html").fill_null("").to_pylist(), part.column("root").to_pylist(), part.column("gone").to_pylist())
+            texts = [main_text(h, r, g) for h, r, g in zip(*columns)]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return met.select("page_id", "url", "html", "root").mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
+    return met.select("page_id", "url", "html", "root", "gone").mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

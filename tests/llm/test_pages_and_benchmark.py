@@ -99,19 +99,65 @@ def test_main_part_of_a_host_is_deduced(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
-def test_articles_of_the_small_table(spark, sf_dir):
-    def article(page):
-        body = page[page.find("<article>") + 9 : page.find("</article>")]
-        blocks = [re.sub(r"\s+", " ", html.unescape(x)).strip() for x in re.split(r"</?(?:p|h1|br)>", re.sub(r"</?b>", "", body))]
-        return "\n".join(x for x in blocks if x)
+def article(page):
+    body = page[page.find("<article>") + 9 : page.find("</article>")]
+    blocks = [re.sub(r"\s+", " ", html.unescape(x)).strip() for x in re.split(r"</?(?:p|h1|br)>", re.sub(r"</?b>", "", body))]
+    return "\n".join(x for x in blocks if x)
 
-    want = {r.page_id: article(r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    assert {r.page_id: r.text for r in queries.op7_html_text(spark, sf_dir).collect()} == want
 
+def neutral(page):
+    """The page with neutral elements and without class names, ids and roles."""
+    page = re.sub(r"<(/?)(?:article|nav|aside|footer|header|main)\b", r"<\1div", page)
+    return re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
 
-def test_the_frame_is_the_article(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select(html_text.F.lit("x").alias("grp"), "html")
-    assert html_text.templates(p).first().root == "/html/body/article"
+
+@pytest.mark.parametrize("change", [lambda h: h, neutral])
+def test_articles_of_the_small_table(spark, sf_dir, change):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    given = spark.createDataFrame([(r.page_id, r.url, change(r.html)) for r in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(given).collect()} == {r.page_id: article(r.html) for r in rows}
+
+
+def test_the_template_holds_the_article(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select(html_text.F.lit("x").alias("host"), "html")
+    assert html_text.templates(p).first().root == "/html[1]/body[1]/article[1]"
+
+
+def slots(*rows):
+    return {t: html_text.Slot((pages, vector), kinds, chars, links) for t, pages, vector, kinds, chars, links in rows}
+
+
+def test_classes_nest_in_a_template():
+    given = slots(
+        ("", 10, 1, 10, 9000, 0), ("/b[1]", 10, 1, 10, 9000, 0), ("/b[1]/div[1]", 10, 1, 10, 8000, 0),
+        ("/b[1]/div[1]/h3[1]", 7, 5, 7, 200, 0),  # alone on its pages: data
+        ("/b[1]/div[2]", 6, 4, 1, 60, 0), ("/b[1]/div[2]/div[1]", 6, 4, 1, 30, 0), ("/b[1]/div[2]/div[2]", 6, 4, 1, 30, 0),
+        ("/x[1]/y[1]", 5, 3, 1, 1, 0), ("/x[1]/y[2]", 5, 3, 1, 1, 0), ("/x[1]/y[3]", 5, 3, 1, 1, 0),  # in no valid class
+    )
+    assert html_text.template(given) == {t for t in given if "/x" not in t and "h3" not in t}
+    assert html_text.decided(given)[0] == "/b[1]/div[1]"
+
+
+def test_a_changing_heading_is_not_left_behind():
+    given = slots(("", 10, 1, 10, 9000, 0), ("/div[1]", 10, 1, 10, 8800, 0), ("/div[2]", 10, 1, 3, 200, 0), ("/div[1]/h1[1]", 10, 1, 10, 300, 0), ("/div[1]/div[1]", 10, 1, 10, 8400, 0), ("/div[1]/div[2]", 10, 1, 1, 100, 0))
+    assert html_text.decided(given) == ("/div[1]", ["/div[1]/div[2]"])
+
+
+SITE = """<div><div><a href=/{i}>Go {i}</a> <a href=/>All of it</a></div><div>Offer {k} of the week</div></div>
+<div><div><h2>Title {i}</h2><div>{body}</div><div>Share this with the people you know</div><div><a href=/{i}>Read {i} next</a></div></div></div><div>Made by host {k}</div>"""
+
+
+def test_neutral_parts_go_by_the_template(spark):
+    rows = [(i, f"http://n.example/{i}", SITE.format(i=i, k=i % 3, body=f"<p>{sentence(i, 30)}</p><p>{sentence(i + 50, 30)}</p>"), "h", "g", "t") for i in range(12)]
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"Title {i}\n{sentence(i, 30)}\n{sentence(i + 50, 30)}" for i in range(12)}
+
+
+def test_marked_wrappers_keep_their_text(spark):
+    page = "<body class='no-sidebar'><div id=content class='social science'><h1>T {i}</h1><p>{body}</p></div><div class=sidebar>Side</div></body>"
+    rows = [(i, "http://w.example/", page.format(i=i, body=sentence(i, 30)), "h", "g", "t") for i in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"T {i}\n{sentence(i, 30)}" for i in range(6)}
 
 
 @pytest.mark.parametrize(
