@@ -3,10 +3,14 @@
 import math
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from cases import awkward, frame, row, sentence
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lumenframe.llm import components, near_dedup, queries
+from lumenframe.llm.text import hashed_words
 
 
 def shingles(text, k):
@@ -124,6 +128,25 @@ def test_rows_without_ids_are_linked_too(spark):
     assert sorted(str(r.doc_id) for r in near_dedup.drop_near_copies(docs, 2).collect()) == ["7", "None"]
 
 
+def test_long_words_are_told_apart(spark):
+    a, b = "a" * 64, "b" * 64
+    got = near_dedup.near_groups(frame(spark, [row(1, a + b * 2 + a), row(2, b + a * 2 + b)]), 2).collect()
+    assert sorted(r.component_id for r in got) == [1, 2]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 2**20), min_size=1, max_size=8), st.integers(1, 1000))
+def test_different_words_have_different_hashes(changes, size):
+    """Words that differ in some bytes, by their hashes of words and of one-word sets."""
+    base = np.full(size, 97, np.uint8)
+    other = base.copy()
+    for c in changes:
+        other[c % size] = 98 + c % 20
+    data, starts = np.concatenate([base, [np.uint8(32)], other]), np.array([0, 2 * size + 1])
+    found = hashed_words(data, starts)
+    assert len(found.hash) == 2 and found.hash[0] != found.hash[1]
+
+
 def test_empty_table(spark):
     assert near_dedup.near_groups(frame(spark, [])).count() == near_dedup.drop_near_copies(frame(spark, [])).count() == 0
 

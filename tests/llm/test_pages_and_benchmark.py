@@ -73,6 +73,36 @@ def test_matches_by_brute_force(spark, block_bytes):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in rows if r[0] not in out)
 
 
+def test_long_words_are_told_apart(spark):
+    a, b = "a" * 64, "b" * 64
+    rows = [row(1, " ".join([a + b * 2 + a] * 6)), row(2, " ".join([b + a * 2 + b] * 6))]
+    assert len({*d.words(pa.array([r[1] for r in rows]))[0].tolist()}) == 2
+    bench = spark.createDataFrame([(9, rows[0][1], "k")], "item_id short, text string, item_key string")
+    assert [(r.doc_id, r.item_id, r.coverage) for r in d.matches(frame(spark, rows), bench).collect()] == [(1, 9, 1.0)]
+
+
+def test_equal_hashes_are_no_tile(spark, monkeypatch):
+    """Words are hashed by their length alone; only those that are spelled alike are tiles."""
+    plain = d.hashed_words
+
+    def alike(*args):
+        found = plain(*args)
+        return d.Words(found.size.astype("uint64"), found.text, found.begin, found.size)
+
+    monkeypatch.setattr(d, "hashed_words", alike)
+    block = d.Block.of(["ab cd ef gh"])
+    texts = pa.array(["ab cd ef gh", "zz cd ef gh"])
+    assert [x[0] for x in d.found_in(texts, block, block.table(), d.LEAST, d.THRESHOLD)] == [0]
+
+
+def test_a_run_that_all_items_have_brings_no_pair_about():
+    items = [f"which of these is {sentence(i, 20)}" for i in range(50)]
+    block = d.Block.of(items)
+    assert len(block.met(d.runs(d.words(pa.array(["which of these is"]))[0], d.LEAST))) == 0
+    found = list(d.found_in(pa.array(items), block, block.table(), d.LEAST, d.THRESHOLD))
+    assert {(t, i) for t, i, *_ in found} >= {(i, i) for i in range(50)}
+
+
 def test_empty_tables(spark):
     docs, bench = frame(spark, awkward()), spark.createDataFrame([], "item_id long, text string")
     assert d.matches(docs, bench).count() == 0 and d.drop_contaminated(docs, bench).count() == len(awkward())
