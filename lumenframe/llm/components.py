@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.joins import left_join_hot
 from lumenframe.storage import stored
 
 
@@ -12,19 +13,23 @@ def _distinct(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("u") != F.col("v")).distinct()
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """The edges with m, the smallest neighbour of u. Nodes with many edges are broadcast, so their edges stay spread."""
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")), "least")
+    return left_join_hot(edges, least, "u", "edges")
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours go to the smallest of it and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _distinct(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")))
+    return _distinct(_with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours go to the smallest of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return _distinct(out.unionByName(least.select("u", F.col("m").alias("v"))))
+    ends = F.explode(F.array(F.col("v"), F.col("u"))).alias("u")
+    return _distinct(_with_least(down).select(ends, F.col("m").alias("v")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges, seen = stored(_distinct(edges.select("u", "v")), "edges"), None
     while True:
-        edges = stored(small_star(large_star(edges)), "edges")
+        edges = stored(small_star(stored(large_star(edges), "edges")), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

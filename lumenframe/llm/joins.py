@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: A key with at least one row in HOT_SHARE is joined by broadcast; there are HOT_SHARE such keys at most.
 HOT_SHARE = 2_000
-#: Ids to broadcast at most; more are met by a shuffle.
-FEW_IDS = 1_000_000
+#: Ids (of 24 bytes) to broadcast at most; more are met by a shuffle.
+FEW_IDS = 500_000
 
 
 def left_join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:

@@ -17,6 +17,9 @@ region (the rows of a tree that share LEAST_DEPTH values). After the rounds the
 different components are compared in blocks, all with all, and confirmed on full sets. So every pair that shares LEAST_DEPTH
 values in some tree and whose sketches could reach the similarity is linked if its sets reach it, however dense the region.
 
+What no tree and no sketch shows can still be missed. With ``exact`` it is found too: a set's rarest shingles, of which
+similar sets must share one, are regions as well, and their classes are compared in blocks on full sets without a sketch.
+
 Defined cases: null texts and texts without words have an empty set and no links; a text with fewer words than a
 shingle is one shingle; equal sets are linked whatever the ids; a null doc_id takes part but is never a component's id
 unless all its ids are null; repeated rows are linked to each other; other columns are ignored.
@@ -325,15 +328,28 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return out.astype(np.int64)
 
 
-def links_in_regions(docs: DataFrame, classes: DataFrame, noted: DataFrame, roots: DataFrame | None, shingle: int, percent: int) -> DataFrame:
+def rare_shingles(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(set_key, region) of the classes and their rarest shingles: so many that sets that reach the similarity share one."""
+    each = stored(class_sets(docs, classes, shingle).select("set_key", F.size("set").alias("n"), F.explode("set").alias("g")), "shingles")
+    often = stored(each.groupBy("g").agg(F.count("*").alias("sets")), "often")
+    rank = F.row_number().over(Window.partitionBy("set_key").orderBy("sets", "g"))
+    met = left_join_hot(each, often, "g", "sets").withColumn("rank", rank)
+    first = met.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("sets") > 1))
+    return first.select("set_key", F.unhex(F.lpad(F.hex("g"), 16, "0")).alias("region"))
+
+
+def links_in_regions(docs: DataFrame, classes: DataFrame, noted: DataFrame, roots: DataFrame | None, shingle: int, percent: int, sketched: bool = True) -> DataFrame:
     """(u, v): links that join the components of classes noted in one region, enough of them to connect all that pairs link.
 
-    A pair is compared in the first tree in which it shares a region; if it wasn't noted there, the order showed it.
+    A pair is compared in the first tree in which it shares a region; if it wasn't noted there, the order showed it. Without
+    ``sketched``, regions aren't of trees, and all pairs within one are compared on full sets.
     """
     least, cell = least_shared(percent), ("region", "x", "y")
     kept = ("block", "set_key", "root", "n_shingles")
 
     def screen(key: tuple, table: pa.Table) -> pa.Table:
+        if not sketched:
+            return table.select([*cell, *kept])
         tree, (left, right) = key[0].as_py()[0], sides_of(table, key[1].as_py(), key[2].as_py())
         open_pairs = apart(table, left, right, percent)
         heads = np.frombuffer(b"".join(table.column("heads").to_pylist()), np.dtype(f"V{2 * LEAST_DEPTH}")).reshape(-1, TREES)
@@ -378,7 +394,7 @@ def links_in_regions(docs: DataFrame, classes: DataFrame, noted: DataFrame, root
     return wanted.join(sets, "set_key").groupBy(*cell).applyInArrow(confirm, "u binary, v binary")
 
 
-def forest_roots(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+def forest_roots(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, exact: bool = False) -> DataFrame:
     """(node, root) of every class that a link joins to another.
 
     In round r, the pairs that are among the GROWTH**r best of an end are looked at if they lie between components; what lies
@@ -405,15 +421,18 @@ def forest_roots(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
         rest, most = rest.where(F.col("place") > most), GROWTH * most
     if not noted.isEmpty():
         roots = joined(stored(links_in_regions(docs, classes, noted, roots, shingle, percent), "links"))
+    if exact:
+        rare = stored(rare_shingles(docs, classes.select("set_key", "doc_id", "text_key"), shingle, percent), "rare")
+        roots = joined(stored(links_in_regions(docs, classes, rare, roots, shingle, percent, sketched=False), "links"))
     return docs.sparkSession.createDataFrame([], "node binary, root binary") if roots is None else roots
 
 
-def labelled_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def labelled_rows(docs: DataFrame, shingle: int, percent: int, exact: bool = False) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and kept of every row."""
     signed = stored(signatures(docs, shingle), "signatures")
     filled = signed.where("set_key IS NOT NULL")
     sizes = stored(filled.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "classes")
-    roots = forest_roots(docs, stored(filled.dropDuplicates(["set_key"]), "class-rows"), shingle, percent)
+    roots = forest_roots(docs, stored(filled.dropDuplicates(["set_key"]), "class-rows"), shingle, percent, exact)
     named = sizes.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = stored(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")), "least-ids")
     table = stored(left_join_hot(named, least, "root", "classes").select("set_key", "component_id", "rows"), "components")
@@ -422,13 +441,13 @@ def labelled_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return met.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
     component_id is the smallest doc_id that links reach, kept is whether that is the row's own. Rows that share it are
-    all kept.
+    all kept. With ``exact`` no link is missed, at the cost of more comparisons.
     """
-    return labelled_rows(docs, shingle, percent).select("doc_id", "n_shingles", "component_id", "kept")
+    return labelled_rows(docs, shingle, percent, exact).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -100,6 +100,16 @@ def test_full_windows_and_lists_lose_no_link(spark, monkeypatch):
     assert not all(r.kept for r in got)
 
 
+def test_exact_links_without_the_forest(spark, monkeypatch):
+    """Neither named pairs nor noted classes come from the forest, so that all links have to come from rare shingles."""
+    named = near_dedup.named_pairs
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "named_pairs", lambda rows, percent: named(rows, percent).where("a IS NULL"))
+    rows = [row(i, t) for i, t in enumerate(dense(60) + variants(6))]
+    got = near_dedup.near_groups(frame(spark, rows), 2, exact=True).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 2)
+
+
 def test_query_on_the_small_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.op6_near_dedup(spark, sf_dir).collect()
