@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.joins import left_join_hot
 from lumenframe.storage import stored
 
 
@@ -14,9 +13,12 @@ def _distinct(edges: DataFrame) -> DataFrame:
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """The edges with m, the smallest neighbour of u. Nodes with many edges are broadcast, so their edges stay spread."""
-    least = stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")), "least")
-    return left_join_hot(edges, least, "u", "edges")
+    """The edges with m, the smallest neighbour of u.
+
+    The table of nodes is stored first: while it is small it is broadcast, and later both sides of the join are plain
+    shuffles, of which Spark splits the parts that nodes with many edges make too large.
+    """
+    return edges.join(stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least"), "u")
 
 
 def large_star(edges: DataFrame) -> DataFrame:
