@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm.text import buffers, sampled, slices
 
 ORDER = 4
-#: Rows of a language that the counts are taken from, about, and the longest text among them.
-FIT_ROWS, FIT_BYTES = 400, 50_000
+#: Rows of a language that the counts are taken from, about.
+FIT_ROWS = 400
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -109,10 +109,11 @@ class ContextTree:
         return np.where(done, out, out + np.log2(max(self.rest, 1)))
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, order: int = ORDER) -> dict[str, ContextTree]:
-    """A context tree for each lang of docs, from about ``fit_rows`` texts of each up to ``fit_bytes`` long."""
-    usable = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= fit_bytes)).select("doc_id", "lang", "text")
-    counts = gram_counts(sampled(usable, "doc_id", "lang", fit_rows), order).toPandas()
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, order: int = ORDER) -> dict[str, ContextTree]:
+    """A context tree for each lang of docs, from about ``fit_rows`` whole texts of each."""
+    text = F.col("text").cast("string")
+    usable = docs.where(F.col("lang").isNotNull() & (F.octet_length(text) > 0)).select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"))
+    counts = gram_counts(sampled(usable, ["doc_id", "text"], "lang", fit_rows), order).toPandas()
     return {lang: ContextTree(own.gram.to_numpy(), own.n.to_numpy(), order) for lang, own in sorted(counts.groupby("lang"))}
 
 
@@ -148,4 +149,4 @@ def predict(docs: DataFrame, trees: dict[str, ContextTree], keep: tuple[str, ...
             kept = [part.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(share)], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, "text").mapInArrow(score, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(score, schema)

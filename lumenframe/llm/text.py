@@ -109,8 +109,11 @@ def crc_fold(docs: DataFrame, folds: int) -> Column:
     return F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")), F.lit(0)) % folds
 
 
-def sampled(rows: DataFrame, key: str, group: str, most: int) -> DataFrame:
-    """About ``most`` rows of each group, chosen by a hash of the key, which is the same on every run."""
+def sampled(rows: DataFrame, key: list[str], group: str, most: int) -> DataFrame:
+    """About ``most`` rows of each group, chosen by a hash of the key's columns, which is the same on every run.
+
+    Rows that repeat the whole key are drawn or left together.
+    """
     sizes = rows.groupBy(group).agg(F.count("*").alias("group_rows"))
-    share = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    share = F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     return rows.join(F.broadcast(sizes), group).where(share * F.col("group_rows") < most).drop("group_rows")

@@ -1,28 +1,30 @@
 """Toxicity by a support vector machine over a subsequence string kernel with Nyström landmarks.
 
-The kernel of two words adds up, over all strings of three symbols, the products of the weights with which the string
+The kernel of two words adds up, over all strings of three characters, the products of the weights with which the string
 occurs in both as a subsequence: DECAY to the power of the characters that an occurrence spans, up to SPAN of them. A
 character put into an insult, or left out, thus costs some weight but not the match. Kernels are normalised. Words are
-compared after case folding; marks inside a word go, and single letters in a row count as one word.
-
-Fitting takes labelled documents. All words of clean ones are clean. Toxic are words that surely go with toxic documents
-and one word of each of these: at first the most typical, later the one that the machine puts highest. The landmarks are words of either side,
-the Nyström map makes a word a vector of its kernels with them, and a linear machine is trained on these vectors by its
-squared hinge loss; clean words that come out too high join the training rows and it is trained again. As a kernel is a sum over strings,
-the machine folds into one weight for each string, and scoring a word needs no landmarks. A text's score is a logistic
-function, fitted to labelled documents, of its highest words and of how many come out positive.
-
-Defined cases: null texts and texts without letters score as if all their words were as low as any; without labels
-of both kinds all scores are 0; a doc_id with both labels counts as toxic; repeated rows are scored alike; other
-columns are ignored.
+compared after case folding; marks inside a word go, and single letters in a row count as one word. A sentence ends at a
+mark or a line break, or after LENGTH words; its value under a machine is that of its highest word.
+
+The machine is trained on labelled sentences, by the hinge loss of their values. All sentences of clean documents are
+clean, so all their words must be low. Toxic are sentences of toxic documents with words that surely go with these, and
+one sentence of each: at first that with the most typical word, later the one that the machine puts highest, unless its
+word is in clean sentences too or stands for one document alone. Their highest words must be high. The
+landmarks are words of either side's sentences, the Nyström map makes a word a vector of its kernels with them, and a
+linear machine is trained on these vectors; words that come out high in clean sentences join and it is trained again.
+As a kernel is a sum over strings, the machine folds into one weight for each string, and scoring needs no landmarks. A
+text's score is a logistic function, fitted to labelled documents, of its highest sentences and of how many different words are positive.
+
+Defined cases: null texts and texts without letters score as if all their sentences were as low as any; without labels of
+both kinds all scores are 0; a doc_id with both labels counts as toxic; repeated rows are scored alike; of a word longer
+than LONGEST the part that the machine puts highest counts; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -39,105 +41,104 @@ from lumenframe.storage import stored
 THRESHOLD = 0.5
 FOLDS = 5
 DECAY, SPAN = 0.6, 6
-#: Documents of each label that the machine is fitted to, about; landmarks of each side; training words of each side.
-FIT_DOCS, LANDMARKS, TRAINING = 6_000, 96, 2_000
+#: Documents of each label that the machine is fitted to, about; landmarks and training sentences of each side.
+FIT_DOCS, LANDMARKS, TRAINING = 6_000, 96, 3_000
 ROUNDS, COST = 3, 10.0
 #: Likelihood-ratio statistic from which a word surely goes with toxic documents.
 EVIDENCE = 30.0
 #: Characters of a word that are compared at once; longer words are cut into overlapping parts.
 LONGEST, OVERLAP = 24, 12
-#: Symbols: letters a to z have their own, other characters share the rest.
-SYMBOLS = 64
+#: Words of a sentence at most; longer ones are cut.
+LENGTH = 24
+#: Bits of a character's number.
+CHARACTER = 21
 #: Places of three characters within a span, the first being 0.
 PLACES = [(0, j, k) for j, k in combinations(range(1, SPAN), 2)]
 NOT_LETTER = regex.compile(r"[^\p{L}]+")
+#: Marks that end a sentence.
+ENDS = tuple(".!?…;:。！？")
 REMEMBERED = 300_000
 #: Words whose strings are held at once.
 CHUNK = 4_096
+#: Highest sentences that a text's score looks at, and the value of a missing one and of a token without letters.
+HIGHEST, MISSING = 4, -1.0
 
 
-def words_of(text: str) -> Counter[str]:
-    """How often each word of a text occurs, as words are compared."""
-    tokens, found, lone, n_lone = text.casefold().split(), Counter(), {}, 0
-    for raw, n in Counter(tokens).items():
-        w = raw if raw.isalpha() else NOT_LETTER.sub("", raw)
-        if len(w) == 1:
-            lone[raw] = w
-            n_lone += n
-        if len(w) <= LONGEST:
-            found[w] += n
-        else:
-            for i in range(0, len(w) - OVERLAP, OVERLAP):
-                found[w[i : i + LONGEST]] += n
-    if n_lone > 2:
-        run: list[str] = []
-        for raw in [*tokens, ""]:
-            if raw in lone:
-                run.append(lone[raw])
-            elif run:
-                if len(run) > 2:
-                    for i in range(0, max(1, len(run) - OVERLAP), OVERLAP):
-                        found["".join(run[i : i + LONGEST])] += 1
-                run = []
-    return Counter({w: n for w, n in found.items() if len(w) > 2})
-
-
-def symbols(words: list[str]) -> np.ndarray:
-    """A row of symbols for each word, -1 past its end."""
-    width = max(map(len, words), default=1)
-    flat = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), width).astype(np.int64)
-    return np.where(flat == 0, -1, np.where((flat >= 97) & (flat < 123), flat - 97, 26 + flat % (SYMBOLS - 26)))
+def parts_of(token: str) -> list[str]:
+    """The letters of a token as words to compare: none if they are few, overlapping parts if they are many."""
+    word = token if token.isalpha() else NOT_LETTER.sub("", token)
+    if len(word) <= LONGEST:
+        return [word] if len(word) > 2 else []
+    return [word[i : i + LONGEST] for i in range(0, len(word) - OVERLAP, OVERLAP)]
+
+
+def tokens_of(text: str) -> list[str]:
+    return text.casefold().replace("\n", " . ").split()
 
 
 def occurrences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, string, weight) of each subsequence of three symbols, those of one word and string added up."""
-    s = symbols(words)
+    """(word, string, weight) of each subsequence of three characters, those of one word and string added up."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    width = max(map(len, words), default=0)
+    if width < 3:
+        return none
+    flat = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds, s = np.unique(flat, return_inverse=True)  # the characters of these words, numbered
+    s, n, blank = s.reshape(len(words), width).astype(np.int64), len(kinds), int(kinds[0] == 0)
     rows, strings, weights = [], [], []
     for _, j, k in PLACES:
-        if k >= s.shape[1]:
+        if k >= width:
             continue
-        a, b, c = s[:, : s.shape[1] - k], s[:, j : s.shape[1] - k + j], s[:, k:]
-        row, at = np.nonzero(c >= 0)
+        a, b, c = s[:, : width - k], s[:, j : width - k + j], s[:, k:]
+        row, at = np.nonzero(c >= blank)
         rows.append(row)
-        strings.append((a[row, at] * SYMBOLS + b[row, at]) * SYMBOLS + c[row, at])
+        strings.append((a[row, at] * n + b[row, at]) * n + c[row, at])
         weights.append(np.full(len(row), DECAY ** (k + 1)))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    key = np.concatenate(rows) * SYMBOLS**3 + np.concatenate(strings)
+    key = np.concatenate(rows) * n**3 + np.concatenate(strings)
+    if not len(key):
+        return none
     order = np.argsort(key, kind="stable")
     key, weight = key[order], np.concatenate(weights)[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    total = np.add.reduceat(weight, first) if len(first) else np.zeros(0)
-    return key[first] // SYMBOLS**3, key[first] % SYMBOLS**3, total
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    held, code = key[first] % n**3, kinds.astype(np.int64)
+    string = (code[held // n**2] << 2 * CHARACTER) | (code[held // n % n] << CHARACTER) | code[held % n]
+    return key[first] // n**3, string, np.add.reduceat(weight, first)
+
+
+def norms(row: np.ndarray, weight: np.ndarray, words: int) -> np.ndarray:
+    return np.maximum(np.sqrt(np.bincount(row, weights=weight**2, minlength=words)), 1e-12)
 
 
 def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernels of words (rows) with landmarks (columns), some words at a time."""
+    out = np.zeros((len(words), len(landmarks)))
     row, string, weight = occurrences(landmarks)
+    if not len(string):
+        return out
     kinds, at = np.unique(string, return_inverse=True)
     held = np.zeros((len(kinds), len(landmarks)))
-    held[at, row] = weight / np.sqrt(np.bincount(row, weights=weight**2, minlength=len(landmarks)))[row]
-    out = np.zeros((len(words), len(landmarks)))
+    held[at, row] = weight / norms(row, weight, len(landmarks))[row]
     for first in range(0, len(words), 256):
         some = words[first : first + 256]
         row, string, weight = occurrences(some)
-        norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=len(some)))
         place = np.minimum(np.searchsorted(kinds, string), len(kinds) - 1)
         known = kinds[place] == string
         dense = np.zeros((len(some), len(kinds)))
-        dense[row[known], place[known]] = (weight / np.maximum(norm, 1e-12)[row])[known]
+        dense[row[known], place[known]] = (weight / norms(row, weight, len(some))[row])[known]
         out[first : first + 256] = dense @ held
     return out
 
 
-def word_scores(words: list[str], weights: np.ndarray) -> np.ndarray:
+def word_scores(words: list[str], strings: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The machine's value of each word, its strings' weights over its norm; CHUNK words at a time."""
     out = np.zeros(len(words))
     for first in range(0, len(words), CHUNK):
         some = words[first : first + CHUNK]
         row, string, weight = occurrences(some)
-        value = np.bincount(row, weights=weight * weights[string], minlength=len(some))
-        out[first : first + CHUNK] = value / np.maximum(np.sqrt(np.bincount(row, weights=weight**2, minlength=len(some))), 1e-12)
+        if len(string) and len(strings):
+            place = np.minimum(np.searchsorted(strings, string), len(strings) - 1)
+            value = np.where(strings[place] == string, weights[place], 0.0)
+            out[first : first + CHUNK] = np.bincount(row, weights=weight * value, minlength=len(some)) / norms(row, weight, len(some))
     return out
 
 
@@ -164,32 +165,113 @@ def nystrom(landmarks: list[str], words: list[str]) -> tuple[np.ndarray, np.ndar
     return kernels(words, landmarks) @ mapped, mapped
 
 
-def folded(landmarks: list[str], alpha: np.ndarray) -> np.ndarray:
-    """One weight for each string: the landmarks' normalised weights times alpha, added up."""
+def folded(landmarks: list[str], alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings in order, and one weight for each: the landmarks' normalised weights times alpha, added up."""
     row, string, weight = occurrences(landmarks)
-    norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=len(landmarks)))
-    return np.bincount(string, weights=weight * (alpha / np.maximum(norm, 1e-12))[row], minlength=SYMBOLS**3)
-
-
-#: Highest words that a text's score looks at, and the value of a missing one.
-HIGHEST, MISSING = 4, -2.0
-
+    kinds, at = np.unique(string, return_inverse=True)
+    return kinds, np.bincount(at, weights=weight * (alpha / norms(row, weight, len(landmarks)))[row], minlength=len(kinds))
+
+
+class Reader:
+    """Values the sentences of slices of texts by ``value``, which tells the values of words, remembering tokens while there are few."""
+
+    def __init__(self, value: Callable[[list[str]], np.ndarray]):
+        self.value = value
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.held = [np.zeros(0), np.zeros(0, bool), np.zeros(0, bool)]  # value, whether it ends a sentence, whether it is one letter
+
+    def learn(self, tokens: set[str]) -> None:
+        new = sorted(tokens.difference(self.known))
+        split = [parts_of(t) for t in new]
+        value = np.full(len(new), MISSING)
+        flat = [p for parts in split for p in parts]
+        if flat:
+            np.maximum.at(value, np.repeat(np.arange(len(new)), [len(p) for p in split]), self.value(flat))
+        lone = [len(t) < 4 and sum(c.isalpha() for c in t) == 1 for t in new]
+        for t in new:
+            self.known[t] = len(self.known)
+        now = [value, np.array([t.endswith(ENDS) for t in new], bool), np.array(lone, bool)]
+        self.held = [np.concatenate(x) for x in zip(self.held, now)]
+
+    def read(self, texts: list[str]) -> list[tuple[float, str, str, list[float]]]:
+        """For each text its highest value, the word and the sentence that have it, and the features.
+
+        These are the highest values of sentences, and how many different words are positive, in all and for each word.
+        """
+        if len(self.known) > REMEMBERED:
+            self.clear()
+        split = [tokens_of(t) for t in texts]
+        self.learn({t for tokens in split for t in tokens})
+        flat = [t for tokens in split for t in tokens]
+        out = [(MISSING, "", "", [MISSING] * HIGHEST + [0.0, 0.0])] * len(texts)
+        if not flat:
+            return out
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        value, ends, lone = (x[at] for x in self.held)
+        text = np.repeat(np.arange(len(texts)), [len(x) for x in split])
+        begins = np.concatenate([[True], text[1:] != text[:-1]])
+        spelled = spelled_out(flat, lone, begins)
+        if spelled:
+            self.learn(set(spelled.values()))
+            for (a, b), word in spelled.items():  # the first of the letters stands for all
+                value[a:b], ends[a : b - 1] = MISSING, False
+                value[a] = self.held[0][self.known[word]]
+        begins[1:] |= ends[:-1]
+        first = np.flatnonzero(begins)
+        begins |= (np.arange(len(flat)) - np.repeat(first, np.diff(np.append(first, len(flat))))) % LENGTH == 0
+        first = np.flatnonzero(begins)
+        highs, owner, last = np.maximum.reduceat(value, first), text[first], np.append(first[1:], len(flat))
+        order = np.lexsort([first, -highs, owner])
+        start = np.searchsorted(owner, np.arange(len(texts) + 1))
+        words, high = np.bincount(text, minlength=len(texts)), np.flatnonzero(value > 0)
+        kinds = np.unique(np.stack([text[high], at[high]]), axis=1)[0]  # a word that comes again counts once
+        hits = np.bincount(kinds, minlength=len(texts))
+        for t in np.unique(owner).tolist():
+            own = order[start[t] : start[t + 1]]
+            high = highs[own[:HIGHEST]].tolist()
+            a, b = int(first[own[0]]), int(last[own[0]])
+            top = a + int(value[a:b].argmax())
+            parts = parts_of(next((w for (x, _), w in spelled.items() if x == top), flat[top]))
+            word = parts[int(self.value(parts).argmax())] if parts else ""
+            out[t] = high[0], word, " ".join(flat[a:b]), [*(high + [MISSING] * HIGHEST)[:HIGHEST], math.log1p(hits[t]), math.log1p(100 * hits[t] / words[t])]
+        return out
+
+
+    def above(self, texts: list[str], least: float) -> dict[str, float]:
+        """The words of the texts' sentences that are above ``least``, with their values."""
+        if len(self.known) > REMEMBERED:
+            self.clear()
+        tokens = {t for text in texts for t in tokens_of(text)}
+        self.learn(tokens)
+        words = sorted({w for t in tokens if self.held[0][self.known[t]] > least for w in parts_of(t)})
+        found = zip(words, self.value(words).tolist()) if words else ()
+        return {w: v for w, v in found if v > least}
+
+
+def spelled_out(tokens: list[str], lone: np.ndarray, begins: np.ndarray) -> dict[tuple[int, int], str]:
+    """The words that three or more single letters in a row make, by where these begin and end. A text's end parts them."""
+    out = {}
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], lone.astype(np.int8), [0]])))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        cut = [a, *[i for i in range(a + 1, b) if begins[i]], b]
+        out |= {(x, y): "".join(c for t in tokens[x:y] for c in t if c.isalpha()) for x, y in zip(cut, cut[1:]) if y - x > 2}
+    return out
 
-def text_features(words: Counter[str], values: dict[str, float]) -> tuple[float, str | None, list[float]]:
-    """The highest value and its word; then, as a list, the highest values and how many and what share of the words are positive.
 
-    An often-used word counts as often.
-    """
-    found = [(values[w], w, n) for w, n in words.items()]
-    highest = heapq.nlargest(HIGHEST, found)
-    top = [v for v, _, n in highest for _ in range(min(n, HIGHEST))]
-    hits = sum(n for v, _, n in found if v > 0)
-    told = [*(top + [MISSING] * HIGHEST)[:HIGHEST], math.log1p(hits), math.log1p(100 * hits / max(1, words.total()))]
-    return (highest[0][0], highest[0][1], told) if highest else (MISSING, None, told)
+def words_of(sentence: str) -> list[str]:
+    """The words of a sentence, as they are compared."""
+    tokens = tokens_of(sentence)
+    lone = np.array([len(t) < 4 and sum(c.isalpha() for c in t) == 1 for t in tokens], bool)
+    spelled = spelled_out(tokens, lone, np.zeros(len(tokens), bool))
+    return sorted({w for t in [*tokens, *spelled.values()] for w in parts_of(t)})
 
 
 @dataclass
 class Model:
+    strings: np.ndarray
     weights: np.ndarray
     bias: float
     slopes: np.ndarray
@@ -200,84 +282,107 @@ def word_table(docs: DataFrame) -> DataFrame:
 
     def split(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [(w, t) for text, t in zip(frame.text, frame.toxic) for w in words_of(text)]
+            found = [(w, t) for text, t in zip(frame.text, frame.toxic) for w in {p for x in set(tokens_of(text)) for p in parts_of(x)}]
             yield pd.DataFrame(found, columns=["word", "toxic"])
 
     each = docs.select("text", "toxic").mapInPandas(split, "word string, toxic int")
     return each.groupBy("word").agg(F.sum("toxic").alias("toxic_docs"), F.sum(1 - F.col("toxic")).alias("clean_docs"))
 
 
-def tops(docs: DataFrame, value: np.ndarray | dict[str, float], bias: float, keep: list[str]) -> DataFrame:
-    """The kept columns, the value ``top`` and word ``word_top`` of a row's highest word, and its ``text_features``.
+#: Columns that read_docs() adds.
+READ = ("top", "top_word", "top_sentence", "features")
+
 
-    ``value`` has the machine's weight of each string, or the values of some words, others having -1.
+Value = tuple[np.ndarray, np.ndarray, float] | dict[str, float]
+
+
+def reader_of(value: Value) -> Reader:
+    """``value`` has strings, the machine's weights of them and its bias, or the values of some words, others having MISSING."""
+    if isinstance(value, dict):
+        return Reader(lambda words: np.array([value.get(w, MISSING) for w in words]))
+    return Reader(lambda words: word_scores(words, *value[:2]) + value[2])
+
+
+def read_docs(docs: DataFrame, value: Value, keep: list[str]) -> DataFrame:
+    """The kept columns, then the highest value of a row's sentences, the word and the sentence that have it, and the features.
+
+    The columns are named READ, with underscores in front while a kept column has such a name.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((value, bias))
-    at = fresh("text", keep)
+    shared = docs.sparkSession.sparkContext.broadcast(value)
+    at, names = fresh("text", keep), [fresh(c, keep) for c in READ]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, low = shared.value
-        known: dict[str, float] = {}
+        reader = reader_of(shared.value)
         for part in slices(batches, at):
-            each = [words_of(t) for t in part.column(at).fill_null("").to_pylist()]
-            if isinstance(table, dict):
-                known = {w: table.get(w, -1.0) for words in each for w in words}
-            else:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                fresh = list(set().union(*each).difference(known))
-                known.update(zip(fresh, (word_scores(fresh, table) + low).tolist()))
-            told = [text_features(words, known) for words in each]
-            found = [pa.array([t[i] for t in told], kind) for i, kind in enumerate((pa.float64(), pa.string(), pa.list_(pa.float64())))]
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *found], [*keep, "top", "word_top", "text_features"])
+            found = list(zip(*reader.read(part.column(at).fill_null("").to_pylist()))) or [()] * len(names)
+            kinds = pa.float64(), pa.string(), pa.string(), pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *[pa.array(x, k) for x, k in zip(found, kinds)]], [*keep, *names])
+
+    schema = f"{kept_schema(docs, keep)}{names[0]} double, {names[1]} string, {names[2]} string, {names[3]} array<double>"
+    return with_text(docs, keep, at).mapInArrow(run, schema)
 
-    return with_text(docs, keep, at).mapInArrow(run, f"{kept_schema(docs, keep)}top double, word_top string, text_features array<double>")
 
+def violations(clean: DataFrame, value: Value, least: float = -0.9) -> list[str]:
+    """The words of clean sentences that are not low: TRAINING at most, the highest ones."""
+    shared = clean.sparkSession.sparkContext.broadcast(value)
 
-def witnesses(toxic: DataFrame, value: np.ndarray | dict[str, float], bias: float) -> list[str]:
-    """The words that stand for toxic documents, those of the most documents first; of one document only if all are."""
-    found = tops(toxic, value, bias, ["doc_id"]).where("top > -1").groupBy("word_top").count()
-    rows = found.orderBy(F.desc("count"), "word_top").limit(TRAINING).collect()
-    return [r.word_top for r in rows if r["count"] > 1] or [r.word_top for r in rows]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = reader_of(shared.value)
+        for part in slices(batches):
+            found = reader.above(part.column("text").fill_null("").to_pylist(), least)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], ["word", "top"])
+
+    found = clean.select("text").mapInArrow(run, "word string, top double").groupBy("word").agg(F.max("top").alias("top"))
+    return [r.word for r in found.orderBy(F.desc("top"), "word").limit(TRAINING).collect()]
+
+
+def highest(docs: DataFrame, value: Value, least: float) -> list[tuple[str, str]]:
+    """(sentence, word): of each document the highest sentence and its highest word, if above ``least``; TRAINING at most."""
+    found = read_docs(docs, value, []).where((F.col("top") > least) & (F.col("top_word") != ""))
+    best = found.groupBy("top_sentence", "top_word").agg(F.max("top").alias("top")).orderBy(F.desc("top"), "top_sentence").limit(TRAINING)
+    return [(r.top_sentence, r.top_word) for r in best.collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
     """A machine fitted to about ``fit_docs`` documents of each label in the learning folds."""
     known = labels.where(F.col("toxic").isNotNull() & (crc_fold(labels, FOLDS) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    rows = stored(texts.join(F.broadcast(sampled(known, "doc_id", "toxic", fit_docs)), "doc_id"), "toxic-docs")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    rows = stored(texts.join(F.broadcast(sampled(known, ["doc_id"], "toxic", fit_docs)), "doc_id"), "toxic-docs")
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return None
-    toxic = rows.where("toxic = 1")
+    toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
     rate = (F.col("toxic_docs") + 0.5) / n[1] / ((F.col("clean_docs") + 0.5) / n[0])
     table = stored(word_table(rows).withColumn("rate", rate), "toxic-words")
     total = float(n[0] + n[1])
     expected = (F.col("toxic_docs") + F.col("clean_docs")) / total
     told = [F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (expected * n[k]))).otherwise(0.0) for c, k in (("toxic_docs", 1), ("clean_docs", 0))]
-    sure = table.where("rate > 4").withColumn("evidence", 2 * (told[0] + told[1])).where(F.col("evidence") > EVIDENCE)
-    sure = [r.word for r in sure.orderBy(F.desc("evidence"), "word").limit(TRAINING).collect()]
+    evidence = 2 * (told[0] + told[1])
+    sure = table.where("rate > 4").withColumn("evidence", evidence).orderBy(F.desc("evidence"), "word").limit(TRAINING).collect()
     typical = table.where("rate > 2").select("word", (F.col("toxic_docs") * F.log("rate")).alias("value"))
     typical = {r.word: r.value for r in typical.orderBy(F.desc("value"), "word").limit(10 * TRAINING).collect()}
-    clean = table.where("rate < 4")
-    usual = [r.word for r in clean.orderBy(F.desc("clean_docs"), "word").limit(TRAINING).collect()]
-    positive = list(dict.fromkeys([*sure, *witnesses(toxic, typical, 0.0)]))
-    if not positive or not usual:
-        return None
-    landmarks, negative = [*positive[:LANDMARKS], *usual[:LANDMARKS]], set(usual)
+    usual = [r.word for r in table.where("rate < 4").orderBy(F.desc("clean_docs"), "word").limit(LANDMARKS).collect()]
+    landmarks = list(dict.fromkeys([*[r.word for r in sure][:LANDMARKS], *usual]))
+    sure = Counter({r.word: r.toxic_docs for r in sure if r.evidence > EVIDENCE})
+    positive, negative = highest(toxic, typical, MISSING), highest(clean, {w: 0.0 for w in usual}, MISSING)
+    low = {w for x, _ in negative for w in words_of(x)}
     for last in [False] * ROUNDS + [True]:
-        training = sorted(negative.difference(positive))
-        x, mapped = nystrom(landmarks, [*positive, *training])
-        w, bias = svm(x, np.append(np.ones(len(positive)), -np.ones(len(training))))
-        weights = folded(landmarks, mapped @ w)
+        often = Counter(w for _, w in positive if w not in low)
+        high = sure | Counter({w: n for w, n in often.items() if n > 1 or not sure and max(often.values()) == 1})
+        training = sorted(low.difference(high))
+        if not high or not training:
+            return None
+        landmarks = list(dict.fromkeys([*landmarks, *[w for w, _ in high.most_common(LANDMARKS)]]))
+        x, mapped = nystrom(landmarks, [*high, *training])
+        w, bias = svm(x, np.append(np.ones(len(high)), -np.ones(len(training))))
+        value = *folded(landmarks, mapped @ w), bias
         if not last:
-            hard = tops(clean.select(F.col("word").alias("text")), weights, bias, []).where("top > -0.9")
-            hard = [r.word_top for r in hard.orderBy(F.desc("top"), "word_top").limit(TRAINING).collect()]
-            negative |= set(hard)
+            hard = violations(clean, value)
+            low |= set(hard)
             landmarks = list(dict.fromkeys([*landmarks, *hard[: LANDMARKS // 2]]))
-            positive = list(dict.fromkeys([*sure, *witnesses(toxic, weights, bias)]))
-    scored = tops(rows, weights, bias, ["toxic"]).select("toxic", "text_features").toPandas()
-    return Model(weights, bias, logistic(np.stack(scored.text_features), scored.toxic.to_numpy()))
+            positive = highest(toxic, value, -1.0) or positive
+    scored = read_docs(rows.select("toxic", "text"), value, ["toxic"]).select("toxic", "features").toPandas()
+    return Model(*value, logistic(np.stack(scored.features), scored.toxic.to_numpy()))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -294,9 +399,15 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The kept columns and toxic_score, 0 to 1."""
+    """The kept columns and then the score, 0 to 1.
+
+    The score's column is toxic_score, with underscores in front while a kept column has that name.
+    """
+    name = fresh("toxic_score", keep)
+    kept = [F.col(f"`{c.replace('`', '``')}`") for c in keep]
     if model is None:
-        return docs.select(*keep, F.lit(0.0).alias("toxic_score"))
-    found = tops(docs, model.weights, model.bias, keep)
-    value = sum((F.lit(float(m)) * F.col("text_features")[i] for i, m in enumerate(model.slopes[:-1])), F.lit(float(model.slopes[-1])))
-    return found.select(*keep, (1 / (1 + F.exp(-value))).alias("toxic_score"))
+        return docs.select(*kept, F.lit(0.0).alias(name))
+    found = read_docs(docs, (model.strings, model.weights, model.bias), keep)
+    told = F.col(f"`{found.columns[-1]}`")
+    value = sum((F.lit(float(m)) * told[i] for i, m in enumerate(model.slopes[:-1])), F.lit(float(model.slopes[-1])))
+    return found.select(*kept, (1 / (1 + F.exp(-value))).alias(name))
