@@ -1,11 +1,13 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk.
 
-The classifier is linear in features of a text's bytes and words. It is fitted to trusted positives and to all texts as
-unlabelled ones; negative labels are never used. With the class prior p and the logistic loss l, the unbiased risk is
-p E+[l(g)] + (E[l(-g)] - p E+[l(-g)]), whose second part can't be below 0 for any true classifier: Newton steps that
-would make it negative are cut back, and fitting ends where it stays negative. The prior is estimated first: a
-classifier fitted under an even prior orders the texts, and the share of all texts above a threshold over that of the
-positives bounds the prior from above; the smallest such bound, over thresholds that half of the positives pass, is taken.
+The classifier is linear in features of a text's bytes and words, hashed byte trigrams and words among them. It is fitted
+to trusted positives and to all texts as unlabelled ones; negative labels are never used. With the class prior p and the
+logistic loss l, the risk is p E+[l(g)] + max(0, E[l(-g)] - p E+[l(-g)]): the second part is the risk of negatives, which can't be below 0 for any true
+classifier. While it is above, Newton steps go down the whole risk; where a step makes it negative, the fit begins to tell
+trusted positives from unlabelled ones, the clip acts, and the next step goes up its second part instead. The weights of
+the least clipped risk are kept. The prior is estimated first: a classifier fitted under an even prior orders the texts,
+and the share of all texts above a threshold over that of the positives bounds the prior from above; of these bounds the
+one is taken that is least when chance is allowed for.
 
 Every step is a pass over the stored features of all documents that ends in sums of a fixed number of cells.
 
@@ -23,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.text import buffers, crc_fold, fresh, hashed_words, kept_schema, slices, with_text
+from lumenframe.llm.text import buffers, crc_fold, fresh, hashed_words, kept_schema, mixed, slices, with_text
 from lumenframe.storage import stored
 
 THRESHOLD = 0.3
 FOLDS = 5
-STEPS, RIDGE, BINS = 8, 1e-2, 400
+STEPS, RIDGE, BINS = 10, 1e-2, 400
+#: Probability that the estimated prior is allowed to be off by more than chance.
+CHANCE = 0.1
+#: Cells of hashed byte trigrams, and of hashed words.
+TRIGRAMS, WORDS = 32, 32
 #: Added to the standard deviations that features are divided by: a mark in a few texts should not weigh much.
 SCALE = 0.03
 
@@ -47,12 +53,14 @@ def byte_class(value: int) -> int:
 
 CLASSES = np.array([byte_class(x) for x in range(256)], np.int64)
 N_CLASSES = 39
-#: Byte classes, then six features of the words.
-WIDTH = N_CLASSES + 6
+#: Byte classes, six features of the words, hashed trigrams and words.
+N_PLAIN = N_CLASSES + 6
+WIDTH = N_PLAIN + TRIGRAMS + WORDS
 
 
 def features(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Features of each text: roots of the byte classes' shares, and how long, cased, ended and repeated its words are."""
+    """Features of each text: roots of shares of byte classes, how long, cased, ended and repeated its words are, and roots of
+    shares of trigrams and words by a hash."""
     n = len(starts) - 1
     out = np.zeros((n, WIDTH))
     if not len(data):
@@ -60,6 +68,11 @@ def features(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(n), np.diff(starts))
     shares = np.bincount(owner * N_CLASSES + CLASSES[data], minlength=n * N_CLASSES).reshape(n, N_CLASSES)
     out[:, :N_CLASSES] = np.sqrt(shares / np.maximum(np.diff(starts), 1)[:, None])
+    if len(data) > 2:
+        low = data.astype(np.uint64)
+        gram = mixed((low[:-2] << np.uint64(16)) | (low[1:-1] << np.uint64(8)) | low[2:]) % np.uint64(TRIGRAMS)
+        whole = owner[:-2] == owner[2:]
+        out[:, N_PLAIN : N_PLAIN + TRIGRAMS] = hashed_shares(gram[whole], owner[:-2][whole], n, TRIGRAMS)
     found = hashed_words(data, starts)
     word, text, begin, size = found.hash, found.text, found.begin, found.size
     if not len(begin):
@@ -74,11 +87,18 @@ def features(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     share = lambda x: np.bincount(text, weights=x, minlength=n) / words
     distinct = np.bincount(text[order][new], minlength=n) / words
     extra = [np.log1p(words), share(size) / 10, share((upper == size) & (size > 1)), share(marked), share(again), distinct]
-    out[:, N_CLASSES:] = np.stack(extra, axis=1)
-    out[np.bincount(text, minlength=n) == 0, N_CLASSES:] = 0
+    out[:, N_CLASSES:N_PLAIN] = np.stack(extra, axis=1)
+    out[np.bincount(text, minlength=n) == 0, N_CLASSES:N_PLAIN] = 0
+    out[:, N_PLAIN + TRIGRAMS :] = hashed_shares(word % np.uint64(WORDS), text, n, WORDS)
     return out
 
 
+def hashed_shares(cell: np.ndarray, owner: np.ndarray, n: int, cells: int) -> np.ndarray:
+    """Root of the share of each of some cells in each text."""
+    times = np.bincount(owner * cells + cell.astype(np.int64), minlength=n * cells).reshape(n, cells)
+    return np.sqrt(times / np.maximum(times.sum(axis=1, keepdims=True), 1))
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -134,40 +154,49 @@ def newton(table: DataFrame, mean: np.ndarray, scale: np.ndarray, prior: float,
     """Weights of the least non-negative risk under a prior."""
     d = WIDTH + 1
 
-    def look(w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    def look(w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray, np.ndarray]:
+        """The clipped risk, its second part before the clip, the slopes of the whole and of that part, and the curvature."""
+
         def part(x: np.ndarray, trusted: np.ndarray) -> np.ndarray:
             z = design(x, mean, scale)
             g = z @ w
             p = sigmoid(g)
             own = z[trusted]
             losses = [np.logaddexp(0, g).sum(), np.logaddexp(0, -g[trusted]).sum(), np.logaddexp(0, g[trusted]).sum()]
-            return np.concatenate([losses, p @ z, own.sum(axis=0), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+            return np.concatenate([losses, p @ z, own.sum(axis=0), p[trusted] @ own, ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
 
-        s = sums(table, 3 + 2 * d + d * d, part)
+        s = sums(table, 3 + 3 * d + d * d, part)
         negative = s[0] / rows - prior * s[2] / positives
         ridge = np.append(np.full(WIDTH, RIDGE), 0.0)
         risk = prior * s[1] / positives + max(0.0, negative) + 0.5 * (ridge * w * w).sum()
         gradient = s[3 : 3 + d] / rows - prior * s[3 + d : 3 + 2 * d] / positives + ridge * w
-        return risk, negative, gradient, s[3 + 2 * d :].reshape(d, d) / rows + np.diag(ridge + 1e-9)
+        up = s[3 : 3 + d] / rows - prior * s[3 + 2 * d : 3 + 3 * d] / positives
+        return risk, negative, gradient, up, s[3 + 3 * d :].reshape(d, d) / rows + np.diag(ridge + 1e-9)
 
-    risk, _, gradient, curve = look(weights)
+    least, best, size = np.inf, weights, 1.0
     for _ in range(STEPS):
-        step, size, moved = np.linalg.solve(curve, gradient), 1.0, False
-        while size > 0.1 and not moved:
-            there = weights - size * step
-            at = look(there)
-            moved = at[1] >= 0 and at[0] < risk
+        risk, negative, gradient, up, curve = look(weights)
+        gain = least - risk
+        if gain > 0:
+            least, best, size = risk, weights, 1.0
+        else:
             size /= 2
-        if not moved:
+        if abs(gain) < 1e-5 or size < 0.1:
             break
-        gain, weights, (risk, _, gradient, curve) = risk - at[0], there, at
-        if gain < 1e-5:
-            break
-    return weights
+        if gain <= 0:
+            weights = (best + weights) / 2  # the step went too far
+        elif negative >= 0:
+            weights = weights - np.linalg.solve(curve, gradient)
+        else:
+            weights = weights + size * np.linalg.solve(curve, up)  # clipped: raise the second part
+    return best
 
 
 def estimated_prior(table: DataFrame, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, positives: float, rows: float) -> float:
-    """The least upper bound of the prior over thresholds of the score."""
+    """The share of all texts over that of the positives above a threshold: an upper bound of the prior.
+
+    The threshold is the one with the least bound once what chance may add to either share is added.
+    """
 
     def part(x: np.ndarray, trusted: np.ndarray) -> np.ndarray:
         at = np.minimum((sigmoid(design(x, mean, scale) @ weights) * BINS).astype(int), BINS - 1)
@@ -175,7 +204,9 @@ def estimated_prior(table: DataFrame, mean: np.ndarray, scale: np.ndarray, weigh
 
     s = sums(table, 2 * BINS, part)
     above, own = s[:BINS][::-1].cumsum() / rows, s[BINS:][::-1].cumsum() / positives
-    return float(np.clip((above / np.maximum(own, 1e-9))[own >= 0.5].min(), 0.01, 0.99))
+    chance = np.sqrt(np.log(4 / CHANCE) / 2) * (1 / np.sqrt(rows) + 1 / np.sqrt(positives))
+    best = np.argmin((above + chance) / np.maximum(own, 1e-9))
+    return float(np.clip(above[best] / max(own[best], 1e-9), 0.01, 0.99))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:

@@ -9,7 +9,7 @@ What a forward state is depends on the kind of vocabulary. For a unigram one it
 segmentation of the prefix, a character outside the vocabulary costing UNKNOWN below the smallest score. For one
 trained by merging (as piece_bpe_32k), the largest sum isn't what merging leaves, so the paths are restricted: two
 pieces may follow each other only if merging their characters alone leaves these two. One path to each prefix is left,
-and it is the one that merging the whole prefix gives. Characters outside the vocabulary are written as UTF-8 bytes.
+and it is the one that merging the whole prefix gives; should there be none, the word is merged as a whole. Characters outside the vocabulary are written as UTF-8 bytes.
 
 Defined cases: null and empty texts have no pieces and decode to an empty text; a mark in a text decodes to a space; of
 equal sums the longest last piece wins; repeated rows are encoded alike; other columns are ignored.
@@ -42,6 +42,10 @@ WORD = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 REMEMBERED = 400_000
 
 
+class NoPath(Exception):
+    """No restricted path leads to a prefix; the word is merged as a whole."""
+
+
 class Pieces:
     """Scores and ids of a vocabulary, read from the bytes of a model file."""
 
@@ -118,7 +122,7 @@ class Pieces:
             at -= 1
             piece = word[at:end]
             if at < 0 or piece not in ends:
-                raise ValueError(f"no path to {word[:end]!r}")
+                raise NoPath
             token = number.get(piece)
 
     def segment(self, words: list[str]) -> Iterator[list[int]]:
@@ -134,22 +138,32 @@ class Pieces:
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del state[shared + 1 :], last[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                now, begin = self.last_merged(word, end, state) if merges else self.best_sum(word, end, state)
-                state.append(now)
-                last.append(begin)
-            before, out, end = word, [], len(word)
+            try:
+                for end in range(shared + 1, len(word) + 1):
+                    now, begin = self.last_merged(word, end, state) if merges else self.best_sum(word, end, state)
+                    state.append(now)
+                    last.append(begin)
+            except NoPath:
+                before = word[: len(state) - 1]
+                yield [i for piece in self.merged(word) for i in self.ids_of(piece)]
+                continue
+            before, pieces, end = word, [], len(word)
             while end:
-                piece = word[last[end] : end]
+                pieces.append(word[last[end] : end])
+                end = last[end]
+            out = []
+            for piece in reversed(pieces):
                 hit = number.get(piece)
                 if hit is not None:
                     out.append(hit)
                 else:
-                    out += [self.bytes[x] for x in reversed(piece.encode())]
-                end = last[end]
-            out.reverse()
+                    out += self.ids_of(piece)
             yield out
 
+    def ids_of(self, piece: str) -> list[int]:
+        """The id of a piece, or those of its bytes."""
+        return [self.number[piece]] if piece in self.number else [self.bytes[x] for x in piece.encode()]
+
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
         """The text of each run of ids; the space of the first mark goes."""
         begin, size = self.starts[ids], self.starts[ids + 1] - self.starts[ids]

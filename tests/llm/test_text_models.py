@@ -110,7 +110,14 @@ def brute_features(t: str) -> np.ndarray:
         upper = [all(65 <= c <= 90 for c in w) and len(w) > 1 for w in words]
         marked = [w[-1] < 128 and not chr(w[-1]).isalnum() and w[-1] not in b".," for w in words]
         again = [a == b for a, b in zip(words, words[1:])]
-        out[quality.N_CLASSES :] = [np.log1p(len(words)), np.mean([len(w) for w in words]) / 10, np.mean(upper), np.mean(marked), sum(again) / len(words), len(set(words)) / len(words)]
+        out[quality.N_CLASSES : quality.N_PLAIN] = [np.log1p(len(words)), np.mean([len(w) for w in words]) / 10, np.mean(upper), np.mean(marked), sum(again) / len(words), len(set(words)) / len(words)]
+    cells = quality.N_PLAIN, quality.N_PLAIN + quality.TRIGRAMS
+    grams = [int.from_bytes(raw[i : i + 3], "big") for i in range(len(raw) - 2)]
+    for g in grams:
+        out[cells[0] + int(text.mixed(np.array([g], np.uint64))[0]) % quality.TRIGRAMS] += 1 / len(grams)
+    for w in words:
+        out[cells[1] + int(text.hashed_words(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hash[0]) % quality.WORDS] += 1 / len(words)
+    out[quality.N_PLAIN :] = np.sqrt(out[quality.N_PLAIN :])
     return out
 
 
@@ -139,6 +146,48 @@ def test_negative_labels_of_quality_are_never_used(spark):
     assert kept == {i for i in range(300) if i % 3}
 
 
+def brute_risk(x, trusted, model, weights):
+    g = np.array([quality.design(v[None], model.mean, model.scale)[0] @ weights for v in x])
+    loss = lambda z: np.log1p(np.exp(-z))
+    negative = loss(-g).mean() - model.prior * loss(-g[trusted]).mean()
+    return model.prior * loss(g[trusted]).mean() + max(0.0, negative) + 0.5 * quality.RIDGE * (weights[:-1] ** 2).sum()
+
+
+def test_scores_and_risk_by_brute_force(spark):
+    """Scores text by text, and a clipped risk that no small change of the weights makes much less."""
+    texts = [sentence(i, 30) if i % 3 else "!!! " * (5 + i % 20) for i in range(240)]
+    docs = frame(spark, [row(i, t) for i, t in enumerate(texts)])
+    model = quality.fit(docs, spark.createDataFrame([(i, 1) for i in range(240) if i % 3], "doc_id long, quality int"))
+    x = np.stack([brute_features(t) for t in texts]).astype(np.float32).astype(float)
+    want = [1 / (1 + np.exp(-(quality.design(v[None], model.mean, model.scale)[0] @ model.weights))) for v in x]
+    got = {r.doc_id: r.quality_score for r in quality.score(docs, model, ["doc_id"]).collect()}
+    assert [got[i] for i in range(240)] == pytest.approx(want, abs=1e-4)
+    trusted = np.array([i % 3 > 0 and not held(i, 5, 0) for i in range(240)])
+    here, rng = brute_risk(x, trusted, model, model.weights), np.random.default_rng(1)
+    for _ in range(30):
+        assert brute_risk(x, trusted, model, model.weights + rng.normal(0, 0.05, len(model.weights))) > here - 2e-3
+
+
+def test_the_clip_acts(spark, monkeypatch):
+    """Under a prior that is far too large the second part gets negative, and a step raises it again."""
+    seen = []
+    plain = quality.sums
+
+    def spy(table, cells, fn):
+        s = plain(table, cells, fn)
+        if cells > 2 * quality.BINS:
+            seen.append(s[0] / 200 - 0.9 * s[2] / 80)
+        return s
+
+    monkeypatch.setattr(quality, "sums", spy)
+    docs = frame(spark, [row(i, sentence(i, 30) if i < 100 else "!!! " * (5 + i % 20)) for i in range(200)])
+    table = quality.feature_table(docs, spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int"))
+    n = table.where("trusted").count()
+    x = np.array([r.x for r in table.collect()])
+    quality.newton(table, x.mean(axis=0), x.std(axis=0) + quality.SCALE, 0.9, np.zeros(quality.WIDTH + 1), n, 200)
+    assert min(seen) < 0 and any(a < 0 and b > a for a, b in zip(seen, seen[1:]))
+
+
 def test_quality_of_awkward_rows(spark):
     rows = awkward()
     docs = frame(spark, rows)

@@ -55,6 +55,14 @@ def test_any_text(kind, texts):
     assert coded(kind, texts) == LIBRARY[kind].encode(texts)
 
 
+def test_words_without_a_path_are_merged_whole(monkeypatch):
+    pieces = sentencepieces.Pieces(MODEL)
+    monkeypatch.setattr(pieces, "follows", lambda pair: False)
+    texts = ["the other theory", "", "日本語 é 😀", "a" * 40]
+    ids, starts = sentencepieces.Encoder(pieces).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == LIBRARY["merges"].encode(texts)
+
+
 def test_shared_prefixes_change_nothing():
     words = sorted({"▁" + w for w in "the there them then these thesis theme a ab abc abcd abd b".split()})
     pieces = PIECES["merges"]
