@@ -38,8 +38,37 @@ def camera_label(connector: Column, name: Column) -> Column:
 
 
 def form_fields(body: Column) -> Column:
-    """A form body as a map; later values of a key win."""
-    return F.map_from_entries(F.transform(F.split(body, "&"), lambda p: F.struct(F.try_url_decode(F.substring_index(p, "=", 1)), F.try_url_decode(F.substring(p, F.instr(p, F.lit("=")) + 1, F.length(p))))))
+    """A form body as a map. Parts without an equals sign don't count; later values of a key win."""
+    pairs = F.filter(F.split(body, "&"), lambda p: p.contains("="))
+    none = F.create_map().cast("map<string,string>")
+
+    def put(found: Column, pair: Column) -> Column:
+        key, value = F.try_url_decode(F.substring_index(pair, "=", 1)), F.try_url_decode(F.substring(pair, F.instr(pair, F.lit("=")) + 1, F.length(pair)))
+        return F.map_concat(F.map_filter(found, lambda k, v: k != key), F.create_map(key, value))
+
+    return F.aggregate(pairs, none, put)
+
+
+def flat_json(body: Column) -> Column:
+    """The members of a JSON object as a map of texts; empty if it isn't one."""
+    return F.coalesce(F.from_json(body, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def trimmed(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def request_fields(body: Column) -> Column:
+    """The fields of a request's body: a JSON object if it begins like one, else a form."""
+    text = trimmed(body)
+    return F.when(text.startswith("{"), flat_json(text)).otherwise(form_fields(text))
+
+
+def merged_objects(first: Column, second: Column) -> Column:
+    """One JSON object with the members of two, in order. Texts that aren't in braces, and empty ones, add nothing."""
+    inner = [trimmed(F.when(t.startswith("{") & t.endswith("}"), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise("")) for t in (trimmed(first), trimmed(second))]
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.when(t != "", t) for t in inner]), F.lit("}"))
 
 
 def errors(*checks: tuple[Column, str]) -> Column:

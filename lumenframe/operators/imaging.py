@@ -102,10 +102,11 @@ def to_srgb(rgb: DataFrame, bits: int, black: float) -> DataFrame:
     means = lit.groupBy("plane").agg(F.count_if(good).alias("n"), *agg)
     mean = {c: F.greatest(F.when(F.col("n") > 1000, F.col(f"good_{c}")).otherwise(F.col(f"all_{c}")), F.lit(1e-6)) for c in "rgb"}
     gains = means.select("plane", *[(mean["g"] / mean[c]).alias(f"w_{c}") for c in "rgb"])
-    balanced = lit.join(F.broadcast(gains), "plane").select("plane", "y", "x", *[(F.col(c) * F.col(f"w_{c}")).alias(c) for c in "rgb"])
-    levels = balanced.select("plane", F.explode(F.array("r", "g", "b")).alias("v")).groupBy("plane").agg(F.expr("percentile(v, 0.995)").alias("p"))
+    balanced = lit.join(gains, "plane").select("plane", "y", "x", *[(F.col(c) * F.col(f"w_{c}")).alias(c) for c in "rgb"])
+    seen = balanced.select("plane", F.explode(F.array("r", "g", "b")).alias("v")).groupBy("plane", "v").agg(F.count("*").alias("n"))
+    levels = seen.groupBy("plane").agg(F.expr("percentile(v, 0.995, n)").alias("p"))  # few levels differ, however large the plane
     gain = F.lit(0.9) / F.greatest("p", F.lit(1e-6))
-    out = balanced.join(F.broadcast(levels), "plane")
+    out = balanced.join(levels, "plane")
 
     def curve(c: str) -> Column:
         z = F.least(F.greatest(F.col(c) * gain, F.lit(0.0)), F.lit(1.0))
@@ -131,9 +132,24 @@ def compared(a: DataFrame, b: DataFrame, bits: int) -> DataFrame:
     return out.select("plane", psnr.alias("psnr"), F.sqrt("mse").alias("rms"), "max_error", "unmatched")
 
 
-def split_mosaic(plane: DataFrame) -> DataFrame:
-    """(plane, component, y, x, v): the four sites of a mosaic as components of half size."""
-    component = F.col("x") % 2 + 2 * (F.col("y") % 2)
+def compared_sites(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Root mean square and largest error at each site of a Bayer mosaic, and whether the images are the same there.
+
+    Cells that only one image has are an error that nothing equals.
+    """
+    met = a.withColumnRenamed("v", "p").join(b.withColumnRenamed("v", "q"), ["plane", "y", "x"], "full")
+    e = F.col("p") - F.col("q")
+    site = F.when(red(), "R").when(blue(), "B").when(F.col("y") % 2 == 0, "G1").otherwise("G2")
+    out = met.groupBy("plane", site.alias("site")).agg(F.avg(e * e).alias("mse"), F.max(F.abs(e)).alias("max_error"), F.count_if(e.isNull()).alias("unmatched"))
+    return out.select("plane", "site", F.sqrt("mse").alias("rms"), "max_error", ((F.coalesce("max_error", F.lit(0)) == 0) & (F.col("unmatched") == 0)).alias("identical"))
+
+
+def split_mosaic(plane: DataFrame, flipped: bool = False) -> DataFrame:
+    """(plane, component, y, x, v): the four sites of a mosaic as components of half size.
+
+    In patterns of the second type (``flipped``, GRBG and GBRG), the sites of a line change places.
+    """
+    component = (F.col("x") + int(flipped)) % 2 + 2 * (F.col("y") % 2)
     return plane.select("plane", component.alias("component"), F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x"), "v")
 
 

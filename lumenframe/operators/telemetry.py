@@ -2,7 +2,7 @@
 
 Frames have camera, arrival (the order in which they came), frame_number and dropped (-1 if unknown), bytes_written,
 frame_size, and capture and reception times as seconds and nanoseconds. Cameras are few and frames many: windows that
-need a camera's order are split at fixed ranges of arrival first, so that no task sorts a whole camera's frames.
+need a camera's order are split at fixed ranges of arrival or time first, so that no task sorts a whole camera's frames.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators.ordering import numbered
+from lumenframe.sources.blobs import flat_flags, jamcrc
 from lumenframe.storage import stored
 
 #: Frames of a camera that one task puts in order.
@@ -112,36 +114,58 @@ def sampled(frames: DataFrame, every: int, limit: int | None = None) -> DataFram
     """Each camera's frames number every, 2 * every, ... by arrival, ``limit`` of them; none if every is 0."""
     if every <= 0:
         return frames.limit(0)
-    chunked = frames.withColumn("__chunk", F.floor(F.col("arrival") / CHUNK))
-    counts = chunked.groupBy("camera", "__chunk").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("camera").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("camera", "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("camera", "__chunk").orderBy("arrival"))
-    placed = chunked.withColumn("__at", inside).join(starts, ["camera", "__chunk"]).withColumn("sequence", (F.col("__at") + F.col("__start")).cast("long"))
+    placed = numbered(frames, ["camera"], "arrival", "sequence", CHUNK)
     kept = placed.where(F.col("sequence") % every == 0)
-    if limit is not None:
-        kept = kept.where(F.col("sequence") <= every * limit)
-    return kept.drop("__chunk", "__at", "__start")
+    return kept if limit is None else kept.where(F.col("sequence") <= every * limit)
+
+
+def integrity(frames: DataFrame, every: int) -> DataFrame:
+    """Counts of each camera over every so-manieth frame: with a checksum and without, wrong ones, and flat frames.
+
+    Frames also have data and crc, what the sender says; 0 says nothing, and such a frame is neither checked nor flat.
+    Checked are the bytes written, or all of data if their number isn't known.
+    """
+    size = F.least(F.octet_length("data"), F.when(F.col("bytes_written") > 0, F.col("bytes_written")).otherwise(F.octet_length("data")))
+    told = sampled(frames, every).select("camera", "crc", F.expr("data").substr(F.lit(1), size.cast("int")).alias("data"))
+    told = flat_flags(told.withColumn("wrong", F.col("crc") != jamcrc(F.col("data"))), "data")
+    checked = F.col("crc") != 0
+    counts = {"crc_checked": checked, "crc_bad": checked & F.col("wrong"), "crc_unavailable": F.col("crc") == 0, "flat_frames": checked & F.col("data")}
+    return told.groupBy("camera").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+
 
+def dumped(frames: DataFrame, every: int, limit: int) -> DataFrame:
+    """(camera, frames_dumped): how many frames a sampled dump writes."""
+    return frames.groupBy("camera").agg(F.least(F.floor(F.count("*") / every), F.lit(limit)).cast("long").alias("frames_dumped"))
 
-def verdicts(frames: DataFrame, plan: DataFrame, tolerance: float, allowed: int) -> DataFrame:
-    """A verdict with its first failing reason for each camera of the plan (camera, expected_fps, expected_gbps).
 
-    Tested in order: frames came, the rate is within the tolerance, losses are allowed ones, no frame is short.
+CHECKS = ("crc_checked", "crc_bad", "flat_frames")
+
+
+def verdicts(frames: DataFrame, plan: DataFrame, tolerance: float, allowed: int, rate: str = "fps", checks: DataFrame | None = None) -> DataFrame:
+    """A verdict with its first failing reason for each camera of the plan (camera and the expected fps or gbps).
+
+    Tested in order: frames came, the rate is within the tolerance, losses are allowed ones, no frame is short. With
+    ``checks``, which integrity() gives and in which a camera may be missing, also that no checksum is wrong and that no
+    frame is flat.
     """
     short = frames.groupBy("camera").agg(F.count_if(is_short()).alias("short_frames"))
     loss = gaps(frames).join(counter_growth(frames), "camera")
     met = plan.join(totals(frames, span()), "camera", "left").join(loss, "camera", "left").join(short, "camera", "left")
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("frames", "bytes", "gaps", "dropped_total", "short_frames")]
-    met = met.select("camera", "expected_fps", F.coalesce("fps", F.lit(0.0)).alias("fps"), F.coalesce("gbps", F.lit(0.0)).alias("gbps"), *zero)
+    names = ["frames", "bytes", "gaps", "dropped_total", "short_frames"]
+    if checks is not None:
+        met, names = met.join(checks.select("camera", *CHECKS), "camera", "left"), [*names, *CHECKS]
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in names]
+    expected = f"expected_{rate}"
+    met = met.select("camera", expected, F.coalesce("fps", F.lit(0.0)).alias("fps"), F.coalesce("gbps", F.lit(0.0)).alias("gbps"), *zero)
     reason = (
         F.when(F.col("frames") == 0, "no frames")
-        .when(F.abs(F.col("fps") - F.col("expected_fps")) > tolerance * F.col("expected_fps"), "rate")
+        .when(F.abs(F.col(rate) - F.col(expected)) > tolerance * F.col(expected), "rate")
         .when(F.col("gaps") + F.col("dropped_total") > allowed, "loss")
         .when(F.col("short_frames") > 0, "short frames")
-        .otherwise("")
     )
-    return met.withColumn("reason", reason).withColumn("pass", F.col("reason") == "")
+    if checks is not None:
+        reason = reason.when(F.col("crc_bad") > 0, "checksums").when(F.col("flat_frames") > 0, "flat frames")
+    return met.withColumn("reason", reason.otherwise("")).withColumn("pass", F.col("reason") == "")
 
 
 def run_summary(verdict: DataFrame) -> DataFrame:
@@ -213,3 +237,18 @@ def warm_window(frames: DataFrame, warm_s: int, end_s: int) -> DataFrame:
     starts = frames.groupBy("camera").agg(F.min("timestamp_s").alias("__first"))
     age = F.col("timestamp_s") - F.col("__first")
     return totals(frames.join(F.broadcast(starts), "camera").where((age > warm_s) & (age <= end_s)), F.lit(end_s - warm_s))
+
+
+def window_or_run(frames: DataFrame, warm_s: int, end_s: int) -> DataFrame:
+    """Each camera's rates between two snapshots, and over its whole run where it wasn't seen after the warm-up."""
+    run, window = totals(frames, span()), warm_window(frames, warm_s, end_s)
+    met = run.join(window.select("camera", *[F.col(c).alias(f"w_{c}") for c in ("frames", "fps", "gbps")]), "camera", "left")
+    seen = F.col("w_frames").isNotNull()
+    return met.select("camera", seen.alias("windowed"), *[F.when(seen, F.col(f"w_{c}")).otherwise(F.col(c)).alias(c) for c in ("fps", "gbps")])
+
+
+def intervals(frames: DataFrame, dark: Column) -> DataFrame:
+    """Each camera's parts, how many are dark, and the least, most and mean seconds from one to the next."""
+    gap = F.col("timestamp_s") - F.col("__last")
+    met = with_previous(frames.select("camera", "arrival", "timestamp_s", dark.alias("dark")), "timestamp_s", "__last")
+    return met.groupBy("camera").agg(F.count("*").alias("parts"), F.count_if("dark").alias("black"), F.min(gap).alias("least"), F.max(gap).alias("most"), F.avg(gap).alias("mean"))

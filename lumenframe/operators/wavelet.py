@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.storage import stored
+
 #: CRG offsets of four components in halves, as (x of all, y of all), with the pattern type.
 CFA_PATTERNS = [("RGGB", [0, 1, 0, 1], [0, 0, 1, 1], 0), ("BGGR", [1, 1, 0, 0], [1, 0, 1, 0], 0), ("GRBG", [1, 0, 1, 0], [0, 0, 1, 1], 1), ("GBRG", [0, 0, 1, 1], [1, 0, 1, 0], 1)]
 
@@ -47,6 +51,38 @@ def inverse_2d(plane: DataFrame) -> DataFrame:
     return lifted(lifted(plane, "x", ["plane", "y"], inverse=True), "y", ["plane", "x"], inverse=True)
 
 
+def cascade(plane: DataFrame, nlx: int, nly: int) -> DataFrame:
+    """(plane, band, y, x, v) of several levels: nly of both axes, then of columns only up to nlx. Bands are LL, HL1, LH1, ...
+
+    Each level works on the low band of the one before, which is stored in between, so none is computed twice.
+    """
+    low, out = plane.select("plane", "y", "x", "v"), []
+    for k in range(1, nlx + 1):
+        both = k <= nly
+        now = stored(forward_2d(low) if both else lifted(low, "x", ["plane", "y"]), "level")
+        band = F.concat(F.when(F.col("x") % 2 == 0, "L").otherwise("H"), F.when(F.col("y") % 2 == 0, "L").otherwise("H")) if both else F.when(F.col("x") % 2 == 0, "LL").otherwise("HL")
+        y = F.floor(F.col("y") / 2) if both else F.col("y")
+        parts = now.select("plane", band.alias("band"), y.alias("y"), F.floor(F.col("x") / 2).alias("x"), "v")
+        out.append(parts.where("band <> 'LL'").withColumn("band", F.concat("band", F.lit(str(k)))))
+        low = parts.where("band = 'LL'").drop("band")
+    out.append(low.select("plane", F.lit("LL").alias("band"), "y", "x", "v"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def cascade_back(bands: DataFrame, nlx: int, nly: int) -> DataFrame:
+    """The plane whose cascade has these bands."""
+    low = bands.where("band = 'LL'").drop("band")
+    for k in range(nlx, 0, -1):
+        both = k <= nly
+        own = bands.where(F.col("band").isin(*[f"{b}{k}" for b in (("HL", "LH", "HH") if both else ("HL",))]))
+        parts = low.withColumn("band", F.lit("LL")).unionByName(own)
+        x = 2 * F.col("x") + F.col("band").startswith("H").cast("int")
+        y = 2 * F.col("y") + (F.substring("band", 2, 1) == "H").cast("int") if both else F.col("y")
+        whole = parts.select("plane", y.alias("y"), x.alias("x"), "v")
+        low = stored(inverse_2d(whole) if both else lifted(whole, "x", ["plane", "y"], inverse=True), "level")
+    return low
+
+
 def rounded_shift(v: Column, bits: int) -> Column:
     """Division by a power of two to the nearest, halves away from zero."""
     r = (1 << bits) >> 1
@@ -62,18 +98,21 @@ def inverse_rct(y: Column, cb: Column, cr: Column) -> tuple[Column, Column, Colu
     return g + cr, g, g + cb
 
 
-def star_step(plane: DataFrame, target: Column, taps: list[tuple[int, int, int]], shift: int, sign: int) -> DataFrame:
+def star_step(plane: DataFrame, target: Column, taps: list[tuple[int, int, int]], shift: int, sign: int, inline: bool = False) -> DataFrame:
     """Adds a weighted sum of neighbours, shifted down, to the target cells of a mosaic; planes are mirrored.
 
-    Taps are (dx, dy, bits); neighbours come by windows along lines and columns.
+    Taps are (dx, dy, bits); neighbours come by windows along lines and columns. With ``inline``, pairs of lines are
+    mirrored too, so no cell takes from another pair.
     """
     line, column = Window.partitionBy("plane", "y").orderBy("x"), Window.partitionBy("plane", "x").orderBy("y")
 
     def at(c: str, step: int, w) -> Column:
         if not step:
             return F.col(c)
-        near, far = (F.lag(c).over(w), F.lead(c).over(w)) if step < 0 else (F.lead(c).over(w), F.lag(c).over(w))
-        return F.coalesce(near, far, F.lit(0))
+        before, after = F.lag(c).over(w), F.lead(c).over(w)
+        if inline and w is column:
+            return F.coalesce(F.when(F.col("y") % 2 == 0, after).otherwise(before), F.lit(0))
+        return F.coalesce(before, after, F.lit(0)) if step < 0 else F.coalesce(after, before, F.lit(0))
 
     for dx in {dx for dx, _, _ in taps}:
         plane = plane.withColumn(f"__x{dx + 1}", at("v", dx, line))
@@ -86,13 +125,15 @@ def star_step(plane: DataFrame, target: Column, taps: list[tuple[int, int, int]]
 DIAGONAL, CROSS = [(a, b, 0) for a in (-1, 1) for b in (-1, 1)], [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0)]
 
 
-def star_tetrix(plane: DataFrame, e1: int, e2: int, inverse: bool = False) -> DataFrame:
-    """The four-component colour transform of an RGGB mosaic, in place on its sites, or its inverse.
+def star_tetrix(plane: DataFrame, e1: int, e2: int, inverse: bool = False, flipped: bool = False, inline: bool = False) -> DataFrame:
+    """The four-component colour transform of a mosaic, in place on its sites, or its inverse.
+
+    The pattern is RGGB or BGGR; if ``flipped``, GRBG or GBRG. ``inline`` keeps to pairs of lines.
 
     Forward: blue and red lose a quarter of their four greens; both greens gain an eighth of the differences beside
     them; the first loses a quarter of its four diagonal greens, the second gains an eighth of its own.
     """
-    x, y = F.col("x") % 2, F.col("y") % 2
+    x, y = (F.col("x") + int(flipped)) % 2, F.col("y") % 2
     first, second = (x == 1) & (y == 0), (x == 0) & (y == 1)
     sides = lambda a, b: [(-1, 0, a), (1, 0, a), (0, -1, b), (0, 1, b)]
     steps = [
@@ -103,7 +144,7 @@ def star_tetrix(plane: DataFrame, e1: int, e2: int, inverse: bool = False) -> Da
         (second, DIAGONAL, 3, 1),
     ]
     for target, taps, shift, sign in reversed(steps) if inverse else steps:
-        plane = star_step(plane, target, taps, shift, -sign if inverse else sign)
+        plane = star_step(plane, target, taps, shift, -sign if inverse else sign, inline)
     return plane
 
 
@@ -154,6 +195,17 @@ def predicted_planes(planes: DataFrame, by: list[str], line: str, cut: int) -> D
     return planes.withColumn("residual", F.greatest("planes", floor) - F.greatest(F.coalesce(above, floor), floor))
 
 
+def predicted_in_slices(planes: DataFrame, by: list[str], line: str, cut: str, slice_lines: int) -> DataFrame:
+    """Adds ``residual`` of bit planes whose lines have cuts of their own.
+
+    A line is predicted from the one above, not below either line's cut; a slice's first line from its own cut alone.
+    """
+    order = Window.partitionBy(*by, F.floor(F.col(line) / slice_lines)).orderBy(line)
+    above, cut_above = F.lag("planes").over(order), F.lag(cut).over(order)
+    base = F.when(above.isNull(), F.col(cut)).otherwise(F.greatest(above, F.col(cut), cut_above))
+    return planes.withColumn("residual", F.greatest("planes", cut) - base)
+
+
 def linear_out(v: Column, width: int, depth: int) -> Column:
     """Coefficients of ``width`` bits to samples of ``depth``."""
     zeta = width - depth

@@ -18,7 +18,7 @@ def jamcrc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flat_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", blobs.is_flat(F.encode("text", "UTF-8")).alias("flat"))
+    return blobs.flat_flags(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("flat")), "flat")
 
 
 def unpack(bits: int):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions import bits as b
@@ -91,10 +91,7 @@ def markdown_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames(spark, sf_dir)
-    gap = (F.col("timestamp_s") - F.lag("timestamp_s").over(Window.partitionBy("camera").orderBy("arrival"))).alias("gap")
-    black = F.count_if(F.col("bytes_written") < 500)
-    return f.select("camera", "bytes_written", gap).groupBy("camera").agg(F.count("*").alias("parts"), black.alias("black"), F.min("gap").alias("least"), F.max("gap").alias("most"), F.avg("gap").alias("mean"))
+    return telemetry.intervals(frames(spark, sf_dir), F.col("bytes_written") < 500)
 
 
 def timestamp_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

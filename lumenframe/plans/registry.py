@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.plans import blobs, codestream, imaging, planning, telemetry
+from lumenframe.plans import blobs, codestream, geometry, imaging, planning, telemetry
 
-GROUPS = (telemetry, planning, imaging, codestream, blobs)
+GROUPS = (telemetry, planning, imaging, codestream, blobs, geometry)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for g in GROUPS for k, v in g.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for g in GROUPS for k, v in g.ORACLES.items()}

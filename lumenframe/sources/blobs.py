@@ -9,9 +9,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators.ordering import numbered
+
 #: Frames that one IVF file holds.
 SEGMENT = 1_000
 # Magic, version and header size of an IVF file; its header and frame header.
@@ -25,12 +27,20 @@ def jamcrc(content: Column) -> Column:
     return F.crc32(content).bitwiseXOR(F.lit(0xFFFFFFFF))
 
 
-def is_flat(content: Column, least: int = 64, kinds: int = 4, samples: int = 4096) -> Column:
-    """At most ``kinds`` different 32-bit words among evenly spaced ones; false for less than ``least`` bytes."""
-    words = F.floor(F.octet_length(content) / 4)
-    stride = F.greatest(F.floor(words / samples), F.lit(1))
-    seen = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(words - 1, F.lit(0)), stride), lambda i: F.substring(content, (i * 4 + 1).cast("int"), F.lit(4)))
-    return F.when(F.octet_length(content) >= least, F.size(F.array_distinct(seen)) <= kinds).otherwise(False)
+def flat_flags(rows: DataFrame, column: str, least: int = 64, kinds: int = 4, samples: int = 4096) -> DataFrame:
+    """The rows with a flag in place of their bytes: whether evenly spaced 32-bit words have at most ``kinds`` values.
+
+    Bytes of less than ``least``, and null, aren't flat.
+    """
+
+    def flat(content: pa.Buffer | None) -> bool:
+        if content is None or content.size < least:
+            return False
+        words = np.frombuffer(content, np.uint32, content.size // 4)
+        words = words[:: max(1, len(words) // samples)]
+        return len(np.unique(words[:64])) <= kinds and len(np.unique(words)) <= kinds
+
+    return _lines(rows, column, "boolean", lambda values: pa.array([flat(v.as_buffer() if v.is_valid else None) for v in values], pa.bool_()))
 
 
 def packed(lines: np.ndarray, bits: int) -> np.ndarray:
@@ -92,15 +102,15 @@ def ivf_bytes(frames: list[tuple[int, bytes]], fourcc: bytes, width: int, height
 def to_ivf(frames: DataFrame, fourcc: bytes = b"AV01", width: int = 64, height: int = 64) -> DataFrame:
     """(stream, segment, content): frames (stream, pts, data) as IVF files of SEGMENT frames at most.
 
-    Segments are counted in order of pts; a stream's frames never meet in one task, only a segment's.
+    Segments are counted in order of pts. Frames are numbered in ranges of pts, so only a range's or a segment's frames
+    meet in one task, never a whole stream's.
     """
-    order = F.row_number().over(Window.partitionBy("stream").orderBy("pts")) - 1
 
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pts")
         return pd.DataFrame({"stream": [key[0]], "segment": [key[1]], "content": [ivf_bytes(list(zip(rows.pts, rows.data)), fourcc, width, height)]})
 
-    dealt = frames.withColumn("segment", F.floor(order / SEGMENT))
+    dealt = numbered(frames, ["stream"], "pts", "number").withColumn("segment", F.floor((F.col("number") - 1) / SEGMENT)).drop("number")
     return dealt.groupBy("stream", "segment").applyInPandas(write, "stream long, segment long, content binary")
 
 
@@ -201,3 +211,30 @@ def json_objects(text: Column) -> Column:
         return F.struct(depth.alias("depth"), F.when(ends, "").otherwise(now).alias("now"), F.when(ends, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"))
 
     return F.aggregate(marks, start, step, lambda acc: acc["done"])
+
+
+PGX_HEADER = re.compile(rb"PG\s+(ML|LM)\s*([+-]?)\s*(\d+)\s+(\d+)\s+(\d+)\s")
+
+
+def pgx_samples(content: bytes) -> np.ndarray:
+    """The samples of a PGX image: the header tells byte order, sign and bits; another header or a short file is an error."""
+    found = PGX_HEADER.match(content)
+    if not found:
+        raise ValueError("not a PGX image")
+    bits, width, height = (int(x) for x in found.groups()[2:])
+    kind = np.dtype(f"{'i' if found[2] == b'-' else 'u'}{1 if bits <= 8 else 2 if bits <= 16 else 4}").newbyteorder(">" if found[1] == b"ML" else "<")
+    if len(content) - found.end() < width * height * kind.itemsize:
+        raise ValueError("the PGX image is cut short")
+    return np.frombuffer(content, kind, width * height, found.end()).reshape(height, width)
+
+
+def from_pgx(files: DataFrame) -> DataFrame:
+    """(plane, y, px) of PGX images (plane, content)."""
+
+    def read(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for plane, content in zip(part.plane, part.content):
+                image = pgx_samples(bytes(content)).astype(np.int64)
+                yield pd.DataFrame({"plane": plane, "y": np.arange(len(image)), "px": list(image)})
+
+    return files.mapInPandas(read, "plane long, y long, px array<long>")
