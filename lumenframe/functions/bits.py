@@ -19,6 +19,11 @@ def has_bit(flags: Column, bit: Column) -> Column:
     return F.call_function("getbit", flags.cast("long"), bit.cast("int")) == 1
 
 
+def with_bit(flags: Column, bit: Column) -> Column:
+    """The flags with one more bit set."""
+    return flags.cast("long").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int")))
+
+
 def parse_integer(text: Column) -> Column:
     """A decimal, 0x or leading-0 octal number; null for other texts."""
     low = F.lower(text)

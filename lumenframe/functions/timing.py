@@ -87,3 +87,9 @@ def halved_size(width: Column, height: Column, target: Column) -> tuple[Column,
     h = F.greatest(even(F.floor(height * w / width)), F.lit(2))
     same = (target <= 0) | (target >= width)
     return F.when(same, width).otherwise(w).cast("long"), F.when(same, height).otherwise(h).cast("long")
+
+
+def yuv_bytes(width: Column, height: Column, bits: Column, align: int = 256) -> Column:
+    """Bytes of a 4:2:0 picture: a pitch of one or two bytes for each luma sample, aligned, over the luma and half as many lines."""
+    pitch = F.ceil(width * F.when(bits > 8, 2).otherwise(1) / float(align)) * align
+    return (pitch * (height + F.floor(height / 2))).cast("long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.sources.blobs import jamcrc
+
 #: Bytes that a frame of the stand-in should have.
 EXPECTED_BYTES = 25_000
 #: Samples of an embedding are scaled and moved to twelve bits.
@@ -47,6 +49,43 @@ def frames(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     )
 
 
+def payload_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with data and crc, from documents: of four cameras, the first has some short frames, the second some wrong checksums.
+
+    Every seventh frame has no checksum.
+    """
+    k, data = F.col("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    rows = table(spark, sf_dir, "documents").select("doc_id", data.alias("data")).withColumn("own", jamcrc(F.col("data")))
+    crc = F.when(k % 7 == 0, 0).when(k % 44 == 1, F.col("own").bitwiseXOR(F.lit(1))).otherwise(F.col("own"))
+    size = F.octet_length("data").cast("long")
+    return rows.select(
+        F.concat(F.lit("cam"), (k % 4).cast("string")).alias("camera"),
+        k.cast("long").alias("arrival"),
+        k.cast("long").alias("frame_number"),
+        F.lit(0).cast("long").alias("dropped"),
+        size.alias("bytes_written"),
+        (size + (k % 52 == 0).cast("long")).alias("frame_size"),
+        k.cast("long").alias("timestamp_s"),
+        "data",
+        crc.alias("crc"),
+    )
+
+
+PAYLOAD_SQL = """
+WITH RECURSIVE bits_ AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits_ WHERE k < 8
+), tab AS (SELECT list(c ORDER BY i) AS t FROM bits_ WHERE k = 8), hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crcs AS (
+  SELECT doc_id, h, coalesce(list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+         lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS own FROM hexed, tab
+), frames AS (
+  SELECT 'cam' || (doc_id % 4) AS camera, doc_id AS arrival, doc_id AS frame_number, 0 AS dropped, length(h) // 2 AS bytes_written,
+         length(h) // 2 + CASE WHEN doc_id % 52 = 0 THEN 1 ELSE 0 END AS frame_size, doc_id AS timestamp_s, own, h,
+         CASE WHEN doc_id % 7 = 0 THEN 0 WHEN doc_id % 44 = 1 THEN xor(own, 1) ELSE own END AS crc
+  FROM crcs
+)
+"""
 FRAMES_SQL = """
 WITH frames AS (
   SELECT 'cam' || (user_id % 4) AS camera, event_id AS arrival,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,16 +58,19 @@ def advanced(state: DataFrame | None, batch: DataFrame) -> DataFrame:
     )
 
 
-def running_stats(frames: DataFrame, path: str) -> DataFrame:
+def running_stats(frames: DataFrame, path: str, tap: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Runs a stream of frames over what its source has now; each camera's totals after every batch that had frames of it.
 
     Without a watermark: frames count in the order in which they came, as the batch operators have it. A batch is
     aggregated by DataFrame functions, so none of a camera's frames are gathered; between batches seven numbers a camera
-    go on, in a folder for each batch, from which a batch that is run again starts anew.
+    go on, in a folder for each batch, from which a batch that is run again starts anew. The frames pass on unchanged to
+    ``tap``, if there is one, and what it makes of each batch is written to the folder ``tapped``.
     """
     schema = "camera string, " + STATE + ", changed boolean"
 
     def write(batch: DataFrame, number: int) -> None:
+        if tap:
+            tap(batch).write.mode("overwrite").parquet(f"{path}/tapped/batch={number:09d}")
         state = batch.sparkSession.read.schema(schema).parquet(f"{path}/states/batch={number - 1:09d}") if number else None
         advanced(state, batch_stats(batch)).coalesce(1).write.mode("overwrite").parquet(f"{path}/states/batch={number:09d}")
 
