@@ -130,15 +130,15 @@ def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 def word_scores(words: list[str], strings: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The machine's value of each word, its strings' weights over its norm; CHUNK words at a time."""
-    out = np.zeros(len(words))
+    """The machine's value of each word, its strings' weights over its norm; CHUNK words of about one length at a time."""
+    out, order = np.zeros(len(words)), np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
     for first in range(0, len(words), CHUNK):
-        some = words[first : first + CHUNK]
-        row, string, weight = occurrences(some)
+        at = order[first : first + CHUNK]
+        row, string, weight = occurrences([words[i] for i in at.tolist()])
         if len(string) and len(strings):
             place = np.minimum(np.searchsorted(strings, string), len(strings) - 1)
             value = np.where(strings[place] == string, weights[place], 0.0)
-            out[first : first + CHUNK] = np.bincount(row, weights=weight * value, minlength=len(some)) / norms(row, weight, len(some))
+            out[at] = np.bincount(row, weights=weight * value, minlength=len(at)) / norms(row, weight, len(at))
     return out
 
 
@@ -173,23 +173,27 @@ def folded(landmarks: list[str], alpha: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Reader:
-    """Values the sentences of slices of texts by ``value``, which tells the values of words, remembering tokens while there are few."""
+    """Values the sentences of slices of texts by ``value``, which tells the values of words, remembering tokens while there are few.
+
+    Only if ``named`` are the highest words and sentences told.
+    """
 
-    def __init__(self, value: Callable[[list[str]], np.ndarray]):
-        self.value = value
+    def __init__(self, value: Callable[[list[str]], np.ndarray], named: bool = True):
+        self.value, self.named = value, named
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.values: dict[str, float] = {}
         self.held = [np.zeros(0), np.zeros(0, bool), np.zeros(0, bool)]  # value, whether it ends a sentence, whether it is one letter
 
     def learn(self, tokens: set[str]) -> None:
-        new = sorted(tokens.difference(self.known))
+        new = list(tokens.difference(self.known))
         split = [parts_of(t) for t in new]
-        value = np.full(len(new), MISSING)
-        flat = [p for parts in split for p in parts]
-        if flat:
-            np.maximum.at(value, np.repeat(np.arange(len(new)), [len(p) for p in split]), self.value(flat))
+        words = list({p for parts in split for p in parts}.difference(self.values))
+        if words:
+            self.values.update(zip(words, self.value(words).tolist()))
+        value = np.array([max([MISSING, *[self.values[p] for p in parts]]) for parts in split])
         lone = [len(t) < 4 and sum(c.isalpha() for c in t) == 1 for t in new]
         for t in new:
             self.known[t] = len(self.known)
@@ -229,14 +233,16 @@ class Reader:
         words, high = np.bincount(text, minlength=len(texts)), np.flatnonzero(value > 0)
         kinds = np.unique(np.stack([text[high], at[high]]), axis=1)[0]  # a word that comes again counts once
         hits = np.bincount(kinds, minlength=len(texts))
+        word = sentence = ""
         for t in np.unique(owner).tolist():
             own = order[start[t] : start[t + 1]]
             high = highs[own[:HIGHEST]].tolist()
             a, b = int(first[own[0]]), int(last[own[0]])
             top = a + int(value[a:b].argmax())
-            parts = parts_of(next((w for (x, _), w in spelled.items() if x == top), flat[top]))
-            word = parts[int(self.value(parts).argmax())] if parts else ""
-            out[t] = high[0], word, " ".join(flat[a:b]), [*(high + [MISSING] * HIGHEST)[:HIGHEST], math.log1p(hits[t]), math.log1p(100 * hits[t] / words[t])]
+            if self.named:
+                parts = parts_of(next((w for (x, _), w in spelled.items() if x == top), flat[top]))
+                word, sentence = max(parts, key=self.values.__getitem__, default=""), " ".join(flat[a:b])
+            out[t] = high[0], word, sentence, [*(high + [MISSING] * HIGHEST)[:HIGHEST], math.log1p(hits[t]), math.log1p(100 * hits[t] / words[t])]
         return out
 
 
@@ -246,9 +252,8 @@ class Reader:
             self.clear()
         tokens = {t for text in texts for t in tokens_of(text)}
         self.learn(tokens)
-        words = sorted({w for t in tokens if self.held[0][self.known[t]] > least for w in parts_of(t)})
-        found = zip(words, self.value(words).tolist()) if words else ()
-        return {w: v for w, v in found if v > least}
+        words = {w for t in tokens if self.held[0][self.known[t]] > least for w in parts_of(t)}
+        return {w: self.values[w] for w in sorted(words) if self.values[w] > least}
 
 
 def spelled_out(tokens: list[str], lone: np.ndarray, begins: np.ndarray) -> dict[tuple[int, int], str]:
@@ -296,23 +301,23 @@ READ = ("top", "top_word", "top_sentence", "features")
 Value = tuple[np.ndarray, np.ndarray, float] | dict[str, float]
 
 
-def reader_of(value: Value) -> Reader:
+def reader_of(value: Value, named: bool = True) -> Reader:
     """``value`` has strings, the machine's weights of them and its bias, or the values of some words, others having MISSING."""
     if isinstance(value, dict):
-        return Reader(lambda words: np.array([value.get(w, MISSING) for w in words]))
-    return Reader(lambda words: word_scores(words, *value[:2]) + value[2])
+        return Reader(lambda words: np.array([value.get(w, MISSING) for w in words]), named)
+    return Reader(lambda words: word_scores(words, *value[:2]) + value[2], named)
 
 
-def read_docs(docs: DataFrame, value: Value, keep: list[str]) -> DataFrame:
+def read_docs(docs: DataFrame, value: Value, keep: list[str], named: bool = True) -> DataFrame:
     """The kept columns, then the highest value of a row's sentences, the word and the sentence that have it, and the features.
 
-    The columns are named READ, with underscores in front while a kept column has such a name.
+    Word and sentence are empty unless ``named``. The columns are named READ, with underscores in front while a kept column has such a name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(value)
     at, names = fresh("text", keep), [fresh(c, keep) for c in READ]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = reader_of(shared.value)
+        reader = reader_of(shared.value, named)
         for part in slices(batches, at):
             found = list(zip(*reader.read(part.column(at).fill_null("").to_pylist()))) or [()] * len(names)
             kinds = pa.float64(), pa.string(), pa.string(), pa.list_(pa.float64())
@@ -381,7 +386,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model |
             low |= set(hard)
             landmarks = list(dict.fromkeys([*landmarks, *hard[: LANDMARKS // 2]]))
             positive = highest(toxic, value, -1.0) or positive
-    scored = read_docs(rows.select("toxic", "text"), value, ["toxic"]).select("toxic", "features").toPandas()
+    scored = read_docs(rows.select("toxic", "text"), value, ["toxic"], named=False).select("toxic", "features").toPandas()
     return Model(*value, logistic(np.stack(scored.features), scored.toxic.to_numpy()))
 
 
@@ -407,7 +412,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     kept = [F.col(f"`{c.replace('`', '``')}`") for c in keep]
     if model is None:
         return docs.select(*kept, F.lit(0.0).alias(name))
-    found = read_docs(docs, (model.strings, model.weights, model.bias), keep)
+    found = read_docs(docs, (model.strings, model.weights, model.bias), keep, named=False)
     told = F.col(f"`{found.columns[-1]}`")
     value = sum((F.lit(float(m)) * told[i] for i, m in enumerate(model.slopes[:-1])), F.lit(float(model.slopes[-1])))
     return found.select(*kept, (1 / (1 + F.exp(-value))).alias(name))
