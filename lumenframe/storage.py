@@ -22,6 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables that were written, the newest last.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
@@ -30,4 +34,19 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A place in the list of written tables, for discard()."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables written since a mark but for the last ``keep`` ones: when nothing that is yet to run reads them."""
+    end = max(since, len(_written) - keep)
+    for path in _written[since:end]:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    del _written[since:end]
