@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.storage import stored
+from lumenframe.storage import discard, mark, stored
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
@@ -37,11 +37,14 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge; the root is its component's smallest node.
 
-    ``edges`` has u and v. No node's neighbours are gathered in one row; rounds are stored in the shared folder.
+    ``edges`` has u and v. No node's neighbours are gathered in one row; rounds are stored in the shared folder,
+    and deleted when the next one is.
     """
+    begun = mark()
     edges, seen = stored(_distinct(edges.select("u", "v")), "edges"), None
     while True:
         edges = stored(small_star(stored(large_star(edges), "edges")), "edges")
+        discard(edges.sparkSession, begun, keep=1)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

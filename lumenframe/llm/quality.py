@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.joins import FEW_IDS
 from lumenframe.llm.text import buffers, crc_fold, fresh, hashed_words, kept_schema, mixed, slices, with_text
 from lumenframe.storage import stored
 
@@ -129,7 +130,8 @@ def feature_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").mapInArrow(compute, f"doc_id {kind}, x array<float>")
     trusted = labels.where(F.col("quality").isNotNull() & (crc_fold(labels, FOLDS) != 0)).groupBy("doc_id").agg((F.min("quality") == 1).alias("trusted"))
-    met = found.join(trusted.where("trusted"), "doc_id", "left")
+    trusted = stored(trusted.where("trusted"), "trusted")
+    met = found.join(F.broadcast(trusted) if trusted.count() <= FEW_IDS else trusted, "doc_id", "left")
     return stored(met.select("x", F.coalesce("trusted", F.lit(False)).alias("trusted")), "quality")
 
 
