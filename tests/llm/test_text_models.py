@@ -77,6 +77,20 @@ def test_code_lengths_are_exact(order):
     assert got == pytest.approx([brute_bits(train, t, order) for t in targets])
 
 
+def test_predictions_by_brute_force(spark):
+    """Language and score of each text, its code lengths symbol by symbol."""
+    learnt = {"en": "the cat sat on the mat and the dog ran to the house ", "fr": "le chat est sur la table et le chien va à la maison ", "de": "die katze liegt auf dem tisch und der hund läuft zum haus "}
+    rows = [row(i, t * 3, k) for i, (k, t) in enumerate(learnt.items())]
+    tests = ["the dog", "la maison est", "der tisch", "", None, "123 456", "haus house", "é", "zzz"]
+    trees = language.fit(frame(spark, rows))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(frame(spark, [row(i, t, None) for i, t in enumerate(tests)]), trees).collect()}
+    for i, t in enumerate(tests):
+        bits = {k: brute_bits((x * 3).encode(), (t or "").encode(), language.ORDER) for k, x in sorted(learnt.items())}
+        best = min(bits, key=bits.get)
+        want = (best, 1 / sum(2 ** (bits[best] - b) for b in bits.values())) if any(c.isalpha() for c in t or "") else ("und", 0.0)
+        assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1])
+
+
 def test_languages_of_held_out_documents(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{BIG}/documents.parquet").collect()}
     got = queries.op3_language(spark, BIG).collect()
