@@ -236,7 +236,7 @@ def warm_window(frames: DataFrame, warm_s: int, end_s: int) -> DataFrame:
     """Totals of frames captured after the warm-up and up to the end, in seconds from the camera's first frame."""
     starts = frames.groupBy("camera").agg(F.min("timestamp_s").alias("__first"))
     age = F.col("timestamp_s") - F.col("__first")
-    return totals(frames.join(F.broadcast(starts), "camera").where((age > warm_s) & (age <= end_s)), F.lit(end_s - warm_s))
+    return totals(frames.join(starts, "camera").where((age > warm_s) & (age <= end_s)), F.lit(end_s - warm_s))
 
 
 def window_or_run(frames: DataFrame, warm_s: int, end_s: int) -> DataFrame:
