@@ -285,7 +285,7 @@ def between_blocks(rows: DataFrame, noted: DataFrame, roots: DataFrame | None) -
     regions = stored(per.groupBy("region").agg(F.count("*").alias("roots"), F.sum("rows").alias("members"), mixed).where("roots > 1"), "regions")
     large = per.where(F.col("rows") > BLOCK).select("region", "root", F.col("rows").alias("own"))
     placed = left_join_hot(met, regions.select("region", "members", "mixed"), "region", "members").where("members IS NOT NULL")
-    placed = placed.join(F.broadcast(large), ["region", "root"], "left")
+    placed = placed.join(F.broadcast(large) if large.count() <= FEW_IDS else large, ["region", "root"], "left")
     pure = F.when(F.col("own").isNotNull(), F.hex("root")).otherwise("")
     place = F.pmod(F.xxhash64("set_key"), F.ceil(F.coalesce("own", "mixed") / BLOCK))
     placed = stored(placed.select("region", pure.alias("pure"), F.concat_ws("-", pure, place).alias("block"), "set_key", "root", "n_shingles", "heads", "sketch"), "placed")

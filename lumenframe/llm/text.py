@@ -112,7 +112,7 @@ def crc_fold(docs: DataFrame, folds: int) -> Column:
 def sampled(rows: DataFrame, key: list[str], group: str, most: int) -> DataFrame:
     """About ``most`` rows of each group, chosen by a hash of the key's columns, which is the same on every run.
 
-    Rows that repeat the whole key are drawn or left together.
+    Groups are labels or languages, so few. Rows that repeat the whole key are drawn or left together.
     """
     sizes = rows.groupBy(group).agg(F.count("*").alias("group_rows"))
     share = F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
