@@ -12,7 +12,7 @@ sorts first; without labelled rows everything is ``und``; repeated rows are scor
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.text import buffers, sampled, slices
+from lumenframe.llm.text import buffers, fresh, kept_schema, sampled, slices, with_text
 
 ORDER = 4
 #: Rows of a language that the counts are taken from, about.
@@ -129,15 +129,18 @@ def code_lengths(trees: list[ContextTree], data: np.ndarray, starts: np.ndarray)
     return sums
 
 
-def predict(docs: DataFrame, trees: dict[str, ContextTree], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with lang_pred and score, the winner's share of 2 to the power of minus the code length."""
-    spark, langs = docs.sparkSession, list(trees)
+def predict(docs: DataFrame, trees: dict[str, ContextTree], keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The kept columns with lang_pred and score, the winner's share of 2 to the power of minus the code length.
+
+    The last two have underscores in front while a kept column has such a name.
+    """
+    spark, langs, keep = docs.sparkSession, list(trees), list(keep)
     shared = spark.sparkContext.broadcast([trees[x] for x in langs])
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
+    at, names = fresh("text", keep), [fresh(c, keep) for c in ("lang_pred", "score")]
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            texts = part.column("text")
+        for part in slices(batches, at):
+            texts = part.column(at)
             worded = np.array([bool(LETTER.search(t)) for t in texts.fill_null("").to_pylist()], bool)
             pred, share = np.full(len(texts), "und", object), np.zeros(len(texts))
             if langs:
@@ -147,6 +150,6 @@ def predict(docs: DataFrame, trees: dict[str, ContextTree], keep: tuple[str, ...
                 pred = np.where(worded, np.array(langs, object)[best], "und")
                 share = np.where(worded, share, 0.0)
             kept = [part.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(share)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(share)], [*keep, *names])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(score, schema)
+    return with_text(docs, keep, at).mapInArrow(score, f"{kept_schema(docs, keep)}{names[0]} string, {names[1]} double")

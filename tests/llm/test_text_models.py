@@ -107,6 +107,8 @@ def test_language_of_awkward_rows(spark):
     und = Counter(str(r.doc_id) for r in got if r.lang_pred == "und")
     assert und == Counter(str(r[0]) for r in rows if not any(c.isalpha() for c in r[1] or ""))
     assert {r.lang_pred for r in language.predict(docs, {}).collect()} == {"und"}
+    kept = language.predict(docs.withColumnRenamed("sha", "lang_pred"), language.fit(docs), docs.columns[:-1] + ["lang_pred"])
+    assert kept.columns[-3:] == ["lang_pred", "_lang_pred", "_score"] and kept.count() == len(rows)
     assert language.fit(frame(spark, [])) == {} and language.predict(frame(spark, []), {}).count() == 0
 
 

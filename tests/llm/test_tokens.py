@@ -55,6 +55,14 @@ def test_any_text(kind, texts):
     assert coded(kind, texts) == LIBRARY[kind].encode(texts)
 
 
+def test_very_long_words(spark):
+    texts = ["x" * 120_000, "ab" * 60_000, "日本" * 20_000, "-=" * 50_000]
+    assert coded("merges", texts) == LIBRARY["merges"].encode(texts)
+    docs = frame(spark, [row(i, t) for i, t in enumerate(texts)])
+    encoder = token_counts.encoding(Path(token_counts.VOCABULARY).read_bytes())
+    assert {r.doc_id: r.n_tokens for r in token_counts.lengths(docs).collect()} == {i: len(encoder.encode_ordinary(t)) for i, t in enumerate(texts)}
+
+
 def test_words_without_a_path_are_merged_whole(monkeypatch):
     pieces = sentencepieces.Pieces(MODEL)
     monkeypatch.setattr(pieces, "follows", lambda pair: False)
