@@ -46,6 +46,16 @@ def profile(packets: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, *KINDS, *shares, "raw_packets", "sig_needed", (total * 8 / F.col("samples")).alias("bits_per_sample"))
 
 
+def precinct_sizes(packets: DataFrame, by: list[str], raw_bits: int = 4) -> DataFrame:
+    """Bytes of each precinct, whose packets are coded or raw, whichever is shorter, and how many are raw.
+
+    A raw packet has ``raw_bits`` bits for each group's count and no significance flags.
+    """
+    kept = F.col("dat_bytes") + F.col("sgn_bytes")
+    raw, told = F.ceil(F.col("groups") * raw_bits / 8), F.col("sig_bytes") + F.col("cnt_bytes")
+    return packets.groupBy(*by).agg(F.sum(kept + F.least(raw, told)).alias("bytes"), F.count_if(raw < told).alias("raw_packets"))
+
+
 def overlong(packets: DataFrame) -> DataFrame:
     """Packets whose declared bytes are fewer than those used or run past their precinct."""
     used = sum((F.col(f"{k}_bytes") for k in KINDS[1:]), F.col(f"{KINDS[0]}_bytes"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import bits, strings
 from lumenframe.functions import timing as t
-from lumenframe.operators import codestream, imaging, joins, planning, telemetry
+from lumenframe.operators import codestream, imaging, joins, planning, telemetry, wavelet
 from lumenframe.operators.ordering import numbered
 from lumenframe.plans.planning import requests
 from lumenframe.plans.telemetry import TOTALS
@@ -19,6 +19,8 @@ from lumenframe.storage import shared_dir
 from lumenframe.streaming import frame_stats
 
 EVERY = 3
+#: Bits of coefficients and samples, the two thresholds of the curve, and its slope.
+CURVE = (18, 12, 20_000, 150_000, 2)
 #: Seconds after a camera's first frame between which rates are measured; some cameras' frames end before.
 WARM, END = 86_400, 10 * 86_400
 
@@ -213,6 +215,27 @@ def line_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("plane").agg(F.count("*").alias("parts"), F.count_if(F.col("luma") < 0.5).alias("black"), F.count_if(F.col("samples") < 64).alias("errors"), F.min("luma").alias("darkest"), F.max("luma").alias("brightest"))
 
 
+def png_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle of each plane as a PNG image, read back."""
+    cells = imaging.centre_crop(plane(spark, sf_dir), 64, 250, 30, 100)
+    lines = cells.groupBy("plane", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda c: c["v"]).alias("px"))
+    back = blobs.from_png(blobs.to_png(lines, 4095))
+    return back.select("plane", "y", F.posexplode("px").alias("x", "v")).withColumn("x", F.col("x").cast("long"))
+
+
+def precinct_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_orderkey")
+    parts = {"sig_bytes": k % 3, "cnt_bytes": F.col("l_partkey") % 13, "dat_bytes": F.col("l_suppkey") % 100, "sgn_bytes": F.col("l_linenumber"), "groups": F.col("l_partkey") % 17}
+    packets = table(spark, sf_dir, "lineitem").select(k.alias("precinct"), *[v.cast("long").alias(n) for n, v in parts.items()])
+    return codestream.precinct_sizes(packets, ["precinct"])
+
+
+def nlt_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples through the three-part curve and back."""
+    c = wavelet.extended_in(F.col("v"), *CURVE)
+    return plane(spark, sf_dir).select("plane", "y", "x", c.cast("long").alias("coefficient"), wavelet.extended_out(c, *CURVE).cast("long").alias("back"))
+
+
 def stream_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames that a tap after the statistics got, unchanged."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -246,6 +269,9 @@ QUERIES = {
     "yuv_size": yuv_size,
     "line_luma": line_luma,
     "stream_tap": stream_tap,
+    "png_crop": png_crop,
+    "precinct_bytes": precinct_bytes,
+    "nlt_extended": nlt_extended,
 }
 
 INTEGRITY_SQL = f"""
@@ -392,5 +418,17 @@ SELECT '| `' || c_name || '` | ' || k || ' | ' || coalesce('p' || p, '') || ' |'
     "line_luma": PLANE_SQL + """
 , parts AS (SELECT plane, y, avg(greatest(v - 2048, 0)) / 16 AS luma, count(*) AS samples FROM plane GROUP BY ALL)
 SELECT plane, count(*) AS parts, count(*) FILTER (luma < 0.5) AS black, count(*) FILTER (samples < 64) AS errors, min(luma) AS darkest, max(luma) AS brightest FROM parts GROUP BY plane""",
+    "png_crop": PLANE_SQL + "SELECT plane, y - 74 AS y, x - 16 AS x, v FROM plane WHERE x BETWEEN 16 AND 45 AND y BETWEEN 74 AND 173",
+    "precinct_bytes": """
+SELECT l_orderkey AS precinct, CAST(sum(l_suppkey % 100 + l_linenumber + least(ceil(l_partkey % 17 * 4 / 8), l_orderkey % 3 + l_partkey % 13)) AS BIGINT) AS bytes,
+       count(*) FILTER (ceil(l_partkey % 17 * 4 / 8) < l_orderkey % 3 + l_partkey % 13) AS raw_packets FROM lineitem GROUP BY l_orderkey""",
+    "nlt_extended": PLANE_SQL + """
+, n AS (SELECT plane, y, x, v << 24 AS n FROM plane),
+c AS (
+  SELECT plane, y, x, CASE WHEN n < 1710720000 THEN 52768 - floor(sqrt(greatest(2784461824 - n, 0)::DOUBLE))::BIGINT WHEN n < 10230400000 THEN (n - 400000000) >> 16
+         ELSE 117232 + floor(sqrt(greatest(n - 9156658176, 0)::DOUBLE))::BIGINT END AS c FROM n
+), d AS (SELECT *, least(greatest(52768 - c, 0), 262143) AS dark, least(greatest(c - 117232, 0), 262143) AS bright FROM c),
+e AS (SELECT *, CASE WHEN c < 20000 THEN 2784461824 - dark * dark WHEN c < 150000 THEN (c << 16) + 400000000 ELSE 9156658176 + bright * bright END AS curve FROM d)
+SELECT plane, y, x, c - 131072 AS coefficient, least(greatest((curve + 8388608) >> 24, 0), 4095) AS back FROM e""",
     "stream_tap": FRAMES_SQL + "SELECT camera, arrival, bytes_written FROM frames",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -238,3 +239,51 @@ def from_pgx(files: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"plane": plane, "y": np.arange(len(image)), "px": list(image)})
 
     return files.mapInPandas(read, "plane long, y long, px array<long>")
+
+
+PNG_MARK = b"\x89PNG\r\n\x1a\n"
+
+
+def png_bytes(samples: np.ndarray, top: int) -> bytes:
+    """A grey PNG image of one or two bytes a sample; its lines aren't filtered."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    kind = np.dtype(">u2" if top > 255 else np.uint8)
+    head = struct.pack(">IIBBBBB", samples.shape[1], samples.shape[0], 8 * kind.itemsize, 0, 0, 0, 0)
+    lines = b"".join(b"\0" + line.tobytes() for line in samples.astype(kind))
+    return PNG_MARK + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def png_samples(content: bytes) -> np.ndarray:
+    """The samples of an image as png_bytes() writes it; a wrong checksum is an error."""
+    at, parts = len(PNG_MARK), {}
+    while at < len(content):
+        size, kind = struct.unpack_from(">I4s", content, at)
+        data = content[at + 8 : at + 8 + size]
+        if zlib.crc32(kind + data) != struct.unpack_from(">I", content, at + 8 + size)[0]:
+            raise ValueError("a checksum of the PNG image is wrong")
+        parts[kind], at = data, at + 12 + size
+    width, height, bits = struct.unpack(">IIB", parts[b"IHDR"][:9])
+    lines = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(height, -1)[:, 1:]
+    return np.frombuffer(lines.tobytes(), ">u2" if bits == 16 else np.uint8).reshape(height, width)
+
+
+def to_png(lines: DataFrame, top: int) -> DataFrame:
+    """(plane, content): planes given as lines (plane, y, px) as PNG images; a plane is one task's work."""
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        image = np.stack(rows.sort_values("y").px.to_numpy())
+        return pd.DataFrame({"plane": [key[0]], "content": [png_bytes(image, top)]})
+
+    return lines.groupBy("plane").applyInPandas(write, "plane long, content binary")
+
+
+def from_png(files: DataFrame) -> DataFrame:
+    """(plane, y, px) of PNG images (plane, content)."""
+
+    def read(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for plane, content in zip(part.plane, part.content):
+                image = png_samples(bytes(content)).astype(np.int64)
+                yield pd.DataFrame({"plane": plane, "y": np.arange(len(image)), "px": list(image)})
+
+    return files.mapInPandas(read, "plane long, y long, px array<long>")
