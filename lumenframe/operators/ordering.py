@@ -22,3 +22,21 @@ def numbered(rows: DataFrame, by: list[str], order: str, name: str, width: int =
     inside = F.row_number().over(Window.partitionBy(*by, "__chunk").orderBy(order))
     placed = chunked.withColumn("__at", inside).join(starts, [*by, "__chunk"])
     return placed.withColumn(name, (F.col("__at") + F.col("__start")).cast("long")).drop("__chunk", "__at", "__start")
+
+
+def running(rows: DataFrame, by: list[str], chunk: str, order: list[str], sums: dict[str, str], previous: dict[str, str]) -> DataFrame:
+    """Adds sums up to and with each row of its group, and values of the row before it, in an order that the column
+    ``chunk`` cuts into ranges; chunk is dropped.
+
+    ``sums`` and ``previous`` map columns to the names of what is added. A range's rows are one task's, and what goes on
+    from range to range is a window over one row a range. Groups and ranges aren't null.
+    """
+    inside = Window.partitionBy(*by, chunk).orderBy(*order)
+    upto, before = inside.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.struct(*order, *[F.col(c).alias(f"__last_{c}") for c in previous])).alias("__end")
+    ranges = rows.groupBy(*by, chunk).agg(*[F.sum(c).alias(f"__sum_{c}") for c in sums], last)
+    carried = ranges.select(*by, chunk, *[F.coalesce(F.sum(f"__sum_{c}").over(before), F.lit(0)).alias(f"__sum_{c}") for c in sums], F.last("__end").over(before).alias("__end"))
+    met = rows.join(carried, [*by, chunk])
+    out = [(F.sum(c).over(upto) + F.col(f"__sum_{c}")).alias(n) for c, n in sums.items()]
+    out += [F.coalesce(F.lag(c).over(inside), F.col(f"__end.__last_{c}")).alias(n) for c, n in previous.items()]
+    return met.select(*[c for c in rows.columns if c != chunk], *out)

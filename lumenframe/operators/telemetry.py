@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.operators.ordering import numbered
+from lumenframe.operators.ordering import numbered, running
 from lumenframe.sources.blobs import flat_flags, jamcrc
 from lumenframe.storage import stored
 
 #: Frames of a camera that one task puts in order.
 CHUNK = 100_000
-#: Seconds of a camera that one task walks, at least.
-RANGE = 65_536
+#: Seconds of a camera that one task walks, at least; nanoseconds in a second.
+RANGE, SECOND = 600, 1_000_000_000
 
 
 def clock_ok() -> Column:
@@ -141,7 +141,7 @@ def dumped(frames: DataFrame, every: int, limit: int) -> DataFrame:
 CHECKS = ("crc_checked", "crc_bad", "flat_frames")
 
 
-def verdicts(frames: DataFrame, plan: DataFrame, tolerance: float, allowed: int, rate: str = "fps", checks: DataFrame | None = None) -> DataFrame:
+def verdicts(frames: DataFrame, plan: DataFrame, tolerance: float, allowed: int, rate: str = "fps", checks: DataFrame | None = None, window: tuple[int, int] | None = None) -> DataFrame:
     """A verdict with its first failing reason for each camera of the plan (camera and the expected fps or gbps).
 
     Tested in order: frames came, the rate is within the tolerance, losses are allowed ones, no frame is short. With
@@ -150,7 +150,10 @@ def verdicts(frames: DataFrame, plan: DataFrame, tolerance: float, allowed: int,
     """
     short = frames.groupBy("camera").agg(F.count_if(is_short()).alias("short_frames"))
     loss = gaps(frames).join(counter_growth(frames), "camera")
-    met = plan.join(totals(frames, span()), "camera", "left").join(loss, "camera", "left").join(short, "camera", "left")
+    sums = totals(frames, span())
+    if window is not None:
+        sums = sums.drop("fps", "gbps").join(window_or_run(frames, *window).drop("windowed"), "camera")
+    met = plan.join(sums, "camera", "left").join(loss, "camera", "left").join(short, "camera", "left")
     names = ["frames", "bytes", "gaps", "dropped_total", "short_frames"]
     if checks is not None:
         met, names = met.join(checks.select("camera", *CHECKS), "camera", "left"), [*names, *CHECKS]
@@ -173,30 +176,42 @@ def run_summary(verdict: DataFrame) -> DataFrame:
     return verdict.agg(F.count("*").alias("cameras"), F.sum("gbps").alias("aggregate_gbps"), F.bool_and("pass").alias("all_pass"))
 
 
-def rate_limited(frames: DataFrame, least_seconds: int) -> DataFrame:
-    """Frames that a limiter lets pass: the first, then each at least so long after the last one that passed.
+def time_ns() -> Column:
+    """Capture time in nanoseconds; null without seconds."""
+    return (F.col("timestamp_s") * SECOND + F.coalesce("timestamp_ns", F.lit(0))).cast("long")
 
-    Times are whole seconds, so of the frames of a second only the first to come can pass. Seconds go into ranges of time.
-    What passed before a range holds back less than least_seconds of it, so few seconds can be its first to pass. Each
-    range is walked from each of these, which gives a table of where it is left; the tables are followed in the order of
-    ranges, and each range is walked from the second that does pass first. Only one range's seconds are ever in one
-    task's memory. Frames without a time don't pass, unless least_seconds is 0 or less: then all with a time do.
+
+def rate_limited(frames: DataFrame, least_seconds: float, time: Column | None = None) -> DataFrame:
+    """(camera, arrival) of frames that a limiter lets pass: the first, then each at least so long after the last that passed.
+
+    Frames come in order of time (time_ns() unless told otherwise), of one time in order of arrival. Frames without a time
+    don't pass, unless least_seconds is 0 or less: then all with a time do.
+    """
+    timed = frames.select("camera", "arrival", (time_ns() if time is None else time).alias("t")).where(F.col("t").isNotNull())
+    least = round(least_seconds * SECOND)
+    return (timed if least <= 0 else spaced(timed, least)).select("camera", "arrival")
+
+
+def spaced(timed: DataFrame, least: int) -> DataFrame:
+    """Of rows (camera, arrival, t) the first of each camera, then each at least ``least`` after the last one taken.
+
+    Of the rows of one time only the first to come can be taken. Times go into ranges. What was taken before a range
+    holds back less than ``least`` of it, so few times can be its first to be taken. Each range is walked from each of
+    these, which gives a table of where it is left; the tables are followed in the order of ranges, and each range is
+    walked from the time that is taken first. Only one range's times are ever in one task's memory.
     """
-    timed = frames.where(F.col("timestamp_s").isNotNull())
-    if least_seconds <= 0:
-        return timed.select("camera", "arrival")
-    width = max(RANGE, 64 * least_seconds)
-    seconds = timed.groupBy("camera", "timestamp_s").agg(F.min("arrival").alias("arrival"))
-    ranged = stored(seconds.withColumn("range", F.floor(F.col("timestamp_s") / width)), "seconds")
+    width = max(RANGE * SECOND, 64 * least)
+    times = timed.groupBy("camera", "t").agg(F.min("arrival").alias("arrival"))
+    ranged = stored(times.withColumn("range", place_of("t", width)), "times")
 
     def tabulate(key: tuple, table: pa.Table) -> pa.Table:
         camera, number = (k.as_py() for k in key)
-        t = np.sort(table.column("timestamp_s").to_numpy())
-        onward, last = np.searchsorted(t, t + least_seconds), np.arange(len(t))
+        t = np.sort(table.column("t").to_numpy())
+        onward, last = np.searchsorted(t, t + least), np.arange(len(t))
         for i in range(len(t) - 1, -1, -1):
             if onward[i] < len(t):
                 last[i] = last[onward[i]]
-        n = min(len(t), int(np.searchsorted(t, number * width + least_seconds)) + 1)
+        n = min(len(t), int(np.searchsorted(t, t[0] + least)) + 1)
         return pa.table({"camera": pa.array([camera] * n, pa.string()), "range": pa.array([number] * n, pa.int64()), "enter": t[:n], "leave": t[last[:n]]})
 
     def follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,23 +223,70 @@ def rate_limited(frames: DataFrame, least_seconds: int) -> DataFrame:
                     at, done, free = (camera,), None, enter
                 if number != done and enter >= free:
                     out.append((camera, number, enter))
-                    done, free = number, leave + least_seconds
+                    done, free = number, leave + least
             kinds = (pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["by", "at", "start"])
 
     def walk(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("timestamp_s")
-        t, kept = table.column("timestamp_s").to_numpy(), []
+        table = table.sort_by("t")
+        t, kept = table.column("t").to_numpy(), []
         i = int(np.searchsorted(t, table.column("start")[0].as_py()))
         while i < len(t):
             kept.append(i)
-            i = int(np.searchsorted(t, t[i] + least_seconds))
-        return table.select(["camera", "arrival"]).take(pa.array(kept, pa.int64()))
+            i = int(np.searchsorted(t, t[i] + least))
+        return table.select(["camera", "arrival", "t"]).take(pa.array(kept, pa.int64()))
 
     tables = ranged.groupBy("camera", "range").applyInArrow(tabulate, "camera string, range long, enter long, leave long")
     starts = tables.repartition("camera").sortWithinPartitions("camera", "range", "enter").mapInArrow(follow, "by string, at long, start long")
     met = ranged.join(starts, F.col("camera").eqNullSafe(F.col("by")) & (F.col("range") == F.col("at"))).drop("by", "at")
-    return met.groupBy("camera", "range").applyInArrow(walk, "camera string, arrival long")
+    return met.groupBy("camera", "range").applyInArrow(walk, "camera string, arrival long, t long")
+
+
+def reports(frames: DataFrame, seconds: float, time: Column | None = None) -> DataFrame:
+    """The reports of each camera's statistics: one at the first frame ``seconds`` or more after the last, and one at the end.
+
+    Time begins at the camera's first frame; frames come in order of time and arrival, and a report counts its own frame.
+    A row has report_ns and arrival, the frame that it came with, the frames and bytes since the last report, interval_s,
+    fps and gbps over that interval (0 without time), and total_frames, total_bytes and mean_fps since the start. Frames
+    without a camera or a time don't count.
+
+    Report times are taken range by range (spaced()); frames meet the report that counts them within ranges of time, and
+    what comes after a range's last report is carried on by one row a range.
+    """
+    if seconds <= 0:
+        raise ValueError("an interval is longer than nothing")
+    timed = frames.select("camera", "arrival", (time_ns() if time is None else time).alias("t"), F.coalesce(frame_bytes(), F.lit(0)).alias("size"))
+    timed = timed.where(F.col("t").isNotNull() & F.col("camera").isNotNull())
+    ends = timed.groupBy("camera").agg(F.min("t").alias("begin"), F.max(F.struct("t", "arrival")).alias("end"))
+    taken = spaced(timed.select("camera", "arrival", "t"), round(seconds * SECOND)).join(ends.select("camera", "begin"), "camera").where(F.col("t") > F.col("begin"))
+    marks = stored(taken.select("camera", "t", "arrival").union(ends.select("camera", "end.t", "end.arrival")).distinct(), "reports")
+
+    width = max(RANGE * SECOND, round(64 * seconds * SECOND))
+    place = place_of("t", width).alias("range")
+    both = timed.select("camera", place, "t", "arrival", F.lit(0).alias("side"), "size").unionByName(marks.select("camera", place, "t", "arrival", F.lit(1).alias("side"), F.lit(None).cast("long").alias("size")))
+    mark = F.when(F.col("side") == 1, F.struct("t", "arrival"))
+    ahead = Window.partitionBy("camera", "range").orderBy("t", "arrival", "side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    behind = Window.partitionBy("camera").orderBy("range").rowsBetween(1, Window.unboundedFollowing)
+    firsts = both.groupBy("camera", "range").agg(F.min(mark).alias("mark"))
+    carried = firsts.select("camera", "range", F.first("mark", ignorenulls=True).over(behind).alias("later"))
+    met = both.withColumn("next", F.first(mark, ignorenulls=True).over(ahead)).where("side = 0").join(carried, ["camera", "range"])
+    sums = met.groupBy("camera", F.coalesce("next", "later").alias("mark")).agg(F.count("*").alias("frames"), F.sum("size").alias("bytes"))
+    rows = sums.select("camera", F.col("mark.t").alias("report_ns"), F.col("mark.arrival").alias("arrival"), "frames", "bytes")
+
+    rows = running(rows.withColumn("at", place_of("report_ns", width)), ["camera"], "at", ["report_ns", "arrival"], {"frames": "total_frames", "bytes": "total_bytes"}, previous={"report_ns": "last_ns"})
+    rows = rows.join(ends.select("camera", "begin"), "camera")
+    since = (F.col("report_ns") - F.coalesce("last_ns", "begin")) / float(SECOND)
+    whole = (F.col("report_ns") - F.col("begin")) / float(SECOND)
+    rate = lambda x, time: F.when(time > 0, x / time).otherwise(0.0)
+    return rows.select(
+        "camera", "report_ns", "arrival", "frames", "bytes", since.alias("interval_s"),
+        rate(F.col("frames"), since).alias("fps"), (rate(F.col("bytes") * 8, since) / 1e9).alias("gbps"),
+        "total_frames", "total_bytes", rate(F.col("total_frames"), whole).alias("mean_fps"),
+    )
+
+
+def place_of(column: str, width: int) -> Column:
+    return F.expr(f"floor({column} / {width}D)")
 
 
 def publish_sequence(frames: DataFrame) -> DataFrame:

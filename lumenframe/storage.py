@@ -38,6 +38,13 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reserved(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, for streams and data sources; discard() deletes it too."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def mark() -> int:
     """A place in the list of written tables, for discard()."""
     return len(_written)
