@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.operators.ordering import numbered
+from lumenframe.operators.ordering import segmented
 
 #: Frames that one IVF file holds.
 SEGMENT = 1_000
@@ -95,6 +95,20 @@ def unpack_lines(rows: DataFrame, column: str, bits: int) -> DataFrame:
     return _lines(rows, column, "array<int>", fn)
 
 
+def unpack_depths(rows: DataFrame, column: str, depth: str, depths: tuple[int, ...]) -> DataFrame:
+    """Packed bytes of lines, each of the bits that ``depth`` tells and of any length, as arrays of samples, in one pass."""
+    keys = [c for c in rows.columns if c != column]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = zip(b.column(column), b.column(depth).to_pylist())
+            out = [unpacked(np.frombuffer(x.as_buffer(), np.uint8)[None], n)[0].astype(np.int32) for x, n in told]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], pa.array(out, pa.list_(pa.int32()))], [*keys, "out"])
+
+    ddl = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    return rows.where(F.col(depth).isin(*depths)).mapInArrow(run, f"{ddl}out array<int>").withColumnRenamed("out", column)
+
+
 def ivf_bytes(frames: list[tuple[int, bytes]], fourcc: bytes, width: int, height: int) -> bytes:
     head = IVF_HEADER.pack(IVF_MAGIC, 0, IVF_HEADER.size, fourcc, width, height, 30, 1, len(frames), 0)
     return head + b"".join(IVF_FRAME.pack(len(d), p) + bytes(d) for p, d in frames)
@@ -103,16 +117,15 @@ def ivf_bytes(frames: list[tuple[int, bytes]], fourcc: bytes, width: int, height
 def to_ivf(frames: DataFrame, fourcc: bytes = b"AV01", width: int = 64, height: int = 64) -> DataFrame:
     """(stream, segment, content): frames (stream, pts, data) as IVF files of SEGMENT frames at most.
 
-    Segments are counted in order of pts. Frames are numbered in ranges of pts, so only a range's or a segment's frames
-    meet in one task, never a whole stream's.
+    Segments are counted in order of pts; only (stream, pts) are numbered, and the payload is moved to its segment once.
+    Frames of equal pts share a segment, which then may have more.
     """
 
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pts")
         return pd.DataFrame({"stream": [key[0]], "segment": [key[1]], "content": [ivf_bytes(list(zip(rows.pts, rows.data)), fourcc, width, height)]})
 
-    dealt = numbered(frames, ["stream"], "pts", "number").withColumn("segment", F.floor((F.col("number") - 1) / SEGMENT)).drop("number")
-    return dealt.groupBy("stream", "segment").applyInPandas(write, "stream long, segment long, content binary")
+    return segmented(frames, SEGMENT).groupBy("stream", "segment").applyInPandas(write, "stream long, segment long, content binary")
 
 
 def ivf_frames(content: bytes) -> Iterator[tuple[int, int, bytes]]:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.sources.blobs import unpack_lines
+from lumenframe.sources.blobs import unpack_depths
 from lumenframe.sources.catalogues import modes, ports
 
 SIDECAR = "camera string, frame_number long, bytes long, crc long, file string, width int, height int, bits int, line_bytes int, start_byte int"
@@ -35,15 +34,17 @@ def write_dumps(frames: DataFrame, folder: str) -> DataFrame:
         files, base = fs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
         for b in batches:
-            rows = b.to_pylist()
-            for r in rows:
+            sizes = []
+            for i in range(b.num_rows):
+                (r,) = b.slice(i, 1).to_pylist()
                 path = f"{base}/{r['name']}"
                 with files.open_output_stream(f"{path}.raw") as out:
                     out.write(r["data"])
                 side = json.loads(r["settings"] or "{}") | {"camera": r["camera"], "frame_number": r["frame_number"], "bytes": len(r["data"]), "crc": r["crc"], "file": f"{path}.raw"}
                 with files.open_output_stream(f"{path}.json") as out:
                     out.write(json.dumps(side).encode())
-            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array([len(r["data"]) for r in rows], pa.int64())], ["name", "bytes"])
+                sizes.append(len(r["data"]))
+            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(sizes, pa.int64())], ["name", "bytes"])
 
     named = frames.select(dump_name(F.col("camera"), F.col("dump"), F.col("frame_number")).alias("name"), "camera", "frame_number", "crc", "data", "settings")
     return named.mapInArrow(write, "name string, bytes long")
@@ -69,8 +70,7 @@ def raw_frames(spark: SparkSession, folder: str) -> DataFrame:
     numbers = F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")
     data = F.expr("substring(content, coalesce(start_byte, 0) + 1 + y * line_bytes, line_bytes)")
     lines = met.withColumn("content", whole).select("*", numbers).select("name", "camera", "frame_number", "bits", "width", "y", data.alias("px"))
-    each = [unpack_lines(lines.where(F.col("bits") == b), "px", b) for b in DEPTHS]
-    return reduce(DataFrame.unionByName, each).select("name", "camera", "frame_number", "y", F.slice("px", 1, F.col("width")).alias("px"))
+    return unpack_depths(lines, "px", "bits", DEPTHS).select("name", "camera", "frame_number", "y", F.slice("px", 1, F.col("width")).alias("px"))
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from lumenframe.operators.ordering import numbered
+from lumenframe.operators.ordering import segmented
 from lumenframe.sources.blobs import IVF_FRAME, IVF_HEADER, IVF_MAGIC, SEGMENT
 
 FRAMES = "file string, frame long, pts long, size long, data binary"
@@ -219,22 +219,6 @@ def registered(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def segmented(frames: DataFrame, most: int = SEGMENT, width: int = 100_000) -> DataFrame:
-    """Adds the segment, from 0, of each frame (stream, pts, data) of its stream in order of pts, ``most`` frames to one.
-
-    Only (stream, pts) are numbered. What goes back to the frames is one row for each range of pts, with the segments
-    that begin in it, so no payload is moved here. Frames of equal pts share a segment.
-    """
-    keys = numbered(frames.select("stream", "pts"), ["stream"], "pts", "number", width)
-    chunk = F.floor(F.col("pts") / width)
-    begin = F.when((F.col("number") - 1) % most == 0, F.struct("pts", ((F.col("number") - 1) / most).cast("long").alias("segment")))
-    ranges = keys.groupBy("stream", chunk.alias("__chunk")).agg(F.array_sort(F.collect_list(begin)).alias("__begins"), F.min("number").alias("__first"))
-    ranges = ranges.select("stream", "__chunk", "__begins", F.floor((F.col("__first") - 1) / most).cast("long").alias("__before"))
-    met = frames.withColumn("__chunk", chunk).join(ranges, ["stream", "__chunk"])
-    inside = F.filter("__begins", lambda b: b["pts"] <= F.col("pts"))
-    return met.withColumn("segment", F.coalesce(F.try_element_at(inside, F.lit(-1))["segment"], "__before")).drop("__chunk", "__begins", "__before")
-
-
 def write_ivf(frames: DataFrame, folder: str, most: int = SEGMENT, mode: str = "append", **options: str) -> None:
     """Writes frames (stream, pts, data) as IVF files STREAM/SEGMENT.ivf of a folder; the payload is moved once."""
     registered(frames.sparkSession)

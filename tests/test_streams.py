@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators import imaging
 from lumenframe.operators import telemetry as t
+from lumenframe.operators.ordering import segmented
 from lumenframe.plans.streams import rocks
 from lumenframe.sources import blobs, ivf_files, paced
 from lumenframe.streaming import frame_stats, keyed_state
@@ -99,14 +100,14 @@ def test_no_frames_make_no_file(spark, tmp_path):
 def test_segments_in_order(spark, width):
     r = random.Random(width)
     rows = [(s, p, b"") for s in (3, 4) for p in r.sample(range(300), 70)]
-    got = ivf_files.segmented(spark.createDataFrame(rows, "stream long, pts long, data binary"), 8, width)
+    got = segmented(spark.createDataFrame(rows, "stream long, pts long, data binary"), 8, width)
     place = {(s, p): i for s in (3, 4) for i, p in enumerate(sorted(p for x, p, _ in rows if x == s))}
     assert {(x.stream, x.pts): x.segment for x in got.collect()} == {k: i // 8 for k, i in place.items()}
 
 
 def test_equal_times_share_a_segment(spark):
     rows = [(1, p, b"") for p in (0, 1, 1, 1, 1, 2, 3)]
-    got = ivf_files.segmented(spark.createDataFrame(rows, "stream long, pts long, data binary"), 2, 2).collect()
+    got = segmented(spark.createDataFrame(rows, "stream long, pts long, data binary"), 2, 2).collect()
     by = {}
     for x in got:
         by.setdefault(x.pts, set()).add(x.segment)
@@ -115,11 +116,21 @@ def test_equal_times_share_a_segment(spark):
 
 def test_numbering_moves_no_payload(spark):
     frames, _ = payloads(spark)
-    plan = ivf_files.segmented(frames, 5)._jdf.queryExecution().optimizedPlan().toString()
+    plan = segmented(frames, 5)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window" in line or "Aggregate" in line]
     assert windows and not any("data#" in line for line in windows)
 
 
+def test_only_looked_at_payloads_are_moved(spark):
+    schema = "camera string, arrival long, frame_number long, bytes_written long, crc long, data binary"
+    rows = [("a", 3 * i, i, -1, 0 if i % 4 == 0 else 1, bytes([i]) * 70) for i in range(20)]
+    frames = spark.createDataFrame(rows, schema)
+    out = t.integrity(frames, 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("data#" in line for line in plan.splitlines() if "Window" in line)
+    assert out.collect() == [("a", 5, 5, 1, 5)]
+
+
 @pytest.mark.parametrize("bits", [10, 12])
 def test_paced_pictures_are_the_batch_generator_s(spark, bits):
     for phase in (0, 3, 5):
