@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.operators import codes, resample
+from lumenframe.operators import codes, packetwalk, resample
+from lumenframe.plans.geometry import COLUMNS, NLX, NLY, pictures
+from lumenframe.plans.geometry import ORACLES as GEOMETRY_SQL
 from lumenframe.plans.imaging import GROUPS, planes_of_bits
 from lumenframe.sources.tables import FRAMES_SQL, LINES, PLANE_SQL, TOP, frames, plane, table
 from lumenframe.storage import reserved
@@ -49,6 +51,40 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.current(spark, path, "camera", "arrival")
 
 
+#: Bands of the codestreams, and rows of precincts in a slice.
+STREAM_BANDS, SLICE_ROWS = 31, 4
+
+
+def codestreams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hand-made codestreams of the pictures that suppliers stand in for; every fifth is cut short, every seventh has an overlong packet.
+
+    Lengths follow from a packet's place; modes 2 and 3 of a band have significance flags.
+    """
+    laid = packetwalk.layouts(pictures(spark, sf_dir), COLUMNS, NLX, NLY, components=4, apart=1, slice_rows=SLICE_ROWS)
+    modes = F.expr(f"transform(sequence(0, {STREAM_BANDS - 1}), b -> cast((b + picture) % 4 AS bigint))")
+    each = laid.select("picture", F.explode("layout").alias("p")).select("picture", "p.*").withColumn("modes", modes)
+    seed = "(picture + 3 * precinct + 5 * k)"
+    flags = "aggregate(filter(e, x -> modes[x.band] >= 2), 0, (a, x) -> a + x.flags)"
+    lengths = f"transform(packets, (e, k) -> struct({seed} % 6 = 0 AS raw, IF({seed} % 6 = 0, 0, cast(ceil({flags} / 8.0) AS int)) AS sig, {seed} % 3 AS cnt, {seed} % 11 + IF(picture % 7 = 0 AND precinct = 5 AND k = 3, 900, 0) AS dat, {seed} % 2 AS sgn))"
+    held = each.withColumn("lengths", F.expr(lengths)).withColumn("q", F.col("precinct") % 32)
+    text = packetwalk.packed_hex(F.col("modes"), F.col("lengths"), F.col("q"), F.col("precinct") % 3)
+    broken = (F.col("picture") % 7 == 0) & (F.col("precinct") == 5)  # its length doesn't count what the packet has too much
+    less = F.lpad(F.hex(F.conv(F.substring("t", 1, 6), 16, 10).cast("long") - 900), 6, "0")
+    held = held.withColumn("t", text).withColumn("t", F.when(broken, F.concat(less, F.expr("substring(t, 7)"))).otherwise(F.col("t")))
+    lead = F.struct("precinct", "slice", "t")
+    joined = held.groupBy("picture").agg(F.array_sort(F.collect_list(lead)).alias("a"))
+    start = "IF(i = 0 OR a[i - 1].slice <> x.slice, concat('FF200004', lpad(hex(x.slice), 4, '0')), '')"
+    content = F.unhex(F.concat(F.expr(f"array_join(transform(a, (x, i) -> concat({start}, x.t)), '')"), F.lit("FF11")))
+    cut = F.when(F.col("picture") % 5 == 0, F.expr("substring(c, 1, length(c) - 7)")).otherwise(F.col("c"))
+    whole = joined.select("picture", content.alias("c")).select("picture", cut.alias("content"))
+    told = [F.lit(STREAM_BANDS).alias("bands"), F.lit(True).alias("short"), F.lit(True).alias("signs")]
+    return whole.join(laid, "picture").select("picture", "content", "layout", *told)
+
+
+def packet_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packetwalk.walk(spark, codestreams(spark, sf_dir)).drop("at")
+
+
 LANCZOS = resample.fitted(WIDE, LINES, TARGET)
 LINEAR = (TARGET, LINES * TARGET // WIDE & ~1)
 
@@ -58,6 +94,7 @@ QUERIES = {
     "vlc_lines": vlc_lines,
     "quantiser_search": quantiser_search,
     "stream_latest": stream_latest,
+    "packet_walk": packet_walk,
 }
 
 
@@ -105,4 +142,28 @@ sizes AS (
 best AS (SELECT plane, y, q, max(r) AS r, max_by(bytes, r) AS bytes FROM sizes JOIN chosen USING (plane, y, q) WHERE bytes <= {BUDGET} GROUP BY plane, y, q)
 SELECT plane, y, q, r, bytes, {BUDGET} - bytes AS filler FROM (SELECT DISTINCT plane, y FROM bands) LEFT JOIN best USING (plane, y)""",
     "stream_latest": FRAMES_SQL + "SELECT camera, max(arrival) AS arrival, max_by(frame_number, arrival) AS frame_number, max_by(bytes_written, arrival) AS bytes_written FROM frames GROUP BY camera",
+    "packet_walk": f"""
+WITH layout AS ({GEOMETRY_SQL["packet_layout"]}), geo AS ({GEOMETRY_SQL["precinct_geometry"]}),
+flags AS (
+  SELECT picture, precinct, filter, flags FROM geo UNION ALL
+  SELECT DISTINCT picture, precinct, 10, CASE WHEN "column" = max("column") OVER (PARTITION BY picture) THEN ((picture % 700 + 64 - 1) % 256 + 1 + 31) // 32 ELSE 8 END FROM geo
+), grid AS (SELECT DISTINCT picture, precinct, "row" // {SLICE_ROWS} AS slice FROM geo),
+sums AS (
+  SELECT picture, precinct, packet, sum(CASE WHEN (band + picture) % 4 >= 2 THEN flags ELSE 0 END) AS g, picture + 3 * precinct + 5 * packet AS k
+  FROM layout JOIN flags USING (picture, precinct) WHERE filter = least(band // 3, 10) GROUP BY picture, precinct, packet
+), sized AS (
+  SELECT picture, slice, precinct, packet, k % 6 = 0 AS raw, CASE WHEN k % 6 = 0 THEN 0 ELSE CAST(ceil(g / 8.0) AS BIGINT) END AS sig,
+         k % 3 AS cnt, k % 11 AS dat, k % 2 AS sgn, packet = max(packet) OVER (PARTITION BY picture, precinct) AS last,
+         picture % 7 = 0 AND precinct = 5 AND packet = 3 AS long, max(precinct) OVER (PARTITION BY picture) AS bottom
+  FROM sums JOIN grid USING (picture, precinct)
+), kept AS (
+  SELECT * FROM sized WHERE NOT (picture % 7 = 0 AND (precinct > 5 OR (precinct = 5 AND packet >= 3)) AND bottom >= 5)
+                        AND NOT (picture % 5 = 0 AND precinct = bottom AND NOT (picture % 7 = 0 AND bottom >= 5))
+)
+SELECT picture, slice, precinct, packet, precinct % 32 AS q, raw, sig, cnt, dat, sgn, CASE WHEN last THEN precinct % 3 END AS filler, NULL AS error FROM kept
+UNION ALL
+SELECT picture, slice, precinct, packet, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'the packets run past their precinct' FROM sized WHERE long
+UNION ALL
+SELECT DISTINCT picture, slice, precinct, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'the precinct runs past the end'
+FROM sized WHERE picture % 5 = 0 AND precinct = bottom AND NOT (picture % 7 = 0 AND bottom >= 5)""",
 }
