@@ -27,6 +27,7 @@ rows are extracted alike.
 from __future__ import annotations
 
 import html as entities
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -53,11 +54,14 @@ VARIED = 0.5
 FEW_TEMPLATES = 20_000
 #: Depth from which elements aren't told apart, and the size of a sketch as a power of two.
 DEEPEST, SKETCH = 64, 10
+#: Bits of the lower half of a page's digest of forty bits.
+HALF = 20
 
 # Names of HTML elements by what they mean for a text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas head".split())
+INLINE |= frozenset("math mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mspace mpadded mphantom semantics annotation".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas head".split())
 APART = frozenset("nav footer aside form button select dialog menu".split())
 MAIN = frozenset("article main".split())
 ITEMS = frozenset("p li dt dd option".split())
@@ -65,11 +69,15 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of a class, id or role that mark a part as not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 TOKEN = regex.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(?P<close>/?)(?P<name>[a-z][^\s/>\"'<]*+)",
     regex.S | regex.I,
 )
+#: Elements whose content is no markup, and what is between a tag's name and its end.
+CLOSED = regex.compile(r"(?:script|style|noscript|template|textarea|title|svg|iframe)\b", regex.I)
+REST = regex.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>", regex.S)
+SIGNS = regex.compile(r"[\"'>]")
+#: Names and marks of more characters are told apart by a digest.
+LONG_NAME = 120
 NAMED = regex.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", regex.I)
 SPACES = regex.compile(r"\s+")
 WORDS, NAME = regex.compile(r"[a-z0-9]+"), regex.compile(r"[^.\[]*")
@@ -95,25 +103,83 @@ class Page:
     runs: list[tuple[str | None, int, bool]] = field(default_factory=list)
 
 
+class Tags:
+    """Where tags end. What was passed once isn't looked at again: a page is read in time linear in its length.
+
+    A tag ends at the first ``>`` outside of quotes, and there may be none. Once that happened, the ends as seen from each
+    sign (quote or ``>``) of the page are worked out from the last sign back, one step each.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text, self.signs, self.ends = text, None, None
+
+    def end(self, at: int) -> int:
+        """The place behind the tag whose name ends at ``at``; -1 if it has no end."""
+        if self.ends is None:
+            m = REST.match(self.text, at)
+            if m:
+                return m.end()
+            self.signs = [m.start() for m in SIGNS.finditer(self.text)]
+            self.ends, following = [-1] * (len(self.signs) + 1), {}
+            for k in range(len(self.signs) - 1, -1, -1):
+                sign = self.text[self.signs[k]]
+                if sign == ">":
+                    self.ends[k] = self.signs[k] + 1
+                else:
+                    other = following.get(sign)  # the next one of its kind closes a quote
+                    self.ends[k] = self.ends[other + 1] if other is not None else -1
+                    following[sign] = k
+        return self.ends[bisect_left(self.signs, at)]
+
+
+def short(name: str) -> str:
+    return name if len(name) <= LONG_NAME else blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
 def parsed(text: str) -> Page:
-    page, at, linked, alike = Page(), 0, False, defaultdict(int)
+    page, at, seek, linked, alike, tags = Page(), 0, 0, False, defaultdict(int), Tags(text)
     stack, add = [0], page.runs.append
     names, paths = page.names, page.paths
+    opened: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name are
+    closers: dict[str, int] = {}  # where the content of an element without markup was last seen to end
 
     def close(name: str, stop: Iterable[str] = ()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if names[stack[i]] == name:
-                del stack[i:]
-                return
-            if names[stack[i]] in stop or name == "p" and stop != ():
+        if not opened[name]:
+            return
+        i = opened[name][-1]
+        if name == "p" and stop:
+            if i < len(stack) - 1:
                 return
-
-    for m in TOKEN.finditer(text):
+        elif any(opened[x] and opened[x][-1] > i for x in stop):
+            return
+        for k in range(len(stack) - 1, i - 1, -1):
+            opened[names[stack[k]]].pop()
+        del stack[i:]
+
+    def content_end(name: str, start: int) -> int:
+        """Behind the closing tag, the page's end without one; what has none from one place on has none from later ones."""
+        if closers.get(name) == -1:
+            return len(text)
+        m = regex.compile(rf"</{name}\s*+>", regex.I).search(text, start)
+        closers[name] = m.end() if m else -1
+        return m.end() if m else len(text)
+
+    while m := TOKEN.search(text, seek):
+        name, end = (m["name"] or "").lower(), m.end()
+        if name:
+            end = tags.end(m.end())
+            if end < 0:  # no tag
+                seek = m.end()
+                continue
         if m.start() > at:
             add((text[at : m.start()], stack[-1], linked))
-        at, name = m.end(), (m["name"] or "").lower()
+        at = seek = end
         if not name:
             continue
+        whole = None if m["close"] else CLOSED.match(name)
+        if whole:
+            at = seek = content_end(whole[0], end)
+            continue
         if name in INLINE:
             if name == "a":
                 linked = not m["close"]
@@ -127,12 +193,12 @@ def parsed(text: str) -> Page:
         if name in ITEMS or name in ("td", "th", "tr"):  # an open one of the kind ends here
             close(name, {"p": ["p"], "li": ["ul", "ol"], "option": ["select"]}.get(name, ["table", "dl"]))
         marks: list[str] = []
-        rest = m["rest"]
+        rest = text[m.end() : end - 1]
         for _, a, b, c in NAMED.findall(rest) if rest else ():
             marks += WORDS.findall((a or b or c).lower())
         up, path, own = stack[-1], paths[stack[-1]], name not in ITEMS and len(stack) < DEEPEST
         if own:
-            path = f"{path}/{name}" + "".join(f".{x}" for x in marks if not x.isdigit())
+            path = f"{path}/{short(name)}" + short("".join(f".{x}" for x in marks if not x.isdigit()))
             alike[path] += 1
             path = f"{path}[{alike[path]}]"
         paths.append(path)
@@ -140,14 +206,47 @@ def parsed(text: str) -> Page:
         page.above.append(up)
         names.append(name)
         page.marked.append(name in APART or name in RAW or not MARKS.isdisjoint(marks))
+        opened[name].append(len(stack))
         stack.append(len(paths) - 1)
     if at < len(text):
         add((text[at:], stack[-1], linked))
     return page
 
 
+#: Texts of an element, in order, are a number in this base and modulus.
+BASE, MODULUS = 1_000_003, 1 << 61
+
+
+def weighed(page: Page) -> tuple[list[int], list[int], list[int]]:
+    """Characters outside and in links, and a digest of the texts in order, of each element with all that lie in it.
+
+    An element's texts are neighbours in the page's order, so its digest is that of a span of them.
+    """
+    n = len(page.paths)
+    chars, links, low, high, upto, power = [0] * n, [0] * n, [-1] * n, [-1] * n, [0], [1]
+    for text, at, linked in page.runs:
+        text = text and text.strip()
+        if not text or page.names[at] in RAW:
+            continue
+        (links if linked else chars)[at] += len(text)
+        k = len(upto) - 1
+        low[at] = k if low[at] < 0 else low[at]
+        high[at] = k + 1
+        upto.append((upto[-1] * BASE + crc32(text.encode("utf-8", "surrogatepass")) + 1) % MODULUS)
+        power.append(power[-1] * BASE % MODULUS)
+    for i in range(n - 1, 0, -1):
+        up = page.above[i]
+        chars[up] += chars[i]
+        links[up] += links[i]
+        if high[i] >= 0:
+            low[up] = low[i] if low[up] < 0 else min(low[up], low[i])
+            high[up] = max(high[up], high[i])
+    seen = [(upto[b] - upto[a] * power[b - a]) % MODULUS if b >= 0 else 0 for a, b in zip(low, high)]
+    return chars, links, seen
+
+
 def token_table(pages: DataFrame) -> DataFrame:
-    """For each host and token: pages it is on, digest of its vector, characters outside and in links, sketch of its texts.
+    """For each host and token: pages it is on, digest of its vector in two halves, characters outside and in links, sketch of its texts.
 
     The token of the page itself is empty.
     """
@@ -160,26 +259,15 @@ def token_table(pages: DataFrame) -> DataFrame:
                 if not source:
                     continue
                 page = parsed(source)
-                n = len(page.paths)
-                chars, links, seen = [0] * n, [0] * n, [0] * n
-                for text, at, linked in page.runs:
-                    text = text and text.strip()
-                    if not text or page.names[at] in RAW:
-                        continue
-                    told, held = crc32(text.encode("utf-8", "surrogatepass")), links if linked else chars
-                    while True:
-                        held[at] += len(text)
-                        seen[at] = (seen[at] * 1_000_003 + told + 1) & 0x1FFF_FFFF_FFFF_FFFF
-                        if not at:
-                            break
-                        at = page.above[at]
+                chars, links, seen = weighed(page)
                 who = int.from_bytes(blake2b(source.encode("utf-8", "surrogatepass"), digest_size=5).digest(), "little")
-                rows += [(host, page.paths[i], who, chars[i], links[i], seen[i]) for i in range(n) if page.tokens[i]]
+                rows += [(host, page.paths[i], who, chars[i], links[i], seen[i]) for i in range(len(page.paths)) if page.tokens[i]]
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.string(), *[pa.int64()] * 4])], names)
 
     found = pages.select("host", "html").mapInArrow(run, "host string, token string, vector long, chars long, links long, text long")
-    sums = [F.sum(c).alias(c) for c in ("vector", "chars", "links")]
+    halves = [F.sum(F.col("vector").bitwiseAND((1 << HALF) - 1)).alias("low"), F.sum(F.shiftright("vector", HALF)).alias("high")]  # sums far below 64 bits
+    sums = [*halves, *[F.sum(c).alias(c) for c in ("chars", "links")]]
     return found.groupBy("host", "token").agg(F.count("*").alias("pages"), *sums, F.hll_sketch_agg("text", SKETCH).alias("texts"))
 
 
@@ -265,14 +353,16 @@ def templates(pages: DataFrame) -> DataFrame:
     """
     found = stored(token_table(pages), "tokens")
     hosts = found.where("token = ''").select("host", F.when(F.col("pages") >= PAGES, F.col("host")).otherwise("*").alias("grp"), F.col("pages").alias("host_pages"))
-    sums = [F.sum(c).alias(c) for c in ("pages", "vector", "chars", "links")]
+    sums = [F.sum(c).alias(c) for c in ("pages", "low", "high", "chars", "links")]
     grouped = found.join(hosts.select("host", "grp"), "host").groupBy("grp", "token").agg(*sums, F.hll_sketch_estimate(F.hll_union_agg("texts")).alias("kinds"))
     grouped = stored(grouped, "groups")
     sizes = grouped.where("token = ''").select("grp", F.col("pages").alias("all_pages"))
-    frequent = grouped.join(sizes, "grp").where(F.col("pages") >= FREQUENT * F.col("all_pages")).drop("all_pages")
+    small = sizes.where("grp = '*'").first()  # all hosts with few pages: their tokens, which may be many, meet one number
+    shared = grouped.where("grp = '*'").where(F.col("pages") >= FREQUENT * (small.all_pages if small else 0))
+    frequent = grouped.where("grp <> '*'").join(sizes, "grp").where(F.col("pages") >= FREQUENT * F.col("all_pages")).drop("all_pages").unionByName(shared)
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        slots = {r.token: Slot((int(r.pages), int(r.vector)), int(r.kinds), int(r.chars), int(r.links)) for r in rows.itertuples()}
+        slots = {r.token: Slot((int(r.pages), (int(r.high) << HALF) + int(r.low)), int(r.kinds), int(r.chars), int(r.links)) for r in rows.itertuples()}
         root, gone = decided(slots)
         return pd.DataFrame({"grp": [rows.grp.iloc[0]], "root": [root], "gone": [gone]})
 
