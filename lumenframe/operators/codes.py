@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.operators.wavelet import truncation
+from lumenframe.operators.wavelet import predicted_in_slices, truncation
 
 
 def ones(residual: Column, theta: Column) -> Column:
@@ -84,3 +84,35 @@ def quantiser(planes: DataFrame, by: list[str], weights: DataFrame, budget: int,
     best = each.groupBy(*by).agg(F.max_by(F.struct("q", "r", "bytes"), "r").alias("best"))
     every = planes.select(*by).distinct().join(best, by, "left")
     return every.select(*by, *[F.col(f"best.{c}").cast("long").alias(c) for c in ("q", "r", "bytes")], (budget - F.col("best.bytes")).alias("filler"))
+
+
+def count_bits(planes: DataFrame, by: list[str], line: str, cut: str, slice_lines: int) -> DataFrame:
+    """Adds ``flat`` and ``up``: bits of each group's count without prediction, and predicted from the line above."""
+    told = predicted_in_slices(planes, by, line, cut, slice_lines)
+    held, none = F.greatest("planes", F.col(cut)), F.lit(0).cast("long")
+    base = held - F.col("residual")
+    return told.select(*planes.columns, (ones(held - F.col(cut), none) + 1).alias("flat"), (ones(F.col("residual"), base - F.col(cut)) + 1).alias("up"))
+
+
+def count_modes(groups: DataFrame, precinct: list[str], first: Column, raw_bits: int = 4, each_packet: bool = True) -> DataFrame:
+    """(precinct, packet, raw, coded_bytes, raw_bytes, bytes, predicted) of the counts of precincts' packets.
+
+    ``groups`` has, for each group, precinct, packet, set, band, flat and up (count_bits()). A set is the packets that
+    share bands; bands that share one share all. Each band of a precinct is predicted from above if that takes fewer bits,
+    but not where ``first`` says that the precinct is the first of its slice. Counts are raw, of ``raw_bits`` each,
+    where they would take more bytes coded: packet by packet, or with ``each_packet`` off in all packets of a set that
+    takes more in sum, as then a band's packets must agree. ``predicted`` is how many bands of the packet are.
+    """
+    bands = groups.groupBy(*precinct, "set", "band", "packet").agg(F.sum("flat").alias("flat"), F.sum("up").alias("up"), F.count("*").alias("n"), F.max(first).alias("first"))
+    totals = bands.groupBy(*precinct, "band").agg(((F.sum("up") < F.sum("flat")) & ~F.max("first")).alias("above"))
+    met = bands.join(totals, [*precinct, "band"])
+    bits = F.when(F.col("above"), F.col("up")).otherwise(F.col("flat"))
+    size = lambda x: F.ceil(F.sum(x) / 8).cast("long")
+    packets = met.groupBy(*precinct, "set", "packet").agg(size(bits).alias("coded_bytes"), size(F.col("n") * raw_bits).alias("raw_bytes"), F.count_if("above").alias("predicted"))
+    if each_packet:
+        packets = packets.withColumn("raw", F.col("coded_bytes") > F.col("raw_bytes"))
+    else:
+        sums = packets.groupBy(*precinct, "set").agg((F.sum("coded_bytes") > F.sum("raw_bytes")).alias("raw"))
+        packets = packets.join(sums, [*precinct, "set"])
+    out = packets.withColumn("bytes", F.when(F.col("raw"), F.col("raw_bytes")).otherwise(F.col("coded_bytes")))
+    return out.select(*precinct, "packet", "raw", "coded_bytes", "raw_bytes", "bytes", F.when(F.col("raw"), 0).otherwise(F.col("predicted")).cast("long").alias("predicted"))

@@ -13,7 +13,7 @@ from lumenframe.sources.tables import FRAMES_SQL, LINES, PLANE_SQL, TOP, frames,
 from lumenframe.storage import reserved
 from lumenframe.streaming import latest
 
-WIDE, TARGET, BUDGET, BANDS = 64, 24, 24, 5
+WIDE, TARGET, BUDGET, BANDS, RAW_BITS = 64, 24, 24, 5, 4
 
 
 def resized(kernel: str, out: tuple[int, int]):
@@ -44,6 +44,19 @@ def quantiser_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.quantiser(bands, ["plane", "y"], weights(spark), BUDGET)
 
 
+def count_modes(each_packet: bool):
+    """Four lines of a plane stand in for a precinct, each for a packet; the upper two share bands, and the lower two."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = planes_of_bits(spark, sf_dir).withColumn("cut", F.expr("y div 4") % 3 + 1)
+        told = codes.count_bits(p, ["plane", "g"], "y", "cut", 16)
+        half = F.expr("y % 4 div 2")
+        cells = told.select("plane", F.expr("y div 4").alias("precinct"), (F.col("y") % 4).alias("packet"), half.alias("set"), (half * 4 + F.expr("g div 4")).alias("band"), "flat", "up")
+        return codes.count_modes(cells, ["plane", "precinct"], F.col("precinct") % 4 == 0, RAW_BITS, each_packet)
+
+    return run
+
+
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = reserved(spark, "latest")
     rows = frames(spark, sf_dir, stream=True).select("camera", "arrival", "frame_number", "bytes_written")
@@ -93,6 +106,8 @@ QUERIES = {
     "linear_resize": resized("linear", LINEAR),
     "vlc_lines": vlc_lines,
     "quantiser_search": quantiser_search,
+    "count_modes": count_modes(True),
+    "count_modes_by_set": count_modes(False),
     "stream_latest": stream_latest,
     "packet_walk": packet_walk,
 }
@@ -119,7 +134,26 @@ def _resize_sql(kernel: str, out: tuple[int, int]) -> str:
 SELECT plane, o AS y, x, {held} AS v FROM wide JOIN down ON y = s GROUP BY plane, o, x"""
 
 
+MODES_SQL = PLANE_SQL + GROUPS + f"""
+, cells AS (
+  SELECT plane, g, y, y // 4 AS precinct, y % 4 AS packet, y % 4 // 2 AS set_, y % 4 // 2 * 4 + g // 4 AS band, greatest(planes, y // 4 % 3 + 1) AS held,
+         y // 4 % 3 + 1 AS cut, lag(planes) OVER w AS above, lag(y // 4 % 3 + 1) OVER w AS cut_above
+  FROM bits WINDOW w AS (PARTITION BY plane, g, y // 16 ORDER BY y)
+), based AS (SELECT *, CASE WHEN above IS NULL THEN cut ELSE greatest(above, cut, cut_above) END AS base FROM cells),
+sized AS (
+  SELECT *, held - cut + 1 AS flat, 1 + CASE WHEN held - base > base - cut THEN held - cut WHEN held < base THEN 2 * (base - held) - 1 ELSE 2 * (held - base) END AS up FROM based
+), modes AS (
+  SELECT plane, precinct, band, sum(up) < sum(flat) AND precinct % 4 > 0 AS pred FROM sized GROUP BY plane, precinct, band
+), packets AS (
+  SELECT plane, precinct, set_, packet, CAST(ceil(sum(CASE WHEN pred THEN up ELSE flat END) / 8.0) AS BIGINT) AS coded_bytes,
+         CAST(ceil(count(*) * {RAW_BITS} / 8.0) AS BIGINT) AS raw_bytes, count(DISTINCT band) FILTER (pred) AS predicted
+  FROM sized JOIN modes USING (plane, precinct, band) GROUP BY plane, precinct, set_, packet
+), told AS (SELECT *, {{raw}} AS raw FROM packets)
+SELECT plane, precinct, packet, raw, coded_bytes, raw_bytes, CASE WHEN raw THEN raw_bytes ELSE coded_bytes END AS bytes, CASE WHEN raw THEN 0 ELSE predicted END AS predicted FROM told"""
+
 ORACLES = {
+    "count_modes": MODES_SQL.format(raw="coded_bytes > raw_bytes"),
+    "count_modes_by_set": MODES_SQL.format(raw="sum(coded_bytes) OVER s > sum(raw_bytes) OVER s").replace("FROM packets)", "FROM packets WINDOW s AS (PARTITION BY plane, precinct, set_))"),
     "lanczos_resize": _resize_sql("lanczos", LANCZOS),
     "linear_resize": _resize_sql("linear", LINEAR),
     "vlc_lines": """

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from lumenframe.operators import telemetry
 from lumenframe.plans.blobs import ORACLES as STREAM_SQL
 from lumenframe.plans.telemetry import ALLOWED, TOLERANCE, plan
-from lumenframe.sources import blobs, ivf_files, paced
+from lumenframe.plans.telemetry import ORACLES as TELEMETRY_SQL
+from lumenframe.plans.telemetry import verdict
+from lumenframe.sources import blobs, captures, ivf_files, paced, reports
 from lumenframe.sources.tables import FRAMES_SQL, frames, table
 from lumenframe.storage import reserved
 from lumenframe.streaming import frame_stats, keyed_state
@@ -103,6 +105,31 @@ def verdict_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.verdicts(frames(spark, sf_dir), F.broadcast(plan(spark)), TOLERANCE, ALLOWED, window=(WARM, END))
 
 
+def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames' log, written as files and read back."""
+    folder = reserved(spark, "log")
+    reports.write_log(frames(spark, sf_dir).withColumn("crc", F.col("arrival") * 7919 % 4294967296), folder)
+    return reports.read_log(spark, folder)
+
+
+def summary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, told = reserved(spark, "summary"), verdict(spark, sf_dir)
+    reports.write_summary(told, folder, receiver="linux")
+    return reports.read_summary(spark, folder, told)
+
+
+def rig_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of rigs that have some of the keys, from suppliers."""
+    k = F.col("s_suppkey")
+    some = lambda n, text: F.when(k % n == 0, F.format_string(text, k))
+    keys = [some(2, '"hololink_ip": "10.0.0.%d"'), some(3, '"ibv_port": %d'), some(5, '"cuda_device": %d'), some(4, '"leading_lines": %d, "reset_board": false'), some(6, '"ibv_name": "roce%d", "require_da322": false')]
+    keys += [F.when(k % 7 == 0, F.lit('"p22": {}')).when(k % 7 == 1, F.format_string('"p22": {"enabled": false, "expander_address": %d}', k))]
+    camera = F.format_string('"cameras": [{"port": "J1", "test_pattern_select": %d}, {"port": "J2"}]', k % 9)
+    json = F.concat(F.lit("{"), F.concat_ws(", ", *keys, camera), F.lit("}"))
+    found = captures.rig_cameras(table(spark, sf_dir, "supplier").select(k.alias("config"), json.alias("json")))
+    return found.select("config", "camera", "hololink_ip", "ibv_name", "ibv_port", "cuda_device", "leading_lines", "require_da322", "reset_board", "p22_enabled", "p22_expander_address", "test_pattern_select")
+
+
 QUERIES = {
     "ivf_source": ivf_source,
     "ivf_headers": ivf_headers,
@@ -112,6 +139,9 @@ QUERIES = {
     "rate_limit_stream": rate_limit_stream,
     "report_intervals": report_intervals,
     "verdict_window": verdict_window,
+    "log_files": log_files,
+    "summary_file": summary_file,
+    "rig_settings": rig_settings,
 }
 
 TURNS_SQL = """
@@ -187,4 +217,17 @@ SELECT camera, report_ns, arrival, frames, bytes, interval_s, CASE WHEN interval
        CASE WHEN whole_s > 0 THEN total_frames / whole_s ELSE 0.0 END AS mean_fps
 FROM told""",
     "verdict_window": _verdict_window_sql(),
+    "log_files": FRAMES_SQL + """
+SELECT camera, (timestamp_s - min(timestamp_s) OVER (PARTITION BY camera))::DOUBLE AS host_time_s, frame_number, -1 AS received_frame_number, -1 AS psn, bytes_written, frame_size,
+       printf('0x%08x', arrival * 7919 % 4294967296) AS crc, timestamp_s, timestamp_ns, received_s, received_ns, 0 AS metadata_s, 0 AS metadata_ns, dropped, -1 AS frame_packets_received,
+       CASE WHEN timestamp_s > 0 AND received_s > 0 AND received_s - timestamp_s > -10 AND received_s - timestamp_s < 10
+            THEN printf('%.3f', ((received_s - timestamp_s) * 1000000000 + received_ns - timestamp_ns) / 1e6)::DOUBLE ELSE 0.0::DOUBLE END AS latency_ms
+FROM frames""",
+    "summary_file": TELEMETRY_SQL["verdict"].rpartition("SELECT * FROM verdict")[0] + "SELECT 'linux' AS receiver, sum(gbps) OVER () AS aggregate_gbps, bool_and(pass) OVER () AS all_pass, * FROM verdict",
+    "rig_settings": """
+SELECT s_suppkey AS config, c AS camera, CASE WHEN k % 2 = 0 THEN '10.0.0.' || k ELSE '192.168.0.2' END AS hololink_ip, CASE WHEN k % 6 = 0 THEN 'roce' || k ELSE '' END AS ibv_name,
+       CASE WHEN k % 3 = 0 THEN k ELSE 1 END AS ibv_port, CASE WHEN k % 5 = 0 THEN k ELSE 0 END AS cuda_device, CASE WHEN k % 4 = 0 THEN k ELSE 0 END AS leading_lines,
+       k % 6 <> 0 AS require_da322, k % 4 <> 0 AS reset_board, k % 7 <> 1 AS p22_enabled,
+       CASE WHEN k % 7 = 1 THEN k ELSE 32 END AS p22_expander_address, CASE WHEN c = 0 THEN k % 9 ELSE 0 END AS test_pattern_select
+FROM (SELECT *, s_suppkey AS k FROM supplier), range(2) r(c)""",
 }

@@ -97,22 +97,25 @@ def listed(path: Column, text: str | None = None, prefix: str | None = None, exa
     return ok & (path == exact) if exact is not None else ok
 
 
-CAMERA = "port string, mode string, fps double, lanes int, exposure_ms double, gain_db double, test_pattern boolean, lane_rate_mbps int, hmax int"
-RIG = f"receiver string, lane_rate_limit_mbps int, report_interval_s double, cameras array<struct<{CAMERA.replace(' ', ':').replace(',:', ',')}>>"
+CAMERA = "port string, mode string, fps double, lanes int, exposure_ms double, gain_db double, test_pattern boolean, test_pattern_select int, lane_rate_mbps int, hmax int"
+RIG = f"hololink_ip string, receiver string, ibv_name string, ibv_port int, cuda_device int, lane_rate_limit_mbps int, leading_lines int, require_da322 boolean, reset_board boolean, report_interval_s double, p22 struct<enabled:boolean,expander_address:int>, cameras array<struct<{CAMERA.replace(' ', ':').replace(',:', ',')}>>"
 # What a camera and a rig have where their configuration says nothing.
-CAMERA_DEFAULTS = {"mode": "FULL_RAW12", "fps": 0.0, "lanes": 4, "exposure_ms": 10.0, "gain_db": 0.0, "test_pattern": False}
-RIG_DEFAULTS = {"receiver": "roce", "lane_rate_limit_mbps": 1500, "report_interval_s": 2.0}
+CAMERA_DEFAULTS = {"mode": "FULL_RAW12", "fps": 0.0, "lanes": 4, "exposure_ms": 10.0, "gain_db": 0.0, "test_pattern": False, "test_pattern_select": 0}
+RIG_DEFAULTS = {"hololink_ip": "192.168.0.2", "receiver": "roce", "ibv_name": "", "ibv_port": 1, "cuda_device": 0, "lane_rate_limit_mbps": 1500, "leading_lines": 0, "require_da322": True, "reset_board": True, "report_interval_s": 2.0}
+# The same of the port expander.
+EXPANDER_DEFAULTS = {"enabled": True, "expander_address": 0x20}
 
 
 def rig_cameras(configs: DataFrame) -> DataFrame:
     """A row for each camera of the rigs (config, json), with defaults; a rig without cameras has one row, without a port."""
     parsed = configs.select("config", F.from_json("json", RIG).alias("r"))
     rig = [F.coalesce(F.col("r")[k], F.lit(v)).alias(k) for k, v in RIG_DEFAULTS.items()]
+    rig += [F.coalesce(F.col("r.p22")[k], F.lit(v)).alias(f"p22_{k}") for k, v in EXPANDER_DEFAULTS.items()]
     cams = parsed.select("config", *rig, F.posexplode_outer("r.cameras").alias("camera", "c"))
     own = [F.coalesce(F.col("c")[k], F.lit(CAMERA_DEFAULTS[k])).alias(k) if k in CAMERA_DEFAULTS else F.col("c")[k].alias(k) for k in (x.split()[0] for x in CAMERA.split(", "))]
     named = ports(configs.sparkSession).select(F.explode(F.array("connector", "label", F.col("camera").cast("string"))).alias("key"), "connector")
     known = modes(configs.sparkSession).select(F.explode(F.array("name", F.col("mode").cast("string"))).alias("key"), F.col("name").alias("mode_name"))
-    met = cams.select("config", *RIG_DEFAULTS, "camera", *own)
+    met = cams.select("config", *RIG_DEFAULTS, *[f"p22_{k}" for k in EXPANDER_DEFAULTS], "camera", *own)
     met = met.join(F.broadcast(named), F.upper("port") == F.col("key"), "left").drop("key")
     return met.join(F.broadcast(known), F.upper("mode") == F.col("key"), "left").drop("key")
 

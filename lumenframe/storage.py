@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-#: Tables that were written, the newest last.
-_written: list[str] = []
+class _Written(threading.local):
+    """Tables that a thread's queries wrote, the newest last: queries of other threads neither see nor delete them."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_written = _Written()
 
 
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -34,26 +41,26 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    _written.append(path)
+    _written.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def reserved(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared folder, for streams and data sources; discard() deletes it too."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written.paths.append(path)
     return path
 
 
 def mark() -> int:
-    """A place in the list of written tables, for discard()."""
-    return len(_written)
+    """A place in the list of tables that this thread wrote, for discard()."""
+    return len(_written.paths)
 
 
 def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Deletes the tables written since a mark but for the last ``keep`` ones: when nothing that is yet to run reads them."""
-    end = max(since, len(_written) - keep)
-    for path in _written[since:end]:
+    """Deletes the tables that this thread wrote since a mark but for the last ``keep`` ones: when nothing that is yet to run reads them."""
+    end = max(since, len(_written.paths) - keep)
+    for path in _written.paths[since:end]:
         there = spark._jvm.org.apache.hadoop.fs.Path(path)
         there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-    del _written[since:end]
+    del _written.paths[since:end]
