@@ -25,7 +25,7 @@ def coded_bits(items: Column) -> Column:
 
 
 def bits_to_bytes(bits: Column) -> Column:
-    """Whole bytes of bits as binary, the first bit highest."""
+    """Whole bytes of bits (a column of its own, as each digit looks at it) as binary, the first bit highest."""
     digit = lambda i: F.conv(F.substring(bits, i * 4 + 1, F.lit(4)), 2, 16)
     some = F.length(bits) > 0
     return F.when(some, F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), (F.length(bits) / 4).cast("int") - 1), digit), ""))).otherwise(F.unhex(F.lit("")))
@@ -36,13 +36,17 @@ def bytes_to_bits(content: Column) -> Column:
     return F.array_join(F.transform(digits, lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
 
 
-def decoded(bits: Column, thetas: Column, raw_bits: int = 4) -> Column:
-    """The residuals that bits hold, one for each theta.
+def runs_of(bits: Column) -> Column:
+    """The lengths of the runs of ones before each zero of bits, and of what comes after the last zero."""
+    return F.transform(F.split(bits, "0"), lambda x: F.length(x))
 
-    Codes end at zeros, so where one begins follows from those before it. Too few codes, 2 ** (raw_bits + 1) ones in
+
+def decoded(runs: Column, thetas: Column, raw_bits: int = 4) -> Column:
+    """The residuals that bits hold, told by runs_of(), one for each theta.
+
+    Give runs as a column of its own, or each use works them out anew. Codes end at zeros, so where one begins follows from those before it. Too few codes, 2 ** (raw_bits + 1) ones in
     turn, and anything but less than a byte of zeros behind the last code are errors.
     """
-    runs = F.transform(F.split(bits, "0"), lambda x: F.length(x))  # the last one isn't ended by a zero
     n, k = F.size(runs) - 1, F.size(thetas)
     first, rest = F.slice(runs, 1, k), F.slice(runs, k + 1, F.greatest(F.size(runs) - k, F.lit(0)))
     bad = (

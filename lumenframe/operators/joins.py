@@ -16,12 +16,13 @@ def asof_forward(left: DataFrame, marks: DataFrame, by: str, on: str, at: str, v
     a = left.withColumn("__k", F.col(on).cast("double")).withColumn("__side", F.lit(0))
     b = marks.select(by, F.col(at).cast("double").alias("__k"), F.lit(1).alias("__side"), F.col(value).cast("double").alias("__v"))
     both = a.unionByName(b, allowMissingColumns=True).withColumn("__range", F.floor(F.col("__k") / width))
-    ahead = Window.partitionBy(by, "__range").orderBy("__k", "__side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    behind = Window.partitionBy(by).orderBy("__range").rowsBetween(1, Window.unboundedFollowing)
+    # in falling order, as a frame that ends with its row is summed up once and one that begins with it again for each row
+    ahead = Window.partitionBy(by, "__range").orderBy(F.desc("__k"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = Window.partitionBy(by).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
     firsts = both.groupBy(by, "__range").agg(F.min_by("__v", F.when(F.col("__side") == 1, F.col("__k"))).alias("__first"))
-    carried = firsts.select(by, "__range", F.first("__first", ignorenulls=True).over(behind).alias("__later"))
+    carried = firsts.select(by, "__range", F.last("__first", ignorenulls=True).over(behind).alias("__later"))
     last = marks.groupBy(by).agg(F.max_by(F.col(value).cast("double"), at).alias("__last"))
-    met = both.withColumn("__next", F.first("__v", ignorenulls=True).over(ahead)).where("__side = 0")
+    met = both.withColumn("__next", F.last("__v", ignorenulls=True).over(ahead)).where("__side = 0")
     out = met.join(carried, [by, "__range"], "left").join(last, by, "left")
     return out.select(*left.columns, F.coalesce("__next", "__later", "__last", F.lit(0.0)).alias(value))
 

@@ -267,11 +267,11 @@ def reports(frames: DataFrame, seconds: float, time: Column | None = None) -> Da
     place = place_of("t", width).alias("range")
     both = timed.select("camera", place, "t", "arrival", F.lit(0).alias("side"), "size").unionByName(marks.select("camera", place, "t", "arrival", F.lit(1).alias("side"), F.lit(None).cast("long").alias("size")))
     mark = F.when(F.col("side") == 1, F.struct("t", "arrival"))
-    ahead = Window.partitionBy("camera", "range").orderBy("t", "arrival", "side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    behind = Window.partitionBy("camera").orderBy("range").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy("camera", "range").orderBy(F.desc("t"), F.desc("arrival"), F.desc("side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = Window.partitionBy("camera").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     firsts = both.groupBy("camera", "range").agg(F.min(mark).alias("mark"))
-    carried = firsts.select("camera", "range", F.first("mark", ignorenulls=True).over(behind).alias("later"))
-    met = both.withColumn("next", F.first(mark, ignorenulls=True).over(ahead)).where("side = 0").join(carried, ["camera", "range"])
+    carried = firsts.select("camera", "range", F.last("mark", ignorenulls=True).over(behind).alias("later"))
+    met = both.withColumn("next", F.last(mark, ignorenulls=True).over(ahead)).where("side = 0").join(carried, ["camera", "range"])
     sums = met.groupBy("camera", F.coalesce("next", "later").alias("mark")).agg(F.count("*").alias("frames"), F.sum("size").alias("bytes"))
     rows = sums.select("camera", F.col("mark.t").alias("report_ns"), F.col("mark.arrival").alias("arrival"), "frames", "bytes")
 

@@ -29,9 +29,11 @@ def vlc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     theta = F.greatest(F.col("user_id") % 15 - F.col("event_id") % 8, F.lit(0))
     item = F.struct((F.col("event_id") % 16).alias("at"), (F.col("event_id") % 12 - F.least(theta, F.lit(5))).alias("residual"), theta.alias("theta"))
     lines = e.groupBy(F.expr("event_id div 16").alias("line")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    packed = lines.select("line", F.transform("items", lambda i: i["theta"]).alias("thetas"), codes.bits_to_bytes(codes.coded_bits(F.col("items"))).alias("content"))
-    back = packed.withColumn("got", codes.decoded(codes.bytes_to_bits(F.col("content")), F.col("thetas")))
-    return back.select("line", F.hex("content").alias("content"), F.posexplode("got").alias("i", "residual")).withColumn("i", F.col("i").cast("long"))
+    lines = lines.select("line", F.transform("items", lambda i: i["theta"]).alias("thetas"), codes.coded_bits(F.col("items")).alias("bits"))
+    packed = lines.select("line", "thetas", codes.bits_to_bytes(F.col("bits")).alias("content"))
+    back = packed.withColumn("runs", codes.runs_of(codes.bytes_to_bits(F.col("content")))).withColumn("got", codes.decoded(F.col("runs"), F.col("thetas")))
+    # the outer form, as for the other Spark infers a filter and works the codes out anew in it
+    return back.select("line", F.hex("content").alias("content"), F.posexplode_outer("got").alias("i", "residual")).withColumn("i", F.col("i").cast("long"))
 
 
 def weights(spark: SparkSession) -> DataFrame:

@@ -75,7 +75,7 @@ def test_decoding_is_the_inverse(spark):
     lines = [[(r.randint(-t, 9), t) for t in (r.randint(0, 9) for _ in range(n))] for n in [0, 1, 2, 3, *(r.randint(1, 60) for _ in range(80))]]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, items array<struct<residual:bigint,theta:bigint>>")
     packed = rows.select("items", codes.bits_to_bytes(codes.coded_bits(F.col("items"))).alias("content"))
-    back = packed.select("items", "content", codes.decoded(codes.bytes_to_bits(F.col("content")), F.transform("items", lambda i: i["theta"])).alias("got"))
+    back = packed.select("items", "content", codes.decoded(codes.runs_of(codes.bytes_to_bits(F.col("content"))), F.transform("items", lambda i: i["theta"])).alias("got"))
     for row in back.collect():
         assert row.got == [x.residual for x in row["items"]]
         ones = [x.residual + x.theta if x.residual > x.theta else -2 * x.residual - 1 if x.residual < 0 else 2 * x.residual for x in row["items"]]
@@ -85,7 +85,7 @@ def test_decoding_is_the_inverse(spark):
 
 @pytest.mark.parametrize(("bits", "thetas", "error"), [("11111111", [0], "cut short"), ("10100000", [0] * 8, "cut short"), ("1" * 32 + "0" * 8, [0], "too long"), ("0010" + "0000", [0, 0], "behind"), ("0" * 16, [0], "behind"), ("", [1], "cut short")])
 def test_bad_bits_are_errors(spark, bits, thetas, error):
-    rows = spark.createDataFrame([(bits, thetas)], "b string, t array<bigint>").select(codes.decoded(F.col("b"), F.col("t")))
+    rows = spark.createDataFrame([(bits, thetas)], "b string, t array<bigint>").select(codes.decoded(codes.runs_of(F.col("b")), F.col("t")))
     with pytest.raises(Exception, match=error):
         rows.collect()
 
