@@ -122,12 +122,12 @@ def rig_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings of rigs that have some of the keys, from suppliers."""
     k = F.col("s_suppkey")
     some = lambda n, text: F.when(k % n == 0, F.format_string(text, k))
-    keys = [some(2, '"hololink_ip": "10.0.0.%d"'), some(3, '"ibv_port": %d'), some(5, '"cuda_device": %d'), some(4, '"leading_lines": %d, "reset_board": false'), some(6, '"ibv_name": "roce%d", "require_da322": false')]
+    keys = [some(2, '"board_ip": "10.0.0.%d"'), some(3, '"ibv_port": %d'), some(5, '"cuda_device": %d'), some(4, '"leading_lines": %d, "reset_board": false'), some(6, '"ibv_name": "roce%d", "require_board": false')]
     keys += [F.when(k % 7 == 0, F.lit('"p22": {}')).when(k % 7 == 1, F.format_string('"p22": {"enabled": false, "expander_address": %d}', k))]
     camera = F.format_string('"cameras": [{"port": "J1", "test_pattern_select": %d}, {"port": "J2"}]', k % 9)
     json = F.concat(F.lit("{"), F.concat_ws(", ", *keys, camera), F.lit("}"))
     found = captures.rig_cameras(table(spark, sf_dir, "supplier").select(k.alias("config"), json.alias("json")))
-    return found.select("config", "camera", "hololink_ip", "ibv_name", "ibv_port", "cuda_device", "leading_lines", "require_da322", "reset_board", "p22_enabled", "p22_expander_address", "test_pattern_select")
+    return found.select("config", "camera", "board_ip", "ibv_name", "ibv_port", "cuda_device", "leading_lines", "board_required", "reset_board", "p22_enabled", "p22_expander_address", "test_pattern_select")
 
 
 QUERIES = {
@@ -225,9 +225,9 @@ SELECT camera, (timestamp_s - min(timestamp_s) OVER (PARTITION BY camera))::DOUB
 FROM frames""",
     "summary_file": TELEMETRY_SQL["verdict"].rpartition("SELECT * FROM verdict")[0] + "SELECT 'linux' AS receiver, sum(gbps) OVER () AS aggregate_gbps, bool_and(pass) OVER () AS all_pass, * FROM verdict",
     "rig_settings": """
-SELECT s_suppkey AS config, c AS camera, CASE WHEN k % 2 = 0 THEN '10.0.0.' || k ELSE '192.168.0.2' END AS hololink_ip, CASE WHEN k % 6 = 0 THEN 'roce' || k ELSE '' END AS ibv_name,
+SELECT s_suppkey AS config, c AS camera, CASE WHEN k % 2 = 0 THEN '10.0.0.' || k ELSE '192.168.0.2' END AS board_ip, CASE WHEN k % 6 = 0 THEN 'roce' || k ELSE '' END AS ibv_name,
        CASE WHEN k % 3 = 0 THEN k ELSE 1 END AS ibv_port, CASE WHEN k % 5 = 0 THEN k ELSE 0 END AS cuda_device, CASE WHEN k % 4 = 0 THEN k ELSE 0 END AS leading_lines,
-       k % 6 <> 0 AS require_da322, k % 4 <> 0 AS reset_board, k % 7 <> 1 AS p22_enabled,
+       k % 6 <> 0 AS board_required, k % 4 <> 0 AS reset_board, k % 7 <> 1 AS p22_enabled,
        CASE WHEN k % 7 = 1 THEN k ELSE 32 END AS p22_expander_address, CASE WHEN c = 0 THEN k % 9 ELSE 0 END AS test_pattern_select
 FROM (SELECT *, s_suppkey AS k FROM supplier), range(2) r(c)""",
 }

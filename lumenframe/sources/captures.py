@@ -98,18 +98,22 @@ def listed(path: Column, text: str | None = None, prefix: str | None = None, exa
 
 
 CAMERA = "port string, mode string, fps double, lanes int, exposure_ms double, gain_db double, test_pattern boolean, test_pattern_select int, lane_rate_mbps int, hmax int"
-RIG = f"hololink_ip string, receiver string, ibv_name string, ibv_port int, cuda_device int, lane_rate_limit_mbps int, leading_lines int, require_da322 boolean, reset_board boolean, report_interval_s double, p22 struct<enabled:boolean,expander_address:int>, cameras array<struct<{CAMERA.replace(' ', ':').replace(',:', ',')}>>"
+RIG = f"receiver string, ibv_name string, ibv_port int, cuda_device int, lane_rate_limit_mbps int, leading_lines int, reset_board boolean, report_interval_s double, p22 struct<enabled:boolean,expander_address:int>, cameras array<struct<{CAMERA.replace(' ', ':').replace(',:', ',')}>>"
 # What a camera and a rig have where their configuration says nothing.
 CAMERA_DEFAULTS = {"mode": "FULL_RAW12", "fps": 0.0, "lanes": 4, "exposure_ms": 10.0, "gain_db": 0.0, "test_pattern": False, "test_pattern_select": 0}
-RIG_DEFAULTS = {"hololink_ip": "192.168.0.2", "receiver": "roce", "ibv_name": "", "ibv_port": 1, "cuda_device": 0, "lane_rate_limit_mbps": 1500, "leading_lines": 0, "require_da322": True, "reset_board": True, "report_interval_s": 2.0}
+RIG_DEFAULTS = {"board_ip": "192.168.0.2", "receiver": "roce", "ibv_name": "", "ibv_port": 1, "cuda_device": 0, "lane_rate_limit_mbps": 1500, "leading_lines": 0, "board_required": True, "reset_board": True, "report_interval_s": 2.0}
+#: How the keys look that tell of the board, whatever its product is called: its address, and whether it must be there.
+BOARD_KEYS = {"board_ip": r"_ip$", "board_required": r"^require_"}
 # The same of the port expander.
 EXPANDER_DEFAULTS = {"enabled": True, "expander_address": 0x20}
 
 
 def rig_cameras(configs: DataFrame) -> DataFrame:
     """A row for each camera of the rigs (config, json), with defaults; a rig without cameras has one row, without a port."""
-    parsed = configs.select("config", F.from_json("json", RIG).alias("r"))
-    rig = [F.coalesce(F.col("r")[k], F.lit(v)).alias(k) for k, v in RIG_DEFAULTS.items()]
+    parsed = configs.select("config", F.from_json("json", RIG).alias("r"), F.from_json("json", "map<string,string>").alias("m"))
+    told = {k: F.expr(f"get(map_values(map_filter(m, (k, v) -> k RLIKE '{p}')), 0)") for k, p in BOARD_KEYS.items()}
+    board = {"board_ip": told["board_ip"], "board_required": told["board_required"].cast("boolean")}
+    rig = [F.coalesce(board[k] if k in board else F.col("r")[k], F.lit(v)).alias(k) for k, v in RIG_DEFAULTS.items()]
     rig += [F.coalesce(F.col("r.p22")[k], F.lit(v)).alias(f"p22_{k}") for k, v in EXPANDER_DEFAULTS.items()]
     cams = parsed.select("config", *rig, F.posexplode_outer("r.cameras").alias("camera", "c"))
     own = [F.coalesce(F.col("c")[k], F.lit(CAMERA_DEFAULTS[k])).alias(k) if k in CAMERA_DEFAULTS else F.col("c")[k].alias(k) for k in (x.split()[0] for x in CAMERA.split(", "))]

@@ -77,11 +77,11 @@ def test_the_summary_is_one_object(spark, tmp_path):
 
 
 def test_settings_that_are_not_told(spark):
-    rigs = [(1, '{"cameras": [{"port": "J1"}]}'), (2, '{"hololink_ip": "1.2.3.4", "p22": {"enabled": false}, "ibv_port": 2, "cameras": [{"port": "J2", "test_pattern_select": 3}]}')]
+    rigs = [(1, '{"cameras": [{"port": "J1"}]}'), (2, '{"board_ip": "1.2.3.4", "p22": {"enabled": false}, "ibv_port": 2, "cameras": [{"port": "J2", "test_pattern_select": 3}]}')]
     one, two = sorted(captures.rig_cameras(spark.createDataFrame(rigs, "config int, json string")).collect())
-    assert (one.hololink_ip, one.ibv_name, one.ibv_port, one.cuda_device, one.leading_lines, one.require_da322, one.reset_board) == ("192.168.0.2", "", 1, 0, 0, True, True)
+    assert (one.board_ip, one.ibv_name, one.ibv_port, one.cuda_device, one.leading_lines, one.board_required, one.reset_board) == ("192.168.0.2", "", 1, 0, 0, True, True)
     assert (one.p22_enabled, one.p22_expander_address, one.test_pattern_select) == (True, 32, 0)
-    assert (two.hololink_ip, two.ibv_port, two.p22_enabled, two.p22_expander_address, two.test_pattern_select) == ("1.2.3.4", 2, False, 32, 3)
+    assert (two.board_ip, two.ibv_port, two.p22_enabled, two.p22_expander_address, two.test_pattern_select) == ("1.2.3.4", 2, False, 32, 3)
 
 
 def test_threads_keep_their_tables(spark):
