@@ -57,7 +57,8 @@ PLACES = [(0, j, k) for j, k in combinations(range(1, SPAN), 2)]
 NOT_LETTER = regex.compile(r"[^\p{L}]+")
 #: Marks that end a sentence.
 ENDS = tuple(".!?…;:。！？")
-REMEMBERED = 300_000
+#: Bytes of tokens and words with values that a task remembers between slices, and those of one besides its characters, about.
+HELD_BYTES, TOKEN_BYTES = 96 << 20, 160
 #: Words whose strings are held at once.
 CHUNK = 4_096
 #: Highest sentences that a text's score looks at, and the value of a missing one and of a token without letters.
@@ -173,9 +174,10 @@ def folded(landmarks: list[str], alpha: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Reader:
-    """Values the sentences of slices of texts by ``value``, which tells the values of words, remembering tokens while there are few.
+    """Values the sentences of slices of texts by ``value``, which tells the values of words.
 
-    Only if ``named`` are the highest words and sentences told.
+    Tokens and words are remembered within HELD_BYTES; all are forgotten after a slice that goes beyond. Only if ``named``
+    are the highest words and sentences told.
     """
 
     def __init__(self, value: Callable[[list[str]], np.ndarray], named: bool = True):
@@ -185,6 +187,7 @@ class Reader:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.values: dict[str, float] = {}
+        self.bytes = 0
         self.held = [np.zeros(0), np.zeros(0, bool), np.zeros(0, bool)]  # value, whether it ends a sentence, whether it is one letter
 
     def learn(self, tokens: set[str]) -> None:
@@ -193,6 +196,7 @@ class Reader:
         words = list({p for parts in split for p in parts}.difference(self.values))
         if words:
             self.values.update(zip(words, self.value(words).tolist()))
+        self.bytes += sum(TOKEN_BYTES + 4 * len(x) for x in (*new, *words))
         value = np.array([max([MISSING, *[self.values[p] for p in parts]]) for parts in split])
         lone = [len(t) < 4 and sum(c.isalpha() for c in t) == 1 for t in new]
         for t in new:
@@ -200,13 +204,15 @@ class Reader:
         now = [value, np.array([t.endswith(ENDS) for t in new], bool), np.array(lone, bool)]
         self.held = [np.concatenate(x) for x in zip(self.held, now)]
 
+    def forget(self) -> None:
+        if self.bytes > HELD_BYTES:
+            self.clear()
+
     def read(self, texts: list[str]) -> list[tuple[float, str, str, list[float]]]:
         """For each text its highest value, the word and the sentence that have it, and the features.
 
         These are the highest values of sentences, and how many different words are positive, in all and for each word.
         """
-        if len(self.known) > REMEMBERED:
-            self.clear()
         split = [tokens_of(t) for t in texts]
         self.learn({t for tokens in split for t in tokens})
         flat = [t for tokens in split for t in tokens]
@@ -243,17 +249,17 @@ class Reader:
                 parts = parts_of(next((w for (x, _), w in spelled.items() if x == top), flat[top]))
                 word, sentence = max(parts, key=self.values.__getitem__, default=""), " ".join(flat[a:b])
             out[t] = high[0], word, sentence, [*(high + [MISSING] * HIGHEST)[:HIGHEST], math.log1p(hits[t]), math.log1p(100 * hits[t] / words[t])]
+        self.forget()
         return out
 
-
     def above(self, texts: list[str], least: float) -> dict[str, float]:
         """The words of the texts' sentences that are above ``least``, with their values."""
-        if len(self.known) > REMEMBERED:
-            self.clear()
         tokens = {t for text in texts for t in tokens_of(text)}
         self.learn(tokens)
         words = {w for t in tokens if self.held[0][self.known[t]] > least for w in parts_of(t)}
-        return {w: self.values[w] for w in sorted(words) if self.values[w] > least}
+        found = {w: self.values[w] for w in sorted(words) if self.values[w] > least}
+        self.forget()
+        return found
 
 
 def spelled_out(tokens: list[str], lone: np.ndarray, begins: np.ndarray) -> dict[tuple[int, int], str]:

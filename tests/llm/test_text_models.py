@@ -286,6 +286,22 @@ def test_sentences_are_read_as_by_brute_force():
         assert not word or value([word])[0] == pytest.approx(top) and word in toxicity.words_of(told)
 
 
+def test_memory_of_words_is_bounded_by_bytes(monkeypatch):
+    value = lambda words: np.array([len(w) / 50 - 0.3 for w in words])
+    letters = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
+    texts = [f"short {letters(i)} words. " + (letters(i) * 2000) * (i % 40 == 0) for i in range(120)]
+    want = [toxicity.Reader(value).read([t])[0] for t in texts]
+    monkeypatch.setattr(toxicity, "HELD_BYTES", 20_000)
+    reader, most = toxicity.Reader(value), 0
+    for text, one in zip(texts, want):
+        assert reader.read([text])[0] == one
+        assert reader.above([text], 0.0) == {w: v for w, v in toxicity.Reader(value).above([text], 0.0).items()}
+        held = sum(toxicity.TOKEN_BYTES + 4 * len(x) for x in (*reader.known, *reader.values))
+        assert held == reader.bytes <= 20_000
+        most = max(most, held)
+    assert most > 10_000
+
+
 def test_scores_by_brute_force(spark):
     """The whole result of a small model, word by word."""
     rows = [r for r in awkward() if len(r[1] or "") < 3000] + [row(50, "You utter nitwit. Go away!"), row(51, "a n i t w i t")]
