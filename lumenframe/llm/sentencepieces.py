@@ -38,8 +38,10 @@ UNIGRAM, MERGES = 1, 2
 #: Numbers of tokens that aren't pieces: the start of a word, and characters outside the vocabulary.
 START, UNKNOWN_FROM = (1 << 24) - 1, 1 << 20
 WORD = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Words and pairs of pieces that a task remembers between slices.
-REMEMBERED = 400_000
+#: Pairs of pieces that a task remembers between slices, and bytes of words with their ids; longer words aren't remembered.
+REMEMBERED, HELD_BYTES, LONGEST = 400_000, 96 << 20, 64
+#: Bytes that a remembered word takes besides its characters and ids, about.
+WORD_BYTES = 240
 
 
 class NoPath(Exception):
@@ -187,20 +189,32 @@ def marked_words(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes slices of texts, remembering the words of earlier ones while there are few."""
+    """Encodes slices of texts, remembering the words of earlier ones within HELD_BYTES.
+
+    Words longer than LONGEST seldom come again and are forgotten with their slice.
+    """
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.known, self.words = pieces, {}, []
+        self.pieces, self.known, self.words, self.held = pieces, {}, [], 0
+
+    def forget(self, long: list[str]) -> None:
+        """Forgets the last words of all, which are the slice's long ones, and everything once that is too much."""
+        for word in long:
+            del self.known[word]
+        del self.words[len(self.words) - len(long) :]
+        if self.held > HELD_BYTES:
+            self.known, self.words, self.held = {}, [], 0
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's begin with the end last."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.words = {}, []
         split = [marked_words(t) for t in texts]
         fresh = sorted({w for words in split for w in words}.difference(self.known))
-        for word, ids in zip(fresh, self.pieces.segment(fresh)):
+        found = sorted(zip(fresh, self.pieces.segment(fresh)), key=lambda x: len(x[0]) > LONGEST)
+        for word, ids in found:
             self.known[word] = len(self.words)
             self.words.append(ids)
+        long = [w for w, _ in found if len(w) > LONGEST]
+        self.held += sum(WORD_BYTES + 4 * len(w) + 8 * len(ids) for w, ids in found[: len(found) - len(long)])
         at = np.fromiter((self.known[w] for words in split for w in words), np.int64)
         used, at = np.unique(at, return_inverse=True)
         used = used.tolist()
@@ -209,6 +223,7 @@ class Encoder:
         each = sizes[at]
         ids = flat[ragged((np.cumsum(sizes) - sizes)[at], each)]
         words = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
+        self.forget(long)
         return ids, np.concatenate([[0], np.cumsum(each)])[words]
 
 

@@ -81,11 +81,28 @@ def test_forgetting_changes_nothing(monkeypatch):
     texts = ["the cat sat on the mat", "the cats sit", "a mat"] * 3
     want = coded("merges", texts)
     monkeypatch.setattr(sentencepieces, "REMEMBERED", 2)
+    monkeypatch.setattr(sentencepieces, "HELD_BYTES", 600)
+    monkeypatch.setattr(sentencepieces, "LONGEST", 3)
     encoder = sentencepieces.Encoder(sentencepieces.Pieces(MODEL))
     got = [encoder.encode([t])[0].tolist() for t in texts]
     assert got == want
 
 
+def test_memory_of_words_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "HELD_BYTES", 100_000)
+    encoder, most = sentencepieces.Encoder(PIECES["merges"]), 0
+    for i in range(60):
+        some = [f"w{i}x{j}" for j in range(10)]
+        long = f"{i}" + "ab" * 5000
+        ids, starts = encoder.encode([long, " ".join(some)])
+        assert encoder.pieces.decode(ids, starts) == [long, " ".join(some)]
+        assert max(map(len, encoder.known), default=0) <= sentencepieces.LONGEST
+        assert sorted(encoder.known.values()) == list(range(len(encoder.words)))
+        most = max(most, sum(4 * len(w) + 8 * len(encoder.words[at]) + sentencepieces.WORD_BYTES for w, at in encoder.known.items()))
+        assert encoder.held <= 100_000
+    assert 50_000 < most <= 100_000
+
+
 def test_awkward_rows(spark):
     rows = awkward()
     got = sentencepieces.encode(frame(spark, rows), decoded=True)
