@@ -1,14 +1,17 @@
 """Exact dedup by an extendible-hash index on shared files. DataFrame functions only.
 
-Every text gets a 64-bit key. Copies collapse before the shuffle (partial aggregation on key and text, so texts are
-compared byte by byte), and an entry is left for each distinct text. The directory starts with one slot and doubles
-while a bucket is overfull; a bucket that isn't keeps several slots. A bucket is thus a range of keys. Its owner task
-lays the range's entries into the bucket's folder of the shared files and chains different texts with one key. Rows find
-their text through the directory: the leading bits of the key name the slot, the slot the bucket, and within the bucket
-the key its chain and the SHA-256 the link.
+Every text gets a 64-bit key. The directory is made from the keys alone: it starts with one slot and doubles while a
+bucket is overfull; a bucket that isn't keeps several slots. A bucket is thus a range of keys. Rows go through the
+directory to the task that owns their bucket: the leading bits of the key name the slot, the slot the bucket. The owner
+compares the bytes of texts whose keys meet, chains different texts with one key, and lays one entry for each text into
+the bucket's folder of the shared files. Rows of a key that at least one row in HOT_SHARE has don't go to the owner one by
+one: each task collapses its own, compared by bytes too, and sends what is left. In the end every row is answered from
+the entry that bucket, key and the SHA-256 of its link name. drop_copies() has the owners answer with the row that stays,
+so whole rows move once.
 
 Defined cases: a null text counts as empty; without rows the result is empty; rows that repeat both doc_id and text are
-copies of which one is kept; a null doc_id is smaller than any other; other columns are ignored, whatever their names.
+copies of which one is kept; a null doc_id is smaller than any other; doc_id is a whole number, or a text of one; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ from pyspark.sql import functions as F
 
 from lumenframe.storage import stored
 
-#: Entries that a bucket may hold before it splits. More, if there would be more than about MOST_BUCKETS of them.
-CAPACITY, MOST_BUCKETS = 512, 16_384
+#: Keys that a bucket may hold before it splits. More, if there would be more than about MOST_BUCKETS of them.
+CAPACITY, MOST_BUCKETS = 512, 65_536
 #: Bits of the key by which one pass over the entries may double the directory; what is still overfull takes another.
 STEP, BITS = 16, 64
-#: A text with at least one row in HOT_SHARE has its entry broadcast; there are HOT_SHARE such texts at most.
-HOT_SHARE = 2_000
+#: A key or text with at least HOT_ROWS rows and one row in HOT_SHARE is hot; there are HOT_SHARE of them at most.
+HOT_ROWS, HOT_SHARE = 100, 2_000
 
 
 def text_key(text: Column) -> Column:
@@ -52,12 +55,21 @@ class Level:
     bits: int
 
 
+@dataclass
+class Directory:
+    """The way from a key to its bucket, and the hot keys."""
+
+    levels: list[Level]
+    hot: DataFrame
+
+
 @dataclass
 class Index:
-    """bucket, key, link, links, sha, keep_id and group_size of each distinct text, and the directory to its buckets."""
+    """bucket, key, link, links, sha, keep_id and group_size of each distinct text, the directory's levels, and doc_id, key and sha of each row."""
 
     entries: DataFrame
     levels: list[Level]
+    rows: DataFrame
 
 
 def directory(keys: DataFrame, capacity: int = CAPACITY) -> list[Level]:
@@ -97,34 +109,56 @@ def located(rows: DataFrame, levels: list[Level]) -> DataFrame:
     return rows
 
 
+def build_directory(keys: DataFrame, capacity: int = CAPACITY) -> Directory:
+    """The directory of the rows' keys. They are counted first, by partial aggregation; texts aren't moved."""
+    counts = stored(keys.groupBy("key").agg(F.count("*").alias("rows")), "keys")
+    kinds, rows = counts.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    hot = stored(counts.where(F.col("rows") >= least_hot(rows)).select("key"), "hot")
+    return Directory(directory(counts, max(capacity, kinds // MOST_BUCKETS + 1)), hot)
+
+
+def least_hot(rows: int) -> int:
+    return max(HOT_ROWS, rows // HOT_SHARE + 1)
+
+
+def answered(rows: DataFrame, place: Directory, *answers: Column) -> DataFrame:
+    """bucket, key, text and the answers over all rows of each text, worked out by the tasks that own the buckets.
+
+    A task gets whole buckets and groups their rows by key and bytes. Rows of hot keys are grouped where they are read,
+    and one for each task and text is sent on.
+    """
+    rows, same = located(rows, place.levels), ["bucket", "key", "text"]
+    hot = F.broadcast(place.hot)
+    cold = rows.join(hot, "key", "left_anti").repartition("bucket").groupBy(*same).agg(*answers)
+    return cold if place.hot.isEmpty() else cold.unionByName(rows.join(hot, "key", "left_semi").groupBy(*same).agg(*answers))
+
+
 def build_index(docs: DataFrame, hasher: Callable[[Column], Column] = text_key, capacity: int = CAPACITY) -> Index:
     """The index of a table's texts, a folder of the shared files for each bucket.
 
-    ``links`` is the length of a key's chain and ``link`` an entry's place in it, from 0. Partial aggregation leaves a
-    copy of a text for each task, so a text that a third of the rows share is shuffled once a task. The keep_id of a
-    text is the largest doc_id of its rows.
+    ``links`` is the length of a key's chain and ``link`` an entry's place in it, from 0. The keep_id of a text is the
+    largest doc_id of its rows.
     """
-    rows = keyed(docs, hasher).groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = stored(rows.select("key", F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size"), "entries")
-    levels = directory(entries, max(capacity, entries.count() // MOST_BUCKETS + 1))
-    owned = located(entries, levels).repartition("bucket")  # a task owns whole buckets
+    texts, sha = keyed(docs, hasher), F.unhex(F.sha2("text", 256)).alias("sha")
+    rows = stored(texts.select("doc_id", "key", sha), "rows")
+    place = build_directory(rows, capacity)
+    entries = answered(texts, place, F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    owned = entries.select("bucket", "key", sha, "keep_id", "group_size").repartition("bucket")
     chain = Window.partitionBy("bucket", "key")
     chained = owned.withColumn("links", F.count("*").over(chain)).withColumn("link", F.row_number().over(chain.orderBy("sha")) - 1)
-    return Index(stored(chained, "index", ("bucket",)), levels)
+    return Index(stored(chained, "index", ("bucket",)), place.levels, rows)
 
 
-def probed(docs: DataFrame, index: Index, hasher: Callable[[Column], Column] = text_key) -> DataFrame:
+def probed(index: Index) -> DataFrame:
     """doc_id, keep_id, group_size and sha of every row, which finds its text's entry in the bucket of its key.
 
     The entries of the most frequent texts are broadcast, so that no task gets all rows of a text.
     """
-    rows = index.entries.agg(F.sum("group_size")).first()[0] or 0
-    least = max(100, rows // HOT_SHARE + 1)
+    least = least_hot(index.entries.agg(F.sum("group_size")).first()[0] or 0)
     entry = F.struct("keep_id", "group_size")
     hot = index.entries.where(F.col("group_size") >= least).select("bucket", "key", "sha", entry.alias("hot"))
     cold = index.entries.where(F.col("group_size") < least).select("bucket", "key", "sha", entry.alias("cold"), F.lit(False).alias("found"))
-    texts = keyed(docs, hasher).select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha"))
-    probe = located(texts, index.levels).join(F.broadcast(hot), ["bucket", "key", "sha"], "left").withColumn("found", F.col("hot").isNotNull())
+    probe = located(index.rows, index.levels).join(F.broadcast(hot), ["bucket", "key", "sha"], "left").withColumn("found", F.col("hot").isNotNull())
     probe = probe.withColumn("key", F.when(F.col("found"), F.xxhash64("doc_id", "key")).otherwise(F.col("key")))
     met = probe.join(cold, ["bucket", "key", "sha", "found"], "left").withColumn("entry", F.coalesce("hot", "cold"))
     return met.select("doc_id", "entry.keep_id", "entry.group_size", "sha")
@@ -132,35 +166,24 @@ def probed(docs: DataFrame, index: Index, hasher: Callable[[Column], Column] = t
 
 def exact_groups(docs: DataFrame, hasher: Callable[[Column], Column] = text_key, capacity: int = CAPACITY) -> DataFrame:
     """For every row its doc_id, keep_id, group_size, kept and text_sha256."""
-    found = probed(docs, build_index(docs, hasher, capacity), hasher)
+    found = probed(build_index(docs, hasher, capacity))
     same = found.groupBy("doc_id", "keep_id", "group_size", "sha").agg(F.count("*").alias("times"))
     each = same.select("doc_id", "keep_id", "group_size", F.lower(F.hex("sha")).alias("text_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("time") == 1)
     return each.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
+def drop_copies(docs: DataFrame, hasher: Callable[[Column], Column] = text_key, capacity: int = CAPACITY) -> DataFrame:
     """The documents of which exact_groups() keeps the row, with all their columns.
 
-    Every row is looked up in the index, and stays if it has the keep_id of its text. Of rows that also share the
-    doc_id one stays, the largest by its other columns.
+    The owners of the buckets answer with the row that has the largest doc_id of its text; of rows that share both, the
+    largest by its other columns.
     """
-    index = build_index(docs)
-    winners = index.entries.select("bucket", "key", "sha", "keep_id")
-    same = ["bucket", "key", "sha", "keep_id"]
-    ids = keyed(docs).select(F.col("doc_id").alias("keep_id"), "key", F.unhex(F.sha2("text", 256)).alias("sha"))
-    repeats = located(ids, index.levels).groupBy(*same).agg(F.count("*").alias("times")).where("times > 1")
-
-    def on(a: str, b: str) -> list[Column]:
-        return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in same]
-
-    tied = stored(repeats.alias("r").join(winners.alias("w"), on("r", "w"), "left_semi"), "tied")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    held = docs.select(row, F.col("doc_id").cast("long").alias("keep_id"), text_key(text).alias("key"), F.unhex(F.sha2(text, 256)).alias("sha"))
-    kept = located(held, index.levels).alias("h").join(winners.alias("w"), on("h", "w"), "left_semi")
-    if not tied.isEmpty():
-        order = F.to_json(F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != "text"], F.col("row.text").isNotNull().alias("has_text")))
-        one = kept.join(tied.alias("t"), on("h", "t"), "left_semi").groupBy("bucket", "key", "sha").agg(F.max_by("row", order).alias("row"))
-        kept = kept.join(tied.alias("t"), on("h", "t"), "left_anti").select("row").unionByName(one.select("row"))
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    text, there = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("text").isNotNull()
+    rest = [c for c in docs.columns if c != "text"]
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest], there.alias("has_text")))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], there.alias("there"))
+    rows = docs.select(hasher(text).alias("key"), text.alias("text"), row.alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), others.alias("others")).alias("order"))
+    kept = answered(rows, build_directory(rows.select("key"), capacity), F.max_by("row", "order").alias("row"))
+    back = {c: F.col(f"row.c{i}") for i, c in enumerate(rest)} | {"text": F.when(F.col("row.there"), F.col("text")).cast(docs.schema["text"].dataType)}
+    return kept.select(*[back[c].alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 """Exact dedup and sharding against brute force."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -54,13 +55,41 @@ def test_rows_are_found_through_the_directory(spark):
     docs = frame(spark, [row(i, f"text {i}") for i in range(200)])
     index = exact_dedup.build_index(docs, capacity=20)
     assert index.entries.select("bucket").distinct().count() > 4
-    assert exact_dedup.probed(docs, index).where("keep_id = doc_id").count() == 200
+    assert exact_dedup.probed(index).where("keep_id = doc_id").count() == 200
     (level,) = index.levels
     wrong = exact_dedup.Level(level.slots.withColumn("slot", 2**level.bits - 1 - F.col("slot")), level.first, level.bits)
-    assert exact_dedup.probed(docs, exact_dedup.Index(index.entries, [wrong])).where("keep_id IS NOT NULL").count() == 0
-
-
-def test_stage_keeps_one_whole_row_of_each_text(spark):
+    assert exact_dedup.probed(exact_dedup.Index(index.entries, [wrong], index.rows)).where("keep_id IS NOT NULL").count() == 0
+
+
+def test_rows_move_only_through_the_directory(spark):
+    """Texts aren't dealt by anything but their bucket, except hot keys' rows, and no Python runs."""
+    docs = frame(spark, [row(i, f"text {i % 900}") for i in range(1000)] + [row(2000 + i, "often") for i in range(300)])
+    rows = exact_dedup.keyed(docs)
+    place = exact_dedup.build_directory(rows, 50)
+    assert [r.key for r in place.hot.collect()] == [rows.where("text = 'often'").first().key]
+    plan = exact_dedup.answered(rows, place, F.count("*").alias("n"))._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert [re.findall(r"(\w+)#", d) for d in dealt] == [["bucket"], ["bucket", "key", "text"]]
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_colliding_keys_are_told_apart_by_bytes(spark):
+    """Keys of 5 bits: chains of many texts in buckets that split at least twice."""
+    texts = [f"text {i % 200}" for i in range(600)]
+    hasher = lambda t: F.shiftleft(F.pmod(F.xxhash64(t), F.lit(32)), 59)
+    docs = frame(spark, [row(i, t) for i, t in enumerate(texts)])
+    index = exact_dedup.build_index(docs, hasher, 2)
+    assert index.levels[0].bits >= 4 and index.entries.select("bucket").distinct().count() > 8
+    chains = index.entries.groupBy("bucket", "key").agg(F.count("*").alias("n"), F.min("links").alias("low"), F.max("links").alias("high"), F.max("link").alias("last")).collect()
+    assert max(r.n for r in chains) > 2 and all(r.n == r.low == r.high == r.last + 1 for r in chains)
+    want = {i: (max(j for j in range(600) if texts[j] == t), texts.count(t)) for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs, hasher, 2).collect()} == want
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(docs, hasher, 2).collect()) == sorted({k for k, _ in want.values()})
+
+
+@pytest.mark.parametrize("hot", [1, 100])
+def test_stage_keeps_one_whole_row_of_each_text(spark, hot, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot)
     rows = awkward()
     docs = frame(spark, rows)
     got = exact_dedup.drop_copies(docs)
