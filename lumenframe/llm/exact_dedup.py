@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from lumenframe.storage import stored
 
-#: Keys that a bucket may hold before it splits. More, if there would be more than about MOST_BUCKETS of them.
-CAPACITY, MOST_BUCKETS = 512, 65_536
+#: Keys that a bucket may hold before it splits. More, if there would be more than about MOST_BUCKETS of them, so that one
+#: level of STEP bits holds the directory, 65,536 slots at most; deeper levels are for keys that begin alike.
+CAPACITY, MOST_BUCKETS = 512, 32_768
 #: Bits of the key by which one pass over the entries may double the directory; what is still overfull takes another.
 STEP, BITS = 16, 64
 #: A key or text with at least HOT_ROWS rows and one row in HOT_SHARE is hot; there are HOT_SHARE of them at most.
