@@ -14,11 +14,16 @@ links is lost.
 An order is cut into ranges of rows, so hot regions spread over tasks. Windows, names and cuts bound what the orders show,
 not what is found: a class whose window or list of names was full, or whose region a cut runs through, is noted with its
 region (the rows of a tree that share LEAST_DEPTH values). After the rounds the noted classes of each region that lie in
-different components are compared in blocks, all with all, and confirmed on full sets. So every pair that shares LEAST_DEPTH
-values in some tree and whose sketches could reach the similarity is linked if its sets reach it, however dense the region.
+different components are compared in blocks, all with all, and confirmed on full sets. In a crowded region, where a class
+would meet more than CROWD others, that would grow with the square of its classes. There a class meets only those that
+share one of its rarest shingles with it, of which similar sets must share one: where a fifth of a text's shingles is its
+own, what a template gives all texts is not among its rarest, so these groups stay small while the region grows. Classes
+with less of their own share even their rarest shingles with a crowd; those are compared in blocks after all, among
+themselves. So every pair that shares LEAST_DEPTH values in some tree and whose sketches could reach the similarity is
+linked if its sets reach it, however dense the region.
 
-What no tree and no sketch shows can still be missed. With ``exact`` it is found too: a set's rarest shingles, of which
-similar sets must share one, are regions as well, and their classes are compared in blocks on full sets without a sketch.
+What no tree and no sketch shows can still be missed. With ``exact`` it is found too: all classes meet by their rarest
+shingles, and are compared in blocks on full sets without a sketch.
 
 Defined cases: null texts and texts without words have an empty set and no links; a text with fewer words than a
 shingle is one shingle; equal sets are linked whatever the ids; a null doc_id takes part but is never a component's id
@@ -50,6 +55,8 @@ NAMED, NAMED_BY_HALF, HALF_SKETCHES = 6, 1, 2
 GROWTH = 16
 #: Classes of a region that are compared with as many others in one task.
 BLOCK = 512
+#: Classes of other components that a class may meet in a region, on average, before its classes meet by rare shingles instead.
+CROWD = 8 * BLOCK
 #: Shingles of two blocks that are counted at once.
 COLUMNS = 8_192
 
@@ -267,25 +274,35 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("root_a <> root_b").select("a", "b", "place")
 
 
-def between_blocks(rows: DataFrame, noted: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(region, x, y, block, set_key, root, n_shingles, heads, sketch): noted classes, dealt to the pairs x, y of blocks to compare.
+def with_roots(noted: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The noted classes with their components, the classes of each component in each region, and the regions to compare.
 
-    A region whose noted classes are of one component has no blocks. A component with more than BLOCK classes in a
-    region has blocks of its own there, which aren't compared with each other.
+    A region whose noted classes are of one component isn't to be compared. ``others`` is how many classes of other
+    components a class has in its region, on average.
     """
-    heads = F.concat(*[F.substring("orders", 2 * DEPTH * t + 1, 2 * LEAST_DEPTH) for t in range(TREES)])
-    met = noted.join(rows.select("set_key", "n_shingles", heads.alias("heads"), "sketch"), "set_key")
     if roots is not None:
-        met = met.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+        met = noted.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     else:
-        met = met.withColumn("root", F.col("set_key"))
-    met = stored(met, "noted")
+        met = noted.withColumn("root", F.col("set_key"))
+    met = stored(met.select("set_key", "region", "root"), "noted")
     per = stored(met.groupBy("region", "root").agg(F.count("*").alias("rows")), "noted-roots")
     mixed = F.sum(F.when(F.col("rows") <= BLOCK, F.col("rows")).otherwise(0)).alias("mixed")
-    regions = stored(per.groupBy("region").agg(F.count("*").alias("roots"), F.sum("rows").alias("members"), mixed).where("roots > 1"), "regions")
+    others = (F.sum("rows") - F.sum(F.col("rows").cast("double") ** 2) / F.sum("rows")).alias("others")
+    regions = per.groupBy("region").agg(F.count("*").alias("roots"), F.sum("rows").alias("members"), mixed, others)
+    return met, per, stored(regions.where("roots > 1"), "regions")
+
+
+def between_blocks(rows: DataFrame, met: DataFrame, per: DataFrame, regions: DataFrame) -> DataFrame:
+    """(region, x, y, block, set_key, root, n_shingles, heads, sketch): noted classes, dealt to the pairs x, y of blocks to compare.
+
+    ``met``, ``per`` and ``regions`` are with_roots()'. A component with more than BLOCK classes in a region has blocks of
+    its own there, which aren't compared with each other.
+    """
+    heads = F.concat(*[F.substring("orders", 2 * DEPTH * t + 1, 2 * LEAST_DEPTH) for t in range(TREES)])
     large = per.where(F.col("rows") > BLOCK).select("region", "root", F.col("rows").alias("own"))
     placed = left_join_hot(met, regions.select("region", "members", "mixed"), "region", "members").where("members IS NOT NULL")
     placed = placed.join(F.broadcast(large) if large.count() <= FEW_IDS else large, ["region", "root"], "left")
+    placed = placed.join(rows.select("set_key", "n_shingles", heads.alias("heads"), "sketch"), "set_key")
     pure = F.when(F.col("own").isNotNull(), F.hex("root")).otherwise("")
     place = F.pmod(F.xxhash64("set_key"), F.ceil(F.coalesce("own", "mixed") / BLOCK))
     placed = stored(placed.select("region", pure.alias("pure"), F.concat_ws("-", pure, place).alias("block"), "set_key", "root", "n_shingles", "heads", "sketch"), "placed")
@@ -329,20 +346,26 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
 
 
 def rare_shingles(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(set_key, region) of the classes and their rarest shingles: so many that sets that reach the similarity share one."""
+    """(set_key, region) of the classes and their rarest shingles: so many that sets that reach the similarity share one.
+
+    Shingles that the same classes have among their rarest are one region.
+    """
     each = stored(class_sets(docs, classes, shingle).select("set_key", F.size("set").alias("n"), F.explode("set").alias("g")), "shingles")
     often = stored(each.groupBy("g").agg(F.count("*").alias("sets")), "often")
     rank = F.row_number().over(Window.partitionBy("set_key").orderBy("sets", "g"))
     met = left_join_hot(each, often, "g", "sets").withColumn("rank", rank)
     first = met.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("sets") > 1))
-    return first.select("set_key", F.unhex(F.lpad(F.hex("g"), 16, "0")).alias("region"))
+    first = stored(first.select("set_key", "g"), "rarest")
+    digest = F.concat(*[F.lpad(F.hex(F.bit_xor(F.xxhash64("set_key", F.lit(salt)))), 16, "0") for salt in (0, 1)])
+    same = stored(first.groupBy("g").agg(F.count("*").alias("held"), F.unhex(digest).alias("region")).where("held > 1"), "same-classes")
+    return left_join_hot(first, same, "g", "held").where("region IS NOT NULL").select("set_key", "region").distinct()
 
 
-def links_in_regions(docs: DataFrame, classes: DataFrame, noted: DataFrame, roots: DataFrame | None, shingle: int, percent: int, sketched: bool = True) -> DataFrame:
+def links_in_regions(docs: DataFrame, classes: DataFrame, met: DataFrame, per: DataFrame, regions: DataFrame, shingle: int, percent: int, trees: bool = True, sketched: bool = True) -> DataFrame:
     """(u, v): links that join the components of classes noted in one region, enough of them to connect all that pairs link.
 
-    A pair is compared in the first tree in which it shares a region; if it wasn't noted there, the order showed it. Without
-    ``sketched``, regions aren't of trees, and all pairs within one are compared on full sets.
+    With ``trees``, regions are of trees, and a pair is looked at in the first tree in which it shares a region; if it wasn't
+    noted there, the order showed it. Without ``sketched``, all pairs within a region are compared on full sets.
     """
     least, cell = least_shared(percent), ("region", "x", "y")
     kept = ("block", "set_key", "root", "n_shingles")
@@ -350,10 +373,10 @@ def links_in_regions(docs: DataFrame, classes: DataFrame, noted: DataFrame, root
     def screen(key: tuple, table: pa.Table) -> pa.Table:
         if not sketched:
             return table.select([*cell, *kept])
-        tree, (left, right) = key[0].as_py()[0], sides_of(table, key[1].as_py(), key[2].as_py())
+        left, right = sides_of(table, key[1].as_py(), key[2].as_py())
         open_pairs = apart(table, left, right, percent)
         heads = np.frombuffer(b"".join(table.column("heads").to_pylist()), np.dtype(f"V{2 * LEAST_DEPTH}")).reshape(-1, TREES)
-        for t in range(tree):
+        for t in range(key[0].as_py()[0] if trees else 0):
             open_pairs &= heads[left, t][:, None] != heads[right, t][None]
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)
         wanted = np.zeros(table.num_rows, bool)
@@ -386,7 +409,7 @@ def links_in_regions(docs: DataFrame, classes: DataFrame, noted: DataFrame, root
                     v.append(names[b])
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
-    dealt = between_blocks(classes, noted, roots)
+    dealt = between_blocks(classes, met, per, regions)
     schema = "region binary, x string, y string, block string, set_key binary, root binary, n_shingles long"
     wanted = stored(dealt.groupBy(*cell).applyInArrow(screen, schema), "block-pairs")
     ends = stored(classes.select("set_key", "doc_id", "text_key").join(wanted.select("set_key").distinct(), "set_key", "left_semi"), "ends")
@@ -419,11 +442,27 @@ def forest_roots(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
             rest = stored(between(rest, roots), "pairs")
         roots = joined(stored(linked(rest.where(F.col("place") <= most), sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links"))
         rest, most = rest.where(F.col("place") > most), GROWTH * most
+    def rare(some: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return with_roots(rare_shingles(docs, some.select("set_key", "doc_id", "text_key"), shingle, percent), roots)
+
+    def links(*noted: DataFrame, trees: bool = True, sketched: bool = True) -> DataFrame:
+        return stored(links_in_regions(docs, classes, *noted, shingle, percent, trees, sketched), "links")
+
+    def members(met: DataFrame, regions: DataFrame) -> DataFrame:
+        return left_join_hot(met, regions.select("region", "members"), "region", "members").where("members IS NOT NULL").select("set_key", "region")
+
     if not noted.isEmpty():
-        roots = joined(stored(links_in_regions(docs, classes, noted, roots, shingle, percent), "links"))
+        met, per, regions = with_roots(noted, roots)
+        crowded = F.col("others") > CROWD
+        roots = joined(links(met, per, regions.where(~crowded)))
+        if not regions.where(crowded).isEmpty():
+            dense = stored(members(met, regions.where(crowded)), "crowded")
+            met, per, regions = rare(classes.join(dense.select("set_key").distinct(), "set_key", "left_semi"))
+            roots = joined(links(met, per, regions.where(~crowded), trees=False))
+            left = members(met, regions.where(crowded)).select("set_key").distinct()
+            roots = joined(links(*with_roots(dense.join(left, "set_key", "left_semi"), roots)))
     if exact:
-        rare = stored(rare_shingles(docs, classes.select("set_key", "doc_id", "text_key"), shingle, percent), "rare")
-        roots = joined(stored(links_in_regions(docs, classes, rare, roots, shingle, percent, sketched=False), "links"))
+        roots = joined(links(*rare(classes), trees=False, sketched=False))
     return docs.sparkSession.createDataFrame([], "node binary, root binary") if roots is None else roots
 
 

@@ -8,6 +8,7 @@ import pytest
 from cases import awkward, frame, row, sentence
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lumenframe.llm import components, near_dedup, queries
 from lumenframe.llm.text import hashed_words
@@ -78,21 +79,26 @@ def test_one_large_group(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
-def dense(n):
-    """Texts around one template that are too far apart to be linked, and for every fourth one a near copy of its own."""
+def dense(n, own=14):
+    """Texts around one template that are too far apart to be linked, and for every fourth one a near copy of its own.
+
+    Of 150 words, ``own`` are a text's own.
+    """
     base, out = sentence(1, 150).split(), []
     for k in range(n):
-        words = [f"z{k}{i}" if (i + 11 * k) % 150 < 14 else w for i, w in enumerate(base)]
+        words = [f"z{k}{i}" if (i + 11 * k) % 150 < own else w for i, w in enumerate(base)]
         out.append(" ".join(words))
         if k % 4 == 0:
             out.append(" ".join(f"q{k}{i}" if i in ((7 * k) % 150, (7 * k + 40) % 150) else w for i, w in enumerate(words)))
     return out
 
 
-def test_full_windows_and_lists_lose_no_link(spark, monkeypatch):
-    """Named pairs are taken away, so that all links have to come from the regions noted as full."""
+@pytest.mark.parametrize("crowd", [4096, 4])
+def test_full_windows_and_lists_lose_no_link(spark, monkeypatch, crowd):
+    """Named pairs are taken away, so that all links have to come from the regions noted as full, crowded ones included."""
     named = near_dedup.named_pairs
     monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
     monkeypatch.setattr(near_dedup, "named_pairs", lambda rows, percent: named(rows, percent).where("b IS NULL"))
     rows = [row(i, t) for i, t in enumerate(dense(60))]
     got = near_dedup.near_groups(frame(spark, rows), 2).collect()
@@ -100,6 +106,33 @@ def test_full_windows_and_lists_lose_no_link(spark, monkeypatch):
     assert not all(r.kept for r in got)
 
 
+def in_one_region(rows, percent):
+    """named_pairs() of a forest that shows no pair and notes all classes in one region of the first tree."""
+    region = F.unhex(F.lit("00" * (1 + 2 * near_dedup.LEAST_DEPTH))).alias("region")
+    return rows.select(F.col("set_key").alias("a"), F.lit(None).cast("binary").alias("b"), region, F.lit(None).cast("int").alias("shared")).distinct()
+
+
+def test_crowded_regions_send_no_more_than_linearly_many_rows(spark, monkeypatch):
+    """Rows sent to block comparisons, with texts of which more than a fifth is their own, and with twice as many."""
+    blocks, sent = near_dedup.between_blocks, []
+
+    def counted(*args):
+        out = blocks(*args)
+        sent[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "CROWD", 8)
+    monkeypatch.setattr(near_dedup, "named_pairs", in_one_region)
+    monkeypatch.setattr(near_dedup, "between_blocks", counted)
+    for n in (60, 120):
+        sent.append(0)
+        rows = [row(i, t) for i, t in enumerate(dense(n, 45))]
+        got = near_dedup.near_groups(frame(spark, rows), 2).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 2)
+    assert 0 < sent[1] < 2.5 * sent[0]
+
+
 def test_exact_links_without_the_forest(spark, monkeypatch):
     """Neither named pairs nor noted classes come from the forest, so that all links have to come from rare shingles."""
     named = near_dedup.named_pairs
