@@ -2,12 +2,14 @@
 
 Pictures have picture, width and height. A precinct takes ``columns`` groups of eight columns of the coarsest band (all if
 0) and the lines of one cell of the coarsest level. Everything is generated from the few bands of a setting, row by row, so
-pictures spread over tasks and nothing is sorted but the packets of one precinct.
+pictures spread over tasks and nothing is sorted or gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Coefficients in a code group, and code groups in a significance group.
@@ -28,15 +30,30 @@ def high_size(n: Column, depth: Column) -> Column:
     return F.floor(F.ceil(n / F.pow(F.lit(2.0), depth - 1)) / 2).cast("long")
 
 
+def tiled(pictures: DataFrame, columns: int, nlx: int, nly: int) -> DataFrame:
+    """(picture, width, height, span, across, numbers): a precinct's full width, how many are in a row, and all their numbers.
+
+    Pictures are dealt to all tasks first, as a few bytes of them make thousands of rows.
+    """
+    span = F.lit(8 * columns << nlx).cast("long") if columns else F.col("width").cast("long")
+    tasks = int(pictures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pictures.select("picture", "width", "height").repartition(tasks, "picture")
+    sized = dealt.withColumn("span", span).withColumn("across", F.ceil(F.col("width") / F.col("span")))
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("across") * F.ceil(F.col("height") / float(1 << nly)) - 1)
+    return sized.withColumn("numbers", numbers)
+
+
+def placed(precinct: Column) -> tuple[Column, Column, Column]:
+    """column, row and width of a precinct of a tiled() picture."""
+    column, row = precinct % F.col("across"), F.floor(precinct / F.col("across"))
+    return column, row, F.when(column == F.col("across") - 1, (F.col("width") - 1) % F.col("span") + 1).otherwise(F.col("span"))
+
+
 def precincts(pictures: DataFrame, columns: int, nlx: int, nly: int) -> DataFrame:
     """(picture, width, height, precinct, column, row, precinct_width), row by row from the top left."""
-    span = F.lit(8 * columns << nlx).cast("long") if columns else F.col("width").cast("long")
-    sized = pictures.select("picture", "width", "height", span.alias("span")).withColumn("across", F.ceil(F.col("width") / F.col("span")))
-    number = F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") * F.ceil(F.col("height") / float(1 << nly)) - 1)).alias("precinct")
-    placed = sized.select("*", number).withColumn("column", F.col("precinct") % F.col("across")).withColumn("row", F.floor(F.col("precinct") / F.col("across")))
-    last = F.col("column") == F.col("across") - 1
-    wide = F.when(last, (F.col("width") - 1) % F.col("span") + 1).otherwise(F.col("span"))
-    return placed.select("picture", "width", "height", "precinct", "column", "row", wide.alias("precinct_width"), "span")
+    each = tiled(pictures, columns, nlx, nly).withColumn("precinct", F.explode("numbers"))
+    column, row, wide = placed(F.col("precinct"))
+    return each.select("picture", "width", "height", "precinct", column.alias("column"), row.alias("row"), wide.alias("precinct_width"), "span")
 
 
 def band_precincts(pictures: DataFrame, columns: int, nlx: int, nly: int) -> DataFrame:
@@ -53,30 +70,41 @@ def band_precincts(pictures: DataFrame, columns: int, nlx: int, nly: int) -> Dat
     return rows.select("picture", "precinct", "column", "row", "filter", "band_width", *groups, "first_line", end.alias("end_line"), "span", "dx", "dy", "hx", "lines")
 
 
-def packets(pictures: DataFrame, columns: int, nlx: int, nly: int, components: int, apart: int = 0) -> DataFrame:
-    """(picture, precinct, packet, entry, band, line): which line of which band each packet holds, in order.
+def packet_entries(nlx: int, nly: int, components: int, apart: int, row: Column, entry: Callable[[int, int], Column]) -> Column:
+    """An array of the packets (line, entries) of a precinct in this row, in order; ``entry`` makes one of a filter and a band.
 
     First comes a line of the filters that split columns only; then, level by level and line by line, one packet for each
-    filter; each with all components. At last come the ``apart`` components that aren't decomposed, line by line.
+    filter; each with all components. At last come the ``apart`` components that aren't decomposed, line by line. Their
+    filter is the one after the last. The few packets that a setting can have are told here; which of them a precinct has
+    follows from the lines that are left of its bands, so nothing is sorted.
     """
-    flat, parts, kinds = nlx - nly + 1, components - apart, len(filters(nlx, nly))
-    rows = band_precincts(pictures, columns, nlx, nly).where("end_line > first_line")
-    line = F.explode(F.sequence("first_line", F.col("end_line") - 1)).alias("line")
-    each = rows.select("picture", "precinct", "filter", "first_line", line)
-    level = F.floor((F.col("filter") - flat) / 3)
-    order = F.when(F.col("filter") < flat, F.array(F.lit(0), F.lit(0), F.lit(0), F.lit(0))).otherwise(F.array(F.lit(1), level, F.col("line") - F.col("first_line"), F.col("filter")))
-    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("component")
-    told = each.select("picture", "precinct", order.cast("array<long>").alias("order"), "line", "filter", part).select("picture", "precinct", "order", "line", (parts * F.col("filter") + F.col("component")).alias("band"))
-    if apart:
-        tall = F.least(F.lit(1 << nly), F.col("height") - F.col("row") * (1 << nly)) - 1
-        whole = precincts(pictures, columns, nlx, nly).select("picture", "precinct", F.explode(F.sequence(F.lit(0).cast("long"), tall)).alias("line"))
-        whole = whole.select("*", F.explode(F.sequence(F.lit(0), F.lit(apart - 1))).alias("c"))
-        last = F.array(F.lit(2).cast("long"), F.col("line"), F.col("c").cast("long"), F.lit(0).cast("long"))
-        told = told.unionByName(whole.select("picture", "precinct", last.alias("order"), "line", (parts * kinds + F.col("c")).alias("band")))
-    inside = Window.partitionBy("picture", "precinct")
-    packet = F.dense_rank().over(inside.orderBy("order")) - 1
-    entry = F.row_number().over(Window.partitionBy("picture", "precinct", "order").orderBy("band")) - 1
-    return told.select("picture", "precinct", packet.alias("packet"), entry.alias("entry"), F.col("band").cast("long").alias("band"), "line")
+    every, parts = filters(nlx, nly), components - apart
+    flat = nlx - nly + 1
+
+    def packet(filters_: list[int], there: Column, line: int) -> Column:
+        entries = [entry(f, parts * f + c) for f in filters_ for c in range(parts)]
+        return F.when(there, F.struct(F.lit(line).cast("long").alias("line"), F.array(*entries).alias("entries")))
+
+    told = [packet(list(range(flat)), low_size(F.col("height"), F.lit(nly)) > row, 0)]
+    for level in range(nly):
+        lines = 1 << level
+        for i in range(lines):
+            for f in range(flat + 3 * level, flat + 3 * level + 3):
+                _, dy, _, high = every[f]
+                size = (high_size if high else low_size)(F.col("height"), F.lit(dy))
+                told.append(packet([f], size - row * lines > i, lines * high + i))
+    for i in range(1 << nly):
+        for c in range(apart):
+            whole = F.struct(F.lit(i).cast("long").alias("line"), F.array(entry(len(every), parts * len(every) + c)).alias("entries"))
+            told.append(F.when(F.col("height") - row * (1 << nly) > i, whole))
+    return F.array_compact(F.array(*told))
+
+
+def packets(pictures: DataFrame, columns: int, nlx: int, nly: int, components: int, apart: int = 0) -> DataFrame:
+    """(picture, precinct, packet, entry, band, line): which line of which band each packet holds, in the order of packet_entries()."""
+    told = packet_entries(nlx, nly, components, apart, F.col("row"), lambda _, band: F.lit(band).cast("long"))
+    each = precincts(pictures, columns, nlx, nly).select("picture", "precinct", F.posexplode(told).alias("packet", "p"))
+    return each.select("picture", "precinct", "packet", F.posexplode("p.entries").alias("entry", "band"), F.col("p.line").alias("line"))
 
 
 def to_band_cells(cells: DataFrame, pictures: DataFrame, columns: int, nlx: int, nly: int) -> DataFrame:
