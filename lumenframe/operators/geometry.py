@@ -110,11 +110,18 @@ def packets(pictures: DataFrame, columns: int, nlx: int, nly: int, components: i
 def to_band_cells(cells: DataFrame, pictures: DataFrame, columns: int, nlx: int, nly: int) -> DataFrame:
     """Cells (picture, precinct, filter, line, x) with their place band_y, band_x in the whole band.
 
-    Both sides are told by picture and precinct, so this is one join of equal keys.
+    A precinct's place follows from its number and its picture's size, so cells meet one row of their picture. Cells of
+    precincts or filters that aren't there are left out.
     """
-    g = band_precincts(pictures, columns, nlx, nly)
-    full = F.when(F.col("hx"), high_size(F.col("span"), F.col("dx"))).otherwise(low_size(F.col("span"), F.col("dx")))
-    place = g.select("picture", "precinct", "filter", "column", "row", "first_line", "lines", full.alias("full"))
-    met = cells.join(place, ["picture", "precinct", "filter"])
-    y = F.col("row") * F.col("lines") + F.col("line") - F.col("first_line")
-    return met.select(*cells.columns, y.alias("band_y"), (F.col("column") * F.col("full") + F.col("x")).alias("band_x"))
+    span = F.lit(8 * columns << nlx).cast("long") if columns else F.col("width").cast("long")
+    across = F.ceil(F.col("width") / span)
+    there = across * F.ceil(F.col("height") / float(1 << nly))
+    sizes = pictures.select("picture", span.alias("__span"), across.alias("__across"), there.alias("__there"))
+    known = [F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(hx).alias("hx"), F.lit(hy).alias("hy")) for dx, dy, hx, hy in filters(nlx, nly)]
+    met = cells.join(sizes, "picture").where((F.col("precinct") >= 0) & (F.col("precinct") < F.col("__there")) & (F.col("filter") >= 0) & (F.col("filter") < len(known)))
+    f = F.get(F.array(*known), F.col("filter").cast("int"))
+    full = F.when(f["hx"], high_size(F.col("__span"), f["dx"])).otherwise(low_size(F.col("__span"), f["dx"]))
+    lines = F.pow(F.lit(2.0), nly - f["dy"]).cast("long")
+    y = F.floor(F.col("precinct") / F.col("__across")) * lines + F.col("line") - F.when(f["hy"], lines).otherwise(0)
+    x = F.col("precinct") % F.col("__across") * full + F.col("x")
+    return met.select(*cells.columns, y.alias("band_y"), x.alias("band_x"))

@@ -96,23 +96,26 @@ class PacketWalk:
 def layouts(pictures: DataFrame, columns: int, nlx: int, nly: int, components: int, apart: int, slice_rows: int) -> DataFrame:
     """(picture, layout): the entries of each packet of each precinct, with the significance flags of each entry's line.
 
-    A slice has ``slice_rows`` rows of precincts. A layout is as long as its picture has packets.
+    A slice has ``slice_rows`` rows of precincts. A layout is as long as its picture has packets; it is made of its
+    picture's row alone.
     """
-    parts, kinds = components - apart, len(geometry.filters(nlx, nly))
-    wide = F.ceil(F.col("precinct_width") / float(geometry.GROUP * geometry.SIGNIFICANCE)).cast("int")
-    whole = geometry.precincts(pictures, columns, nlx, nly).select("picture", "precinct", "row", F.lit(kinds).alias("filter"), wide.alias("flags"))
-    each = geometry.band_precincts(pictures, columns, nlx, nly).select("picture", "precinct", "row", "filter", F.col("flags").cast("int").alias("flags"))
-    flags = each.unionByName(whole)
-    kind = F.least(F.floor(F.col("band") / parts), F.lit(kinds)).cast("int").alias("filter")
-    told = geometry.packets(pictures, columns, nlx, nly, components, apart).select("picture", "precinct", "packet", "entry", F.col("band").cast("int").alias("band"), kind)
-    met = told.join(flags, ["picture", "precinct", "filter"])
-    one = met.groupBy("picture", "precinct", "row", "packet").agg(F.array_sort(F.collect_list(F.struct("entry", "band", "flags"))).alias("e"))
-    one = one.withColumn("e", F.transform("e", lambda x: F.struct(x["band"].alias("band"), x["flags"].alias("flags"))))
-    packed = one.groupBy("picture", "precinct", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("packet", "e"))), lambda x: x["e"]).alias("packets"))
-    place = F.floor(F.col("row") / slice_rows).cast("int").alias("slice")
-    return packed.groupBy("picture").agg(F.array_sort(F.collect_list(F.struct(F.col("precinct").cast("int").alias("precinct"), place, "packets"))).alias("p")).select(
-        "picture", F.transform("p", lambda x: F.struct(x["slice"].alias("slice"), x["precinct"].alias("precinct"), x["packets"].alias("packets"))).cast(LAYOUT).alias("layout")
-    )
+    every = geometry.filters(nlx, nly)
+
+    def precinct(number: Column) -> Column:
+        _, row, wide = geometry.placed(number)
+
+        def entry(f: int, band: int) -> Column:
+            dx, _, high, _ = every[f] if f < len(every) else (0, 0, False, False)
+            size = (geometry.high_size if high else geometry.low_size)(wide, F.lit(dx))
+            flags = F.ceil(size / float(geometry.GROUP * geometry.SIGNIFICANCE)).cast("int")
+            return F.struct(F.lit(band).alias("band"), flags.alias("flags"))
+
+        told = geometry.packet_entries(nlx, nly, components, apart, row, entry)
+        place = F.floor(row / slice_rows).cast("int").alias("slice")
+        return F.struct(place, number.cast("int").alias("precinct"), F.transform(told, lambda p: p["entries"]).alias("packets"))
+
+    sized = geometry.tiled(pictures, columns, nlx, nly)
+    return sized.select("picture", F.transform("numbers", precinct).cast(LAYOUT).alias("layout"))
 
 
 def walk(spark: SparkSession, streams: DataFrame, key: str = "picture") -> DataFrame:
@@ -139,4 +142,6 @@ def packed_hex(modes: Column, lengths: Column, q: Column, filler: Column, short:
     body = F.concat(F.array_join(F.transform(lengths, packet), ""), F.repeat(F.lit("00"), filler.cast("int")))
     bits = F.array_join(F.transform(modes, lambda m: F.lpad(F.bin(m), 2, "0")), "")
     bits = F.rpad(bits, (F.ceil(F.length(bits) / 8) * 8).cast("int"), "0")
-    return F.concat(F.lpad(F.hex((F.length(body) / 2).cast("long")), 6, "0"), F.lpad(F.hex(q.cast("long")), 2, "0"), F.lit("00"), F.hex(codes.bits_to_bytes(bits)), body)
+    size = lambda b: F.lpad(F.hex((F.length(b) / 2).cast("long")), 6, "0")
+    head = F.concat(F.lpad(F.hex(q.cast("long")), 2, "0"), F.lit("00"), F.hex(codes.bits_to_bytes(bits)))
+    return F.transform(F.array(body), lambda b: F.concat(size(b), head, b))[0]  # the body is put together once

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.operators import codes, packetwalk, resample
@@ -76,24 +76,32 @@ def codestreams(spark: SparkSession, sf_dir: str) -> DataFrame:
     Lengths follow from a packet's place; modes 2 and 3 of a band have significance flags.
     """
     laid = packetwalk.layouts(pictures(spark, sf_dir), COLUMNS, NLX, NLY, components=4, apart=1, slice_rows=SLICE_ROWS)
-    modes = F.expr(f"transform(sequence(0, {STREAM_BANDS - 1}), b -> cast((b + picture) % 4 AS bigint))")
-    each = laid.select("picture", F.explode("layout").alias("p")).select("picture", "p.*").withColumn("modes", modes)
-    seed = "(picture + 3 * precinct + 5 * k)"
-    flags = "aggregate(filter(e, x -> modes[x.band] >= 2), 0, (a, x) -> a + x.flags)"
-    lengths = f"transform(packets, (e, k) -> struct({seed} % 6 = 0 AS raw, IF({seed} % 6 = 0, 0, cast(ceil({flags} / 8.0) AS int)) AS sig, {seed} % 3 AS cnt, {seed} % 11 + IF(picture % 7 = 0 AND precinct = 5 AND k = 3, 900, 0) AS dat, {seed} % 2 AS sgn))"
-    held = each.withColumn("lengths", F.expr(lengths)).withColumn("q", F.col("precinct") % 32)
-    text = packetwalk.packed_hex(F.col("modes"), F.col("lengths"), F.col("q"), F.col("precinct") % 3)
-    broken = (F.col("picture") % 7 == 0) & (F.col("precinct") == 5)  # its length doesn't count what the packet has too much
-    less = F.lpad(F.hex(F.conv(F.substring("t", 1, 6), 16, 10).cast("long") - 900), 6, "0")
-    held = held.withColumn("t", text).withColumn("t", F.when(broken, F.concat(less, F.expr("substring(t, 7)"))).otherwise(F.col("t")))
-    lead = F.struct("precinct", "slice", "t")
-    joined = held.groupBy("picture").agg(F.array_sort(F.collect_list(lead)).alias("a"))
-    start = "IF(i = 0 OR a[i - 1].slice <> x.slice, concat('FF200004', lpad(hex(x.slice), 4, '0')), '')"
-    content = F.unhex(F.concat(F.expr(f"array_join(transform(a, (x, i) -> concat({start}, x.t)), '')"), F.lit("FF11")))
-    cut = F.when(F.col("picture") % 5 == 0, F.expr("substring(c, 1, length(c) - 7)")).otherwise(F.col("c"))
-    whole = joined.select("picture", content.alias("c")).select("picture", cut.alias("content"))
+    picture, modes = F.col("picture"), F.expr(f"transform(sequence(0, {STREAM_BANDS - 1}), b -> cast((b + picture) % 4 AS bigint))")
+    broken = lambda p: (picture % 7 == 0) & (p == 5)  # noqa: E731; its length doesn't count what the packet has too much
+
+    def lengths(p: Column, packet: Column, k: Column) -> Column:
+        seed = picture + 3 * p["precinct"] + 5 * k
+        flags = F.aggregate(F.filter(packet, lambda x: F.get("modes", x["band"]) >= 2), F.lit(0), lambda a, x: a + x["flags"])
+        dat = seed % 11 + F.when(broken(p["precinct"]) & (k == 3), 900).otherwise(0)
+        sig = F.when(seed % 6 == 0, 0).otherwise(F.ceil(flags / 8.0).cast("int"))
+        return F.struct((seed % 6 == 0).alias("raw"), sig.alias("sig"), (seed % 3).alias("cnt"), dat.alias("dat"), (seed % 2).alias("sgn"))
+
+    def held(p: Column) -> Column:
+        told = F.transform(p["packets"], lambda packet, k: lengths(p, packet, k))
+        text = packetwalk.packed_hex(F.col("modes"), told, p["precinct"] % 32, p["precinct"] % 3)
+        return F.struct(p["slice"].alias("slice"), p["precinct"].alias("precinct"), text.alias("t"))
+
+    def lead(x: Column, i: Column) -> Column:
+        less = F.lpad(F.hex(F.conv(F.substring(x["t"], 1, 6), 16, 10).cast("long") - 900), 6, "0")
+        text = F.when(broken(x["precinct"]), F.concat(less, F.substr(x["t"], F.lit(7)))).otherwise(x["t"])
+        new = (i == 0) | (F.get("a", i - 1)["slice"] != x["slice"])
+        return F.concat(F.when(new, F.concat(F.lit("FF200004"), F.lpad(F.hex(x["slice"]), 4, "0"))).otherwise(""), text)
+
+    parts = laid.withColumn("modes", modes).withColumn("a", F.transform("layout", held))
+    whole = parts.select("picture", "layout", F.unhex(F.concat(F.array_join(F.transform("a", lead), ""), F.lit("FF11"))).alias("c"))
+    cut = F.when(picture % 5 == 0, F.expr("substring(c, 1, length(c) - 7)")).otherwise(F.col("c"))
     told = [F.lit(STREAM_BANDS).alias("bands"), F.lit(True).alias("short"), F.lit(True).alias("signs")]
-    return whole.join(laid, "picture").select("picture", "content", "layout", *told)
+    return whole.select("picture", cut.alias("content"), "layout", *told)
 
 
 def packet_walk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,24 @@ def test_packets_are_the_sorted_lines(spark, pictures, setting):
 def test_packets_are_not_sorted(spark, sf_dir):
     text = plan(plans.packet_layout(spark, sf_dir))
     assert "Window" not in text and "Sort" not in text
+
+
+@pytest.mark.parametrize("setting", SETTINGS)
+def test_places_of_cells(spark, pictures, setting):
+    columns, nlx, nly, *_ = setting
+    rows = g.band_precincts(pictures, columns, nlx, nly).where("end_line > first_line AND band_width > 0").collect()
+    cells = [(r.picture, r.precinct, r.filter, line, r.band_width - 1) for r in rows for line in range(r.first_line, r.end_line)]
+    absent = [(1, 10_000, 0, 0, 0), (1, -1, 0, 0, 0), (1, 0, 99, 0, 0), (77, 0, 0, 0, 0)]
+    table = spark.createDataFrame(cells + absent, "picture long, precinct long, filter int, line long, x long")
+    got = {tuple(r)[:5]: tuple(r)[5:] for r in g.to_band_cells(table, pictures, columns, nlx, nly).collect()}
+    want = {}
+    for r in rows:
+        # precincts to the left in this row are full: their widths of the band add up
+        left = sum(o.band_width for o in rows if (o.picture, o.row, o.filter) == (r.picture, r.row, r.filter) and o.column < r.column)
+        for line in range(r.first_line, r.end_line):
+            want[r.picture, r.precinct, r.filter, line, r.band_width - 1] = (r.row * r.lines + line - r.first_line, left + r.band_width - 1)
+    assert got == want
+
+
+def test_no_generated_rows_are_broadcast(spark, sf_dir):
+    assert not broadcasts_generated(plans.precinct_remap(spark, sf_dir))
