@@ -3,6 +3,8 @@
 import pytest
 
 from lumenframe.operators import geometry as g
+from lumenframe.operators import packetwalk
+from lumenframe.plans import coding
 from lumenframe.plans import geometry as plans
 
 PICTURES = [(1, 64, 9), (2, 300, 4), (3, 257, 13), (4, 1, 1)]
@@ -82,3 +84,23 @@ def test_places_of_cells(spark, pictures, setting):
 
 def test_no_generated_rows_are_broadcast(spark, sf_dir):
     assert not broadcasts_generated(plans.precinct_remap(spark, sf_dir))
+
+
+def test_codestreams_are_made_of_their_row_alone(spark, sf_dir):
+    text = plan(coding.codestreams(spark, sf_dir))
+    assert "Join" not in text and "BroadcastExchange" not in text and "Aggregate" not in text
+
+
+@pytest.mark.parametrize("setting", SETTINGS)
+def test_layouts_hold_the_packets(spark, pictures, setting):
+    columns, nlx, nly, components, apart = setting
+    flags = {(b.picture, b.precinct, b.filter): b.flags for b in g.band_precincts(pictures, columns, nlx, nly).collect()}
+    wide = {(p.picture, p.precinct): (p.row, -(-p.precinct_width // 32)) for p in g.precincts(pictures, columns, nlx, nly).collect()}
+    want, parts = {}, components - apart
+    for r in sorted(g.packets(pictures, columns, nlx, nly, components, apart).collect()):
+        row, whole = wide[r.picture, r.precinct]
+        packets = want.setdefault(r.picture, {}).setdefault((row // 2, r.precinct), {})
+        packets.setdefault(r.packet, []).append((r.band, flags.get((r.picture, r.precinct, r.band // parts), whole)))
+    for r in packetwalk.layouts(pictures, columns, nlx, nly, components, apart, 2).collect():
+        got = [(p.slice, p.precinct, [[tuple(e) for e in packet] for packet in p.packets]) for p in r.layout]
+        assert got == [(*at, [packets[k] for k in sorted(packets)]) for at, packets in sorted(want[r.picture].items())]
