@@ -66,13 +66,8 @@ def paced_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = frames(spark, sf_dir).groupBy("camera").count().collect()  # four cameras
     cameras = [{"camera": r.camera, "fps": 30.0 + int(r.camera[3:]), "limit": r["count"]} for r in counts]
     stream = paced.paced(spark, cameras, START_US, WIDTH, HEIGHT, BITS)
-    rows = frame_stats.run_to_end(stream, reserved(spark, "paced"), "append")
-    stride = (WIDTH * BITS // 8 + 7) // 8 * 8
-    line = lambda y: F.col("data").substr(F.lit(1) + y * stride, F.lit(WIDTH * BITS // 8))
-    lines = rows.select("camera", "frame", "phase", "due_us", F.explode(F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), line)).alias("px"))
-    seen = blobs.unpack_lines(lines, "px", BITS)
-    each = seen.select("camera", "frame", "phase", "due_us", F.aggregate("px", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"))
-    return each.groupBy("camera", "frame", "phase", "due_us").agg(F.sum("s").alias("total"))
+    sums = blobs.sample_sums(stream, "data", BITS, WIDTH).withColumnRenamed("data", "total")
+    return frame_stats.run_to_end(sums, reserved(spark, "paced"), "append").select("camera", "frame", "phase", "due_us", "total")
 
 
 def keyed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

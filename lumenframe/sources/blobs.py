@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators.ordering import segmented
 
-#: Frames that one IVF file holds.
-SEGMENT = 1_000
+#: Frames that one IVF file holds, and frames that are unpacked at once to be summed up.
+SEGMENT, SUMMED = 1_000, 256
 # Magic, version and header size of an IVF file; its header and frame header.
 IVF_MAGIC, IVF_HEADER, IVF_FRAME = b"DKIF", struct.Struct("<4sHH4sHHIIII"), struct.Struct("<IQ")
 
@@ -95,6 +95,25 @@ def unpack_lines(rows: DataFrame, column: str, bits: int) -> DataFrame:
     return _lines(rows, column, "array<int>", fn)
 
 
+def sample_sums(rows: DataFrame, column: str, bits: int, width: int) -> DataFrame:
+    """Frames of one size in place of which stands the sum of their samples; each of their lines is filled up to eight bytes.
+
+    A frame is a row before and after, so this goes for streams too, and nothing is moved.
+    """
+    line = width * bits // 8
+    stride = (line + 7) // 8 * 8
+
+    def fn(frames: pa.Array) -> pa.Array:
+        sums = []
+        for at in range(0, len(frames), SUMMED):
+            some = frames.slice(at, SUMMED).to_pylist()
+            data = np.frombuffer(b"".join(some), np.uint8).reshape(-1, stride)[:, :line]
+            sums.append(unpacked(data, bits).reshape(len(some), -1).sum(axis=1, dtype=np.int64))
+        return pa.array(np.concatenate(sums))
+
+    return _lines(rows, column, "long", fn)
+
+
 def unpack_depths(rows: DataFrame, column: str, depth: str, depths: tuple[int, ...]) -> DataFrame:
     """Packed bytes of lines, each of the bits that ``depth`` tells and of any length, as arrays of samples, in one pass."""
     keys = [c for c in rows.columns if c != column]

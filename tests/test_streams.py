@@ -11,6 +11,7 @@ from lumenframe.operators import imaging
 from lumenframe.operators import telemetry as t
 from lumenframe.operators.ordering import segmented
 from lumenframe.plans.streams import rocks
+from lumenframe.plans import streams
 from lumenframe.sources import blobs, ivf_files, paced
 from lumenframe.streaming import frame_stats, keyed_state
 
@@ -162,6 +163,26 @@ def test_paced_stream_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert all(r[2] == r[1] // 8 for r in three) and all(r[3] == start + r[1] * 100_000 for r in two if r[0] == "a")
 
 
+@pytest.mark.parametrize(("bits", "width"), [(12, 64), (10, 64), (10, 20), (12, 6)])
+def test_sums_of_frames(spark, bits, width):
+    """Lines that are and aren't filled up, and more frames than are unpacked at once."""
+    frames = [(i, paced.payload(width, 5, bits, i % 7)) for i in range(blobs.SUMMED + 3)]
+    got = dict(map(tuple, blobs.sample_sums(spark.createDataFrame(frames, "i long, data binary").coalesce(1), "data", bits, width).collect()))
+    assert got == {i: int(paced.pattern(width, 5, bits, i % 7).sum()) for i, _ in frames}
+
+
+def test_remembered_pictures_are_those_drawn(spark):
+    """A wide picture has more places of its bar than are remembered."""
+    reader = paced.PacedReader([], 0, 160, 4, 12)
+    for batch in reader.read(paced.Span("a", 1, 3, 200)):
+        assert all(r["data"] == paced.payload(160, 4, 12, r["frame"] // paced.PHASE) and r["phase"] == r["frame"] // paced.PHASE for r in batch.to_pylist())
+
+
+def test_paced_frames_move_no_samples(spark, sf_dir):
+    text = streams.paced_frames(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Generate" not in text and "data" not in text.split("ReadSchema")[-1]
+
+
 def test_paced_options(spark):
     assert paced.Camera.of({"camera": "x"}).period_us == 33_333 and paced.Camera.of({"camera": "x", "fps": -1}).limit == 0
     assert [paced.Camera("x", 100, 3).due(s) for s in (-1, 0, 99, 100, 10**9)] == [0, 1, 1, 2, 3]
