@@ -101,21 +101,20 @@ def layouts(pictures: DataFrame, columns: int, nlx: int, nly: int, components: i
     """
     every = geometry.filters(nlx, nly)
 
-    def precinct(number: Column) -> Column:
+    def sized(number: Column) -> Column:
         _, row, wide = geometry.placed(number)
+        sizes = [(geometry.high_size if high else geometry.low_size)(wide, F.lit(dx)) for dx, _, high, _ in [*every, (0, 0, False, False)]]
+        flags = [F.ceil(size / float(geometry.GROUP * geometry.SIGNIFICANCE)).cast("int") for size in sizes]
+        return F.struct(number.cast("int").alias("precinct"), row.alias("row"), F.array(*flags).alias("flags"))
 
-        def entry(f: int, band: int) -> Column:
-            dx, _, high, _ = every[f] if f < len(every) else (0, 0, False, False)
-            size = (geometry.high_size if high else geometry.low_size)(wide, F.lit(dx))
-            flags = F.ceil(size / float(geometry.GROUP * geometry.SIGNIFICANCE)).cast("int")
-            return F.struct(F.lit(band).alias("band"), flags.alias("flags"))
+    def precinct(x: Column) -> Column:
+        entry = lambda f, band: F.struct(F.lit(band).alias("band"), x["flags"][f].alias("flags"))
+        told = geometry.packet_entries(nlx, nly, components, apart, x["row"], entry)
+        place = F.floor(x["row"] / slice_rows).cast("int").alias("slice")
+        return F.struct(place, x["precinct"], F.transform(told, lambda p: p["entries"]).alias("packets"))
 
-        told = geometry.packet_entries(nlx, nly, components, apart, row, entry)
-        place = F.floor(row / slice_rows).cast("int").alias("slice")
-        return F.struct(place, number.cast("int").alias("precinct"), F.transform(told, lambda p: p["entries"]).alias("packets"))
-
-    sized = geometry.tiled(pictures, columns, nlx, nly)
-    return sized.select("picture", F.transform("numbers", precinct).cast(LAYOUT).alias("layout"))
+    each = geometry.tiled(pictures, columns, nlx, nly).withColumn("sized", F.transform("numbers", sized))  # a filter's flags are worked out once for all its entries
+    return each.select("picture", F.transform("sized", precinct).cast(LAYOUT).alias("layout"))
 
 
 def walk(spark: SparkSession, streams: DataFrame, key: str = "picture") -> DataFrame:
@@ -141,7 +140,8 @@ def packed_hex(modes: Column, lengths: Column, q: Column, filler: Column, short:
 
     body = F.concat(F.array_join(F.transform(lengths, packet), ""), F.repeat(F.lit("00"), filler.cast("int")))
     bits = F.array_join(F.transform(modes, lambda m: F.lpad(F.bin(m), 2, "0")), "")
-    bits = F.rpad(bits, (F.ceil(F.length(bits) / 8) * 8).cast("int"), "0")
+    once = lambda c, then: F.transform(F.array(c), then)[0]
+    filled = once(bits, lambda b: F.rpad(b, (F.ceil(F.length(b) / 8) * 8).cast("int"), "0"))
     size = lambda b: F.lpad(F.hex((F.length(b) / 2).cast("long")), 6, "0")
-    head = F.concat(F.lpad(F.hex(q.cast("long")), 2, "0"), F.lit("00"), F.hex(codes.bits_to_bytes(bits)))
-    return F.transform(F.array(body), lambda b: F.concat(size(b), head, b))[0]  # the body is put together once
+    head = F.concat(F.lpad(F.hex(q.cast("long")), 2, "0"), F.lit("00"), once(filled, lambda b: F.hex(codes.bits_to_bytes(b))))
+    return once(body, lambda b: F.concat(size(b), head, b))

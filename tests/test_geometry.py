@@ -1,6 +1,7 @@
 """Packets and places of cells, worked out for each picture without sorting, gathering or broadcasting what is generated."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.operators import geometry as g
 from lumenframe.operators import packetwalk
@@ -15,6 +16,10 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def analyzed(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
 def broadcasts_generated(df):
     """Whether a broadcast's subtree generates rows."""
     lines, depth = plan(df).splitlines(), lambda x: len(x) - len(x.lstrip(" :+-"))
@@ -91,6 +96,23 @@ def test_codestreams_are_made_of_their_row_alone(spark, sf_dir):
     assert "Join" not in text and "BroadcastExchange" not in text and "Aggregate" not in text
 
 
+def test_walk_gathers_nothing(spark, sf_dir):
+    text = plan(coding.packet_walk(spark, sf_dir))
+    assert "Join" not in text and "BroadcastExchange" not in text and text.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("setting", SETTINGS)
+def test_flags_are_worked_out_once_for_each_filter(spark, pictures, setting):
+    columns, nlx, nly, components, apart = setting
+    text = analyzed(packetwalk.layouts(pictures, columns, nlx, nly, components, apart, 2))
+    assert text.count("32.0") == len(g.filters(nlx, nly)) + 1
+
+
+def test_bits_of_modes_are_put_together_once(spark):
+    told = F.array(F.struct(F.lit(False).alias("raw"), *[F.lit(1).alias(x) for x in ("sig", "cnt", "dat", "sgn")]))
+    assert analyzed(spark.range(1).select(packetwalk.packed_hex(F.array("id"), told, F.lit(4), F.lit(0)).alias("t"))).count("bin(") == 1
+
+
 @pytest.mark.parametrize("setting", SETTINGS)
 def test_layouts_hold_the_packets(spark, pictures, setting):
     columns, nlx, nly, components, apart = setting
